@@ -1,7 +1,14 @@
 """Feature engineering for the classifiers: splits, weights, TF-IDF and scaling."""
 
-from pyspark.sql import functions as F
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Window, functions as F
 
+from commentlake.functions.text import (
+    english_stop_words, preprocess_letters, preprocess_punct, preprocess_social, tokenize_ngrams)
+from commentlake.functions.times import time_features
+from commentlake.operators.clean import coerce_numeric
 from commentlake.operators.scale import hash_cuts, join_checked, key_hash
 
 
@@ -29,3 +36,165 @@ def _by_hash(df, fractions, seed, label, key):
     above = sum((F.coalesce(F.col("_hash") > F.col(f"`{i}`"), F.lit(True)).cast("int") for i in range(1, len(fractions))),
                 F.coalesce(F.col("_hash") > F.col("`0`"), F.lit(True)).cast("int"))
     return join_checked(keyed, wide, "_group").withColumn("_above", above).select(*df.columns, "_above")
+
+
+# Text preparation and TF-IDF limits of each generation of the workflow.
+TEXT_PRESETS = {
+    "features": dict(prepare="none", ngrams=2, max_features=500, min_df=2, max_df=0.8),
+    "letters": dict(prepare="letters", ngrams=1, max_features=5000, min_df=1, max_df=1.0),
+    "social": dict(prepare="social", ngrams=2, max_features=5000, min_df=2, max_df=0.95),
+    "punct": dict(prepare="punct", ngrams=2, max_features=10_000, min_df=2, max_df=0.95),
+}
+PREPARE = {"none": lambda c: F.col(c), "letters": preprocess_letters, "social": preprocess_social,
+           "punct": preprocess_punct}
+
+# The feature table.
+NUMERIC_FEATURES = (
+    "reply_length", "emoji_count", "word_count", "char_count", "positive_keywords", "negative_keywords",
+    "combined_sentiment_score", "vader_compound", "vader_positive", "vader_negative", "vader_neutral",
+    "textblob_polarity", "textblob_subjectivity",
+)
+BOOLEAN_FEATURES = ("has_text", "is_nested", "has_question", "has_exclamation", "has_caps")
+TIME_FEATURES = ("hour", "day_of_week", "is_weekend")
+
+MAX_CLASSES = 1000
+
+
+def with_terms(df, text="text", preset="punct", stop_words=None, out="terms"):
+    """The row's terms (unigrams, and bigrams if the preset has them)."""
+    p = TEXT_PRESETS[preset]
+    return df.withColumn(out, tokenize_ngrams(PREPARE[p["prepare"]](text), stop_words, p["ngrams"]))
+
+
+def vocabulary(df, terms="terms", preset="punct", **limits):
+    """The most frequent terms within the document-frequency limits: (term, df, cf, idf), at most max_features rows.
+
+    One aggregation gives both frequencies: a row contributes each of its terms once for df and every
+    occurrence for cf, and both are combined on the map side. Ties in the cut go to the smaller term.
+    """
+    p = TEXT_PRESETS[preset] | limits
+    total = df.agg(F.count("*").alias("n")).scalar()
+    once = F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("cf")))
+    every = F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("cf")))
+    counts = df.select(F.inline(F.concat(once, every))).groupBy("term").agg(
+        F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    kept = counts.filter((F.col("df") >= p["min_df"]) & (F.col("df") <= F.lit(float(p["max_df"])) * total))
+    return kept.orderBy(F.desc("cf"), "term").limit(p["max_features"]).withColumn(
+        "idf", F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.col("df"))) + 1)
+
+
+def tfidf_sql(df, text="text", key="id", preset="features", stop_words=None, **limits):
+    """Long TF-IDF (key, term, tfidf), each row's weights with unit length.
+
+    Occurrences are reduced to vocabulary terms by a broadcast join (the vocabulary is bounded by max_features)
+    before the only shuffle, by key, which serves both the counting and the normalising.
+    """
+    rows = with_terms(df.select(key, text), text, preset, stop_words)
+    vocab = vocabulary(rows, preset=preset, **limits)
+    weighted = rows.select(key, F.explode("terms").alias("term")) \
+        .join(F.broadcast(vocab.select("term", "idf")), "term") \
+        .repartition(key).groupBy(key, "term", "idf").agg(F.count("*").alias("tf")) \
+        .select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return weighted.select(key, "term", (F.col("w") / length).alias("tfidf"))
+
+
+class TextVectorizer:
+    """TF-IDF as a sparse vector column; the fitted vocabulary is bounded by the preset."""
+
+    def __init__(self, preset="punct", text="text", stop_words=None, out="features", **limits):
+        self.preset, self.text, self.out = preset, text, out
+        self.stop_words = english_stop_words() if stop_words is None else stop_words
+        self.limits = limits
+        self.model = None
+
+    def fit(self, df):
+        found = vocabulary(self._terms(df.select(self.text)), preset=self.preset, **self.limits)
+        rows = found.orderBy("term").collect()
+        if not rows:
+            raise ValueError("no term passes the document-frequency limits")
+        self.terms = [r["term"] for r in rows]
+        counter = CountVectorizerModel.from_vocabulary(self.terms, "terms", "_counts")
+        scale = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in rows]), inputCol="_counts",
+                                   outputCol="_scaled")
+        self.model = PipelineModel([counter, scale, Normalizer(p=2.0, inputCol="_scaled", outputCol=self.out)])
+        return self
+
+    def transform(self, df):
+        return self.model.transform(self._terms(df)).drop("terms", "_counts", "_scaled")
+
+    def _terms(self, df):
+        return with_terms(df, self.text, self.preset, self.stop_words)
+
+
+def tfidf_vector(df, preset="punct", **limits):
+    return TextVectorizer(preset, **limits).fit(df).transform(df)
+
+
+def feature_columns(df):
+    return [c for c in (*NUMERIC_FEATURES, *BOOLEAN_FEATURES, *TIME_FEATURES) if c in df.columns]
+
+
+def numeric_block(df):
+    """The numeric, boolean and time features as doubles, missing ones as 0."""
+    if "timestamp" in df.columns:
+        df = time_features(df)
+    df = coerce_numeric(df, [c for c in (*NUMERIC_FEATURES, *TIME_FEATURES) if c in df.columns])
+    flags = [c for c in BOOLEAN_FEATURES if c in df.columns]
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in flags})
+
+
+def assemble_features(df, tfidf="tfidf", out="features"):
+    """Numeric block and TF-IDF as one vector; the TF-IDF part stays sparse."""
+    cols = feature_columns(df)
+    extra = [tfidf] if tfidf in df.columns else []
+    return VectorAssembler(inputCols=[*cols, *extra], outputCol=out).transform(df)
+
+
+def standard_scale(df, cols, fit_on=None):
+    """Zero mean and unit (population) deviation, fitted on `fit_on`; constant columns are only centred."""
+    source = df if fit_on is None else fit_on
+    stats = source.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in cols])
+    fitted = stats.select(F.struct(*cols)).scalar()
+
+    def scaled(c):
+        spread = fitted[c]["s"]
+        return (F.col(c) - fitted[c]["m"]) / F.when(spread > 0, spread).otherwise(1.0)
+    return df.withColumns({c: scaled(c) for c in cols})
+
+
+def absolute_features(df, cols):
+    """Non-negative features, as multinomial naive Bayes needs."""
+    return df.withColumns({c: F.abs(F.col(c)) for c in cols})
+
+
+def label_classes(df, label="manual_sentiment"):
+    """The class names in alphabetical order; more than MAX_CLASSES is an error, not a cut."""
+    rows = df.filter(F.col(label).isNotNull()).select(label).distinct().limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {label}")
+    return sorted(r[0] for r in rows)
+
+
+def encode_labels(df, classes, label="manual_sentiment", out="label"):
+    """Alphabetical class index as a double; unknown labels are null."""
+    at = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label))
+    return df.withColumn(out, F.when(at > 0, (at - 1).cast("double")))
+
+
+def decode_labels(index, classes):
+    return F.get(F.array(*[F.lit(c) for c in classes]), index.cast("int"))
+
+
+def choose_target(df, out="target"):
+    """final_sentiment if the table has it, else vader_sentiment; missing means neutral."""
+    source = "final_sentiment" if "final_sentiment" in df.columns else "vader_sentiment"
+    return df.withColumn(out, F.coalesce(F.col(source), F.lit("neutral")))
+
+
+def class_weights(df, label="manual_sentiment", out="weight"):
+    """n / (classes * rows of the class) on every row, so that classes weigh the same in total."""
+    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_n"))
+    totals = counts.agg(F.struct(F.sum("_n").alias("n"), F.count("*").alias("k")).alias("t")).scalar()
+    weights = counts.select(label, (totals["n"] / (totals["k"] * F.col("_n"))).alias(out))
+    return join_checked(df, weights, label)

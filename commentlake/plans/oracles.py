@@ -453,4 +453,67 @@ FROM ({MERGED}) JOIN ({DOCS}) USING (id) WHERE sa <> sb ORDER BY id LIMIT 20"""
     o["sample_comments"] = f"""SELECT id, text, ml_sentiment, manual_sentiment, coalesce(ml_sentiment <> manual_sentiment, FALSE) AS mismatch
 FROM ({PRED_A}) JOIN {base} USING (id) ORDER BY id LIMIT 50"""
     o["untagged_batch"] = f"SELECT id, text, username, reply_length FROM {base} WHERE manual_sentiment IS NULL ORDER BY id <= 900, id LIMIT 25"
+
+    # Features
+    o["tfidf_sql"] = f"""WITH g AS (SELECT id, unnest(g) AS term FROM (SELECT id, {grams} AS g FROM (SELECT id, {terms} AS x FROM ({DOCS})))),
+tf AS (SELECT id, term, count(*) AS tf FROM g GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents),
+v AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= 0.8 * (SELECT n FROM n)
+ORDER BY cf DESC, term LIMIT 500),
+w AS (SELECT id, term, tf * (ln((1.0 + (SELECT n FROM n)) / (1.0 + df)) + 1) AS w FROM tf JOIN v USING (term))
+SELECT id, term, {r('w / sqrt(sum(w * w) OVER (PARTITION BY id))')} AS tfidf FROM w"""
+    o["tfidf_vector"] = o["tfidf_sql"]
+    numeric = ("reply_length", "emoji_count", "word_count", "char_count", "positive_keywords", "negative_keywords",
+               "combined_sentiment_score", *SCORE_COLS[:-1])
+    z = ", ".join(r(f"(CAST({c} AS DOUBLE) - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () > 0 "
+                    f"THEN stddev_pop({c}) OVER () ELSE 1 END") + f" AS {c}" for c in numeric)
+    o["standard_scale"] = f"{ANALYZED} SELECT id, {z} FROM analyzed"
+    o["absolute_features"] = f"""{ANALYZED} SELECT id, {r('abs(combined_sentiment_score)')} AS combined_sentiment_score,
+{r('abs(vader_compound)')} AS vader_compound, {r('abs(textblob_polarity)')} AS textblob_polarity FROM analyzed"""
+    o["encode_labels"] = f"""SELECT id, manual_sentiment, {dbl('dense_rank() OVER (ORDER BY manual_sentiment) - 1')} AS label FROM ({TAGS})"""
+    o["choose_target"] = f"{ANALYZED} SELECT id, final_sentiment AS target FROM analyzed"
+    o["class_weights"] = f"""SELECT id, manual_sentiment, {r(f"(SELECT count(*) FROM ({TAGS})) / ((SELECT count(DISTINCT manual_sentiment) FROM ({TAGS})) * CAST(count(*) OVER (PARTITION BY manual_sentiment) AS DOUBLE))")} AS weight FROM ({TAGS})"""
+    o["stratified_split"] = f"SELECT id, manual_sentiment, {IS_TEST} AS is_test FROM ({SPLIT})"
+    o["stratified_folds"] = f"SELECT id, manual_sentiment, CAST({FOLD} AS INTEGER) AS fold FROM ({SPLIT})"
+    o["predict_holdout"] = f"""SELECT d.id, d.username, p.ml_sentiment AS ml_prediction, {r('p.ml_confidence')} AS ml_confidence,
+CASE WHEN p.id IS NOT NULL THEN 'roberta_social' END AS ml_model FROM ({DOCS}) d LEFT JOIN (SELECT a.* FROM ({PRED_A}) a
+JOIN ({SPLIT}) s USING (id) WHERE {IS_TEST}) p USING (id)"""
+    pos, neg = keyword_count("text", POSITIVE_KEYWORDS), keyword_count("text", NEGATIVE_KEYWORDS)
+    o["score_with_batch_model"] = f"""SELECT id, CASE WHEN neg >= 1 AND neg >= pos THEN 'negative' WHEN pos > 1 THEN 'positive'
+ELSE 'neutral' END AS ml_sentiment, {r('exp(greatest(pos, neg, 1)) / (exp(pos) + exp(neg) + exp(1))')} AS ml_confidence
+FROM (SELECT id, {dbl(pos)} AS pos, {dbl(neg)} AS neg FROM ({DOCS}))"""
+    dist_sql = "array_distance(CAST(a.embedding AS DOUBLE[64]), CAST(b.embedding AS DOUBLE[64]))"
+    near = f"""SELECT id, neighbour, distance, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(distance, 9),
+neighbour) AS rn FROM (SELECT a.vec_id AS id, b.vec_id AS neighbour, {dist_sql} AS distance, b.label FROM embeddings a
+JOIN embeddings b ON a.vec_id <> b.vec_id)) WHERE rn <= 5"""
+    o["knn_candidates"] = f"SELECT id, neighbour, {r('distance')} AS distance, label FROM ({near})"
+    o["knn_classify"] = f"""WITH n AS ({near}), w AS (SELECT id, label, CASE WHEN min(distance) OVER (PARTITION BY id) = 0
+THEN CASE WHEN distance = 0 THEN 1.0 ELSE 0.0 END ELSE 1.0::DOUBLE / distance END AS w FROM n),
+v AS (SELECT id, label, round(sum(w), 9) AS votes FROM w GROUP BY 1, 2)
+SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY votes DESC, label) AS rn FROM v) WHERE rn = 1"""
+
+    # Reports
+    stats_sql = f"""SELECT model_name, count(*) AS total_predictions, count_if(text_length > 0) AS samples_with_text,
+count(manual_sentiment) AS samples_with_manual_tags, {r('avg(text_length)')} AS average_text_length,
+count_if(ml_sentiment IS NULL) AS missing_predictions, count_if(ml_sentiment = 'negative') AS negative,
+{r("count_if(ml_sentiment = 'negative') * 100.0 / count(*)")} AS negative_percent, {r('avg(ml_confidence)')} AS confidence_mean,
+{r('stddev_samp(ml_confidence)')} AS confidence_std, count_if(ml_confidence > 0.8) AS high_confidence FROM ({PREDS}) GROUP BY 1"""
+    figures = summary(EVALUABLE, f"""SELECT summ.model_name, {r('accuracy')} AS accuracy, {r('f1_weighted')} AS f1_weighted,
+{r('f1_macro')} AS f1_macro, {r('cls.f1')} AS positive_f1 FROM summ JOIN cls ON cls.model_name = summ.model_name
+AND cls.label = 'positive'""")
+    o["model_summary"] = f"""WITH st AS ({stats_sql}), sm AS ({figures}),
+ce AS (SELECT model_name, CAST(count(DISTINCT manual_sentiment || '/' || ml_sentiment) AS INTEGER) AS cells FROM ({EVALUABLE}) GROUP BY 1),
+cv AS ({o['cv_summary']})
+SELECT st.*, accuracy, f1_weighted, f1_macro, positive_f1, cells, cv_mean FROM st JOIN sm USING (model_name)
+JOIN ce USING (model_name) JOIN cv USING (model_name)"""
+    o["master_report"] = f"""WITH m AS ({rec}) SELECT count(*) AS total_models_evaluated,
+max(CASE WHEN trad THEN model_name END) AS traditional, {r('max(CASE WHEN trad THEN f1_weighted END)')} AS traditional_f1,
+max(CASE WHEN NOT trad THEN model_name END) AS neural,
+string_agg(model_name, ',' ORDER BY f1_weighted DESC, {MODEL_ORDER}) AS by_f1_weighted,
+string_agg(model_name, ',' ORDER BY accuracy DESC, {MODEL_ORDER}) AS by_accuracy,
+max(CASE WHEN rank = 1 THEN 'Best overall model: ' || model_name || {score} END) AS first_recommendation FROM m"""
+    o["results_summary"] = f"""WITH s AS ({summary(EVALUABLE, 'SELECT * FROM summ')}), c AS ({o['cv_summary']})
+SELECT CAST(row_number() OVER (ORDER BY accuracy DESC, {MODEL_ORDER}) AS INTEGER) AS rank, model_name, cv_mean, cv_std,
+{r('accuracy')} AS test_accuracy, {r('precision_macro')} AS precision_macro, {r('recall_macro')} AS recall_macro,
+{r('f1_macro')} AS f1_macro FROM s JOIN c USING (model_name)"""
+    o["write_reports"] = f"SELECT model_name, count(*) AS total_predictions FROM ({PREDS}) GROUP BY 1"
     return o

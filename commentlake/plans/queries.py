@@ -5,9 +5,10 @@ from pyspark.sql import types as T
 
 from commentlake.functions import labels as L, sentiment as S, text as X, times as D
 from commentlake.operators import (
-    clean as C, ensemble as E, lexicon as LX, merge as J, metrics as M, quality as Q, ranking as R)
+    clean as C, ensemble as E, features as FE, lexicon as LX, merge as J, metrics as M, models as ML, neighbors as N,
+    quality as Q, ranking as R)
 from commentlake.operators.features import stratified_folds, stratified_split
-from commentlake.plans import fixtures as FX
+from commentlake.plans import fixtures as FX, reports as RP, scorer
 from commentlake.session import scratch_path
 from commentlake.sources import comments as SC, pages as SP, writers as K
 
@@ -243,6 +244,177 @@ def _rule(rule, both=False):
     return run
 
 
+def _vectors(spark, sf):
+    """TF-IDF vectors of all comments, unfolded to their stored entries."""
+    v = FE.TextVectorizer("features")
+    d = v.fit(FX.documents(spark, sf)).transform(FX.documents(spark, sf))
+    names = F.array(*[F.lit(t) for t in v.terms])
+    stored = F.unwrap_udt("features")
+    entries = F.arrays_zip(F.transform(stored["indices"], lambda i: F.get(names, i)).alias("term"),
+                           stored["values"].alias("tfidf"))
+    return rounded(d.select("id", F.inline(entries)))
+
+
+def _numeric_block(spark, sf):
+    return FE.numeric_block(_analyzed(spark, sf))
+
+
+def _scaled(spark, sf):
+    cols = list(FE.NUMERIC_FEATURES)
+    return rounded(FE.standard_scale(_numeric_block(spark, sf), cols).select("id", *cols))
+
+
+def _absolute(spark, sf):
+    cols = ["combined_sentiment_score", "vader_compound", "textblob_polarity"]
+    return rounded(FE.absolute_features(_analyzed(spark, sf, FX.documents), cols).select("id", *cols))
+
+
+def _feature_rows(spark, sf):
+    """Analysed comments with numeric block and TF-IDF as one vector; the lexicon label is the target."""
+    block = FE.choose_target(_numeric_block(spark, sf))
+    v = FE.TextVectorizer("features", text="cleaned_text", out="tfidf")
+    return FE.assemble_features(v.fit(block).transform(block))
+
+
+def _assembled(spark, sf):
+    stored = F.unwrap_udt("features")
+    return rounded(_feature_rows(spark, sf).select(
+        "id", "target", F.coalesce(stored["size"], F.size(stored["values"])).alias("width"),
+        F.aggregate(stored["values"], F.lit(0.0), lambda a, x: a + x).alias("total")))
+
+
+def _encoded(spark, sf):
+    t = FX.tags(spark, sf)
+    return FE.encode_labels(t, FE.label_classes(t)).select("id", "manual_sentiment", "label")
+
+
+def _predictions_from(*names, preset="punct", **changes):
+    """Train on the tagged training rows, predict every comment."""
+    def run(spark, sf):
+        settings = {n: ML.SETTINGS[preset][n] | changes for n in names}
+        c = ML.compare_models(FX.tagged_comments(spark, sf), preset, settings)
+        if c.errors:
+            raise RuntimeError(str(c.errors))
+        return rounded(ML.predict_all(c.models, c.vectorizer.transform(FX.documents(spark, sf))).select(
+            "id", "model_name", "ml_sentiment", "ml_confidence"))
+    return run
+
+
+def _mlp(spark, sf):
+    rows = _feature_rows(spark, sf)
+    classes = FE.label_classes(rows, "target")
+    train = FE.encode_labels(rows, classes, "target").persist()
+    model = ML.train_mlp(train, classes, **(ML.SETTINGS["features"]["neural_network"] | {"max_iter": 60}))
+    return rounded(ML.predict_all([model], train).select("id", "model_name", "ml_sentiment", "ml_confidence"))
+
+
+def _compare_models(spark, sf):
+    c = ML.compare_models(FX.tagged_comments(spark, sf), "letters")
+    return rounded(c.metrics())
+
+
+def _cross_validate(spark, sf):
+    rows, _, classes = ML.training_rows(FX.tagged_comments(spark, sf), "punct")
+    train = rows.filter(~F.col("is_test"))
+    scores = ML.cross_validate(train, classes, "naive_bayes", ML.SETTINGS["punct"]["naive_bayes"],
+                               metric="f1_weighted")
+    return rounded(scores)
+
+
+def _holdout(spark, sf):
+    held = _split_predictions(spark, sf).filter(F.col("is_test") & (F.col("model_name") == MODELS[0]))
+    return rounded(ML.predict_holdout(FX.documents(spark, sf).select("id", "username"), held))
+
+
+def _scored(spark, sf):
+    out = ML.score_with_batch_model(FX.documents(spark, sf).select("id", "text"), scorer.load, scorer.LABELS,
+                                    mapping=scorer.MAPPING)
+    return rounded(out.drop("text"))
+
+
+def _embeddings(spark, sf):
+    return FX.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+def _knn(find):
+    """Every vector against all others."""
+    def run(spark, sf):
+        e = _embeddings(spark, sf)
+        return rounded(find(e.select("id", "embedding"), e, 5, True))
+    return run
+
+
+def _summary_report(spark, sf):
+    r = RP.model_summary(FX.predictions(spark, sf), M.cv_summary(_fold_scores(spark, sf)))
+    q, c, p = "data_quality", "prediction_analysis.confidence_stats", "performance_metrics"
+    return rounded(r.select(
+        "model_name", "total_predictions", f"{q}.samples_with_text", f"{q}.samples_with_manual_tags",
+        f"{q}.average_text_length", f"{q}.missing_predictions",
+        F.col("prediction_analysis.sentiment_distribution")["negative"].alias("negative"),
+        F.col("prediction_analysis.sentiment_percentages")["negative"].alias("negative_percent"),
+        F.col(f"{c}.mean").alias("confidence_mean"), F.col(f"{c}.std").alias("confidence_std"),
+        F.col(f"{c}.high_confidence").alias("high_confidence"), f"{p}.metrics.accuracy", f"{p}.metrics.f1_weighted",
+        f"{p}.metrics.f1_macro", F.col(f"{p}.per_class_metrics")["positive"]["f1"].alias("positive_f1"),
+        F.size(f"{p}.confusion_matrix").alias("cells"), f"{p}.cross_validation.cv_mean"))
+
+
+def _master_report(spark, sf):
+    r = RP.master_report(FX.predictions(spark, sf), MODELS)
+    s = "performance_summary"
+    return rounded(r.select(
+        f"{s}.total_models_evaluated", F.col(f"{s}.traditional_models")[0]["model_name"].alias("traditional"),
+        F.col(f"{s}.traditional_models")[0]["f1_weighted"].alias("traditional_f1"),
+        F.col(f"{s}.neural_models")[0]["model_name"].alias("neural"),
+        F.array_join(F.col("model_rankings")["by_f1_weighted"], ",").alias("by_f1_weighted"),
+        F.array_join(F.col("model_rankings")["by_accuracy"], ",").alias("by_accuracy"),
+        F.col("recommendations")[0].alias("first_recommendation")))
+
+
+def _write_reports(spark, sf):
+    path = scratch_path(spark, "reports")
+    K.write_reports(RP.master_report(FX.predictions(spark, sf), MODELS, ML.SETTINGS), f"{path}/master")
+    K.write_reports(RP.model_summary(FX.predictions(spark, sf)), f"{path}/models")
+    return spark.read.json(f"{path}/models").select("model_name", "total_predictions")
+
+
+def trained_queries():
+    """Queries that train models or search neighbours."""
+    return {
+        "tfidf_sql": lambda s, d: rounded(FE.tfidf_sql(FX.documents(s, d), stop_words=X.english_stop_words())),
+        "tfidf_vector": _vectors,
+        "assemble_features": _assembled,
+        "standard_scale": _scaled,
+        "absolute_features": _absolute,
+        "encode_labels": _encoded,
+        "choose_target": lambda s, d: FE.choose_target(_analyzed(s, d, FX.documents)).select("id", "target"),
+        "class_weights": lambda s, d: rounded(FE.class_weights(FX.tags(s, d)).select("id", "manual_sentiment", "weight")),
+        "stratified_split": lambda s, d: stratified_split(FX.tags(s, d)).select("id", "manual_sentiment", "is_test"),
+        "stratified_folds": lambda s, d: stratified_folds(FX.tags(s, d)).select("id", "manual_sentiment", "fold"),
+        "train_logistic": _predictions_from("logistic_regression"),
+        "train_random_forest": _predictions_from("random_forest"),
+        "train_gradient_boosting": _predictions_from("gradient_boosting", preset="social", trees=20),
+        "train_svm": _predictions_from("svm"),
+        "train_naive_bayes": _predictions_from("naive_bayes"),
+        "train_mlp": _mlp,
+        "predict_all": _predictions_from("logistic_regression", "naive_bayes"),
+        "predict_holdout": _holdout,
+        "compare_models": _compare_models,
+        "cross_validate": _cross_validate,
+        "score_with_batch_model": _scored,
+        "knn_candidates": _knn(N.knn_candidates),
+        "knn_classify": _knn(N.knn_classify),
+        "model_summary": _summary_report,
+        "master_report": _master_report,
+        "results_summary": lambda s, d: rounded(RP.results_summary(
+            _summary(s, d), M.cv_summary(_fold_scores(s, d)).drop("folds"), MODELS)),
+        "write_reports": _write_reports,
+    }
+
+
+def all_queries():
+    return sql_queries() | trained_queries()
+
+
 def sql_queries():
     docs, preds = FX.documents, FX.predictions
     return {
