@@ -165,12 +165,6 @@ def add_bigrams(terms):
     return F.concat(terms, F.zip_with(firsts, following, lambda a, b: F.concat_ws(" ", a, b)))
 
 
-def tokenize_ngrams(c, stop_words=None, n=2):
-    """Unigrams, and with n=2 also bigrams formed after the stop words are gone."""
-    terms = tokenize_terms(c, english_stop_words() if stop_words is None else stop_words)
-    return add_bigrams(terms) if n == 2 else terms
-
-
 def text_features(df, text="text"):
     """All text features in one narrow projection; blank text gives the zero row."""
     t = clean_input(text)

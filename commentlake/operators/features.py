@@ -6,7 +6,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Window, functions as F
 
 from commentlake.functions.text import (
-    english_stop_words, preprocess_letters, preprocess_punct, preprocess_social, tokenize_ngrams)
+    add_bigrams, english_stop_words, preprocess_letters, preprocess_punct, preprocess_social, tokenize_terms)
 from commentlake.functions.times import time_features
 from commentlake.operators.clean import coerce_numeric
 from commentlake.operators.scale import hash_cuts, join_checked, key_hash
@@ -61,9 +61,14 @@ MAX_CLASSES = 1000
 
 
 def with_terms(df, text="text", preset="punct", stop_words=None, out="terms"):
-    """The row's terms (unigrams, and bigrams if the preset has them)."""
+    """The row's terms (unigrams, and bigrams if the preset has them).
+
+    Unigrams get a column of their own: the bigram expression uses them several times.
+    """
     p = TEXT_PRESETS[preset]
-    return df.withColumn(out, tokenize_ngrams(PREPARE[p["prepare"]](text), stop_words, p["ngrams"]))
+    stop = english_stop_words() if stop_words is None else stop_words
+    df = df.withColumn(out, tokenize_terms(PREPARE[p["prepare"]](text), stop))
+    return df.withColumn(out, add_bigrams(F.col(out))) if p["ngrams"] == 2 else df
 
 
 def vocabulary(df, terms="terms", preset="punct", **limits):

@@ -108,6 +108,9 @@ def knn_candidates(queries, train, k=5, exclude_same_id=False, pivots=64, block=
     right = sent.select("id", "embedding", "label", "cell", F.pmod(F.xxhash64("id"), t_blocks).alias("tb"),
                         F.explode(F.sequence(F.lit(0), q_blocks - 1)).alias("qb"))
     keys = ["cell", "qb", "tb"]
+    # Both sides may come from one table: fresh column identities keep the cogroup from mixing them up.
+    left = left.select(*[F.col(c).alias(c) for c in left.columns])
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     types = {f.name: f.dataType.simpleString() for f in train.schema.fields}
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         _best_in_block(keep),

@@ -159,6 +159,11 @@ def _tokens(tokenizer, sep):
     return run
 
 
+def _ngrams(spark, sf):
+    d = FE.with_terms(FX.documents(spark, sf).select("id", "text"), preset="features")
+    return d.select("id", F.size("terms").alias("n_tokens"), F.array_join("terms", "|").alias("tokens"))
+
+
 def _reanalyze(spark, sf):
     old = _analyzed(spark, sf, FX.documents).select("id", "text", "final_sentiment")
     return rounded(LX.reanalyze(old, LX.keyword_lexicon(spark)).drop("text"))
@@ -464,7 +469,7 @@ def sql_queries():
         "preprocess_social": _text("processed", X.preprocess_social, strip=False),
         "preprocess_punct": _text("processed", X.preprocess_punct, strip=False),
         "tokenize_words": _tokens(X.tokenize_words, " "),
-        "tokenize_ngrams": _tokens(X.tokenize_ngrams, "|"),
+        "tokenize_ngrams": _ngrams,
         # Sentiment
         "lexicon_score": lambda s, d: rounded(
             LX.lexicon_score(docs(s, d), LX.keyword_lexicon(s)).select("id", *LX.SCORES)),
