@@ -79,10 +79,10 @@ def vocabulary(df, terms="terms", preset="punct", **limits):
     """
     p = TEXT_PRESETS[preset] | limits
     total = df.agg(F.count("*").alias("n")).scalar()
-    once = F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("cf")))
-    every = F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("cf")))
-    counts = df.select(F.inline(F.concat(once, every))).groupBy("term").agg(
-        F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    # Every occurrence, then each distinct term once more; the position tells the two parts apart.
+    each = df.select(F.size(terms).alias("_n"), F.posexplode(F.concat(terms, F.array_distinct(terms))).alias("_i", "term"))
+    occurrence = F.col("_i") < F.col("_n")
+    counts = each.groupBy("term").agg(F.count_if(~occurrence).alias("df"), F.count_if(occurrence).alias("cf"))
     kept = counts.filter((F.col("df") >= p["min_df"]) & (F.col("df") <= F.lit(float(p["max_df"])) * total))
     return kept.orderBy(F.desc("cf"), "term").limit(p["max_features"]).withColumn(
         "idf", F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.col("df"))) + 1)

@@ -4,8 +4,8 @@ Training and prediction are `pyspark.ml` jobs. Several fitted models score a tab
 probability column to the row, and the long form is unfolded from the row at the end.
 """
 
-from dataclasses import dataclass, field
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -52,6 +52,8 @@ SETTINGS = {
     },
 }
 SEED = 42
+# Stopping tolerances of the linear and neural models and of the support vector machine.
+LINEAR_TOL, SVM_TOL = 1e-4, 1e-3
 
 
 @dataclass
@@ -105,7 +107,7 @@ def train_logistic(train, classes, name="logistic_regression", max_iter=1000, C=
     """L2 logistic regression; the penalty is spread over the training rows, 1 / (C n)."""
     train, weight = _weighted(train, balanced)
     base = MLC.LogisticRegression(maxIter=max_iter, regParam=1.0 / (C * max(train.count(), 1)), elasticNetParam=0.0,
-                                  standardization=False, **({} if one_vs_rest else weight))
+                                  standardization=False, tol=LINEAR_TOL, **({} if one_vs_rest else weight))
     if not one_vs_rest:
         return _one_pass(name, classes, base.setFamily("multinomial").fit(train))
     return _per_class(name, classes, _one_vs_rest(base, train, weight), _own_probability)
@@ -130,7 +132,8 @@ def train_naive_bayes(train, classes, name="naive_bayes", alpha=1.0):
 
 def train_mlp(train, classes, name="neural_network", hidden=(100, 50), max_iter=500):
     width = train.select("features").first()[0].size
-    net = MLC.MultilayerPerceptronClassifier(layers=[width, *hidden, len(classes)], maxIter=max_iter, seed=SEED)
+    net = MLC.MultilayerPerceptronClassifier(layers=[width, *hidden, len(classes)], maxIter=max_iter, seed=SEED,
+                                             tol=LINEAR_TOL)
     return _one_pass(name, classes, net.fit(train))
 
 
@@ -157,15 +160,16 @@ def random_fourier_features(df, width, gamma, size, seed=SEED, out="rff"):
     stored = F.unwrap_udt(F.col("features"))
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def cosines(idx: pd.Series, val: pd.Series) -> pd.Series:
+    def cosines(chunks: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         rng = np.random.default_rng(seed)
         w = rng.normal(scale=np.sqrt(2.0 * gamma), size=(width, size))
         b = rng.uniform(0.0, 2.0 * np.pi, size)
-        rows = []
-        for i, v in zip(idx, val):
-            v = np.asarray(v, dtype=float)
-            rows.append(np.sqrt(2.0 / size) * np.cos((v @ w if i is None else v @ w[np.asarray(i)]) + b))
-        return pd.Series(rows)
+        for idx, val in chunks:
+            rows = []
+            for i, v in zip(idx, val):
+                v = np.asarray(v, dtype=float)
+                rows.append(np.sqrt(2.0 / size) * np.cos((v @ w if i is None else v @ w[np.asarray(i, dtype=int)]) + b))
+            yield pd.Series(rows)
 
     return df.withColumn(out, array_to_vector(cosines(stored["indices"], stored["values"])))
 
@@ -182,7 +186,8 @@ def train_svm(train, classes, name="svm", C=1.0, balanced=False, size=256):
     def mapped(df):
         return random_fourier_features(df, width, gamma, size)
     fitted = mapped(train).persist()
-    svc = MLC.LinearSVC(featuresCol="rff", regParam=1.0 / (C * max(fitted.count(), 1)), maxIter=100)
+    svc = MLC.LinearSVC(featuresCol="rff", regParam=1.0 / (C * max(fitted.count(), 1)), maxIter=100,
+                        tol=SVM_TOL)
     models = MLC.OneVsRest(classifier=svc, featuresCol="rff", parallelism=3, **weight).fit(fitted).models
 
     def margin(df, i):
@@ -191,7 +196,7 @@ def train_svm(train, classes, name="svm", C=1.0, balanced=False, size=256):
     for i, m in enumerate(models):
         m.setRawPredictionCol(f"_raw{i}").setPredictionCol(f"_pred{i}")
         target = margin(m.transform(fitted), i).withColumn("_is", (F.col("label") == i).cast("double"))
-        curve = MLC.LogisticRegression(featuresCol=f"_margin{i}", labelCol="_is", maxIter=50).fit(target)
+        curve = MLC.LogisticRegression(featuresCol=f"_margin{i}", labelCol="_is", maxIter=50, tol=LINEAR_TOL).fit(target)
         curves.append(curve.setProbabilityCol(f"_prob{i}").setRawPredictionCol(f"_r{i}").setPredictionCol(f"_c{i}"))
     fitted.unpersist()
 

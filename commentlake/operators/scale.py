@@ -7,6 +7,12 @@ from commentlake.session import materialize
 SMALL_ROWS = 100_000
 
 
+def spread(df, key):
+    """Use all cores for a small input that arrives in fewer partitions; larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def join_checked(big, small, on, how="left", max_rows=SMALL_ROWS):
     """Join with a table that is expected to be small.
 

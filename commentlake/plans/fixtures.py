@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from commentlake.operators.scale import spread
 from commentlake.session import scratch_path
 
 # Fixed value: replies per page of the collecting service.
@@ -21,6 +22,11 @@ def documents(spark, sf_dir):
                     F.length("text").alias("reply_length"))
 
 
+def texts(spark, sf_dir):
+    """The same, spread over the cores for work that is heavy per character."""
+    return spread(documents(spark, sf_dir), "id")
+
+
 def comments(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("timestamp"))
     return documents(spark, sf_dir).join(e, "id", "left").select("id", "text", "username", "timestamp", "reply_length")
@@ -34,7 +40,7 @@ def tags(spark, sf_dir):
 
 def tagged_comments(spark, sf_dir):
     """Labelled comments only, as a training table."""
-    return tags(spark, sf_dir).join(documents(spark, sf_dir), "id")
+    return spread(documents(spark, sf_dir), "id").join(tags(spark, sf_dir), "id")
 
 
 def _stand_in(ids, factor, shift):

@@ -25,7 +25,7 @@ def rounded(df, digits=6):
 def _text(name, expr, strip=True):
     def run(spark, sf):
         t = X.clean_input("text") if strip else F.col("text")
-        return FX.documents(spark, sf).select("id", expr(t).alias(name))
+        return FX.texts(spark, sf).select("id", expr(t).alias(name))
     return run
 
 
@@ -39,7 +39,7 @@ def _analyzed(spark, sf, source=None):
 
 
 def _from_analysis(*cols):
-    return lambda spark, sf: rounded(_analyzed(spark, sf, FX.documents).select("id", *cols))
+    return lambda spark, sf: rounded(_analyzed(spark, sf, FX.texts).select("id", *cols))
 
 
 def _eval(spark, sf):
@@ -160,17 +160,17 @@ def _tokens(tokenizer, sep):
 
 
 def _ngrams(spark, sf):
-    d = FE.with_terms(FX.documents(spark, sf).select("id", "text"), preset="features")
+    d = FE.with_terms(FX.texts(spark, sf).select("id", "text"), preset="features")
     return d.select("id", F.size("terms").alias("n_tokens"), F.array_join("terms", "|").alias("tokens"))
 
 
 def _reanalyze(spark, sf):
-    old = _analyzed(spark, sf, FX.documents).select("id", "text", "final_sentiment")
+    old = _analyzed(spark, sf, FX.texts).select("id", "text", "final_sentiment")
     return rounded(LX.reanalyze(old, LX.keyword_lexicon(spark)).drop("text"))
 
 
 def _compare(spark, sf):
-    old = _analyzed(spark, sf, FX.documents).select("id", "text", F.col("textblob_sentiment").alias("final_sentiment"))
+    old = _analyzed(spark, sf, FX.texts).select("id", "text", F.col("textblob_sentiment").alias("final_sentiment"))
     return LX.compare_with_original(LX.reanalyze(old, LX.keyword_lexicon(spark)))
 
 
@@ -209,7 +209,7 @@ def _merge_by_order(spark, sf):
 
 
 def _report(spark, sf):
-    r = Q.analysis_report(_analyzed(spark, sf, FX.documents))
+    r = Q.analysis_report(_analyzed(spark, sf, FX.texts))
     return rounded(r.select("total_replies", "sentiment_distribution.*", "confidence_distribution.*",
                             "score_statistics.*", *[f"{x}_percentage" for x in ("positive", "negative", "neutral")]))
 
@@ -252,7 +252,7 @@ def _rule(rule, both=False):
 def _vectors(spark, sf):
     """TF-IDF vectors of all comments, unfolded to their stored entries."""
     v = FE.TextVectorizer("features")
-    d = v.fit(FX.documents(spark, sf)).transform(FX.documents(spark, sf))
+    d = v.fit(FX.texts(spark, sf)).transform(FX.texts(spark, sf))
     names = F.array(*[F.lit(t) for t in v.terms])
     stored = F.unwrap_udt("features")
     entries = F.arrays_zip(F.transform(stored["indices"], lambda i: F.get(names, i)).alias("term"),
@@ -271,7 +271,7 @@ def _scaled(spark, sf):
 
 def _absolute(spark, sf):
     cols = ["combined_sentiment_score", "vader_compound", "textblob_polarity"]
-    return rounded(FE.absolute_features(_analyzed(spark, sf, FX.documents), cols).select("id", *cols))
+    return rounded(FE.absolute_features(_analyzed(spark, sf, FX.texts), cols).select("id", *cols))
 
 
 def _feature_rows(spark, sf):
@@ -300,7 +300,7 @@ def _predictions_from(*names, preset="punct", **changes):
         c = ML.compare_models(FX.tagged_comments(spark, sf), preset, settings)
         if c.errors:
             raise RuntimeError(str(c.errors))
-        return rounded(ML.predict_all(c.models, c.vectorizer.transform(FX.documents(spark, sf))).select(
+        return rounded(ML.predict_all(c.models, c.vectorizer.transform(FX.texts(spark, sf))).select(
             "id", "model_name", "ml_sentiment", "ml_confidence"))
     return run
 
@@ -385,13 +385,13 @@ def _write_reports(spark, sf):
 def trained_queries():
     """Queries that train models or search neighbours."""
     return {
-        "tfidf_sql": lambda s, d: rounded(FE.tfidf_sql(FX.documents(s, d), stop_words=X.english_stop_words())),
+        "tfidf_sql": lambda s, d: rounded(FE.tfidf_sql(FX.texts(s, d), stop_words=X.english_stop_words())),
         "tfidf_vector": _vectors,
         "assemble_features": _assembled,
         "standard_scale": _scaled,
         "absolute_features": _absolute,
         "encode_labels": _encoded,
-        "choose_target": lambda s, d: FE.choose_target(_analyzed(s, d, FX.documents)).select("id", "target"),
+        "choose_target": lambda s, d: FE.choose_target(_analyzed(s, d, FX.texts)).select("id", "target"),
         "class_weights": lambda s, d: rounded(FE.class_weights(FX.tags(s, d)).select("id", "manual_sentiment", "weight")),
         "stratified_split": lambda s, d: stratified_split(FX.tags(s, d)).select("id", "manual_sentiment", "is_test"),
         "stratified_folds": lambda s, d: stratified_folds(FX.tags(s, d)).select("id", "manual_sentiment", "fold"),
@@ -464,7 +464,7 @@ def sql_queries():
         "has_caps": _text("has_caps", X.has_caps),
         "word_count": _text("word_count", lambda t: X.word_count(X.strip_emojis(t))),
         "char_count": _text("char_count", X.char_count),
-        "text_features": lambda s, d: X.text_features(docs(s, d)).drop("text", "username", "reply_length"),
+        "text_features": lambda s, d: X.text_features(FX.texts(s, d)).drop("text", "username", "reply_length"),
         "preprocess_letters": _text("processed", X.preprocess_letters, strip=False),
         "preprocess_social": _text("processed", X.preprocess_social, strip=False),
         "preprocess_punct": _text("processed", X.preprocess_punct, strip=False),
@@ -472,7 +472,7 @@ def sql_queries():
         "tokenize_ngrams": _ngrams,
         # Sentiment
         "lexicon_score": lambda s, d: rounded(
-            LX.lexicon_score(docs(s, d), LX.keyword_lexicon(s)).select("id", *LX.SCORES)),
+            LX.lexicon_score(FX.texts(s, d), LX.keyword_lexicon(s)).select("id", *LX.SCORES)),
         "classify_compound": _from_analysis("vader_sentiment"),
         "classify_polarity": _from_analysis("textblob_sentiment"),
         "combined_score": _from_analysis("combined_sentiment_score"),
@@ -493,10 +493,10 @@ def sql_queries():
         "merge_model_outputs": lambda s, d: rounded(J.merge_model_outputs(FX.pred_a(s, d), FX.pred_b(s, d))),
         "merge_by_order": _merge_by_order,
         # Aggregations and data quality
-        "label_distribution": lambda s, d: rounded(Q.label_distribution(_analyzed(s, d, docs))),
+        "label_distribution": lambda s, d: rounded(Q.label_distribution(_analyzed(s, d, FX.texts))),
         "distribution_3": lambda s, d: Q.distribution_3(FX.pred_a(s, d)),
-        "confidence_distribution": lambda s, d: rounded(Q.confidence_distribution(_analyzed(s, d, docs))),
-        "score_statistics": lambda s, d: rounded(Q.score_statistics(_analyzed(s, d, docs))),
+        "confidence_distribution": lambda s, d: rounded(Q.confidence_distribution(_analyzed(s, d, FX.texts))),
+        "score_statistics": lambda s, d: rounded(Q.score_statistics(_analyzed(s, d, FX.texts))),
         "analysis_report": _report,
         "reply_statistics": lambda s, d: rounded(Q.reply_statistics(docs(s, d))),
         "tag_progress": lambda s, d: rounded(Q.tag_progress(_tagged(s, d))),
@@ -508,7 +508,7 @@ def sql_queries():
         "model_agreement": lambda s, d: rounded(Q.model_agreement(FX.merged(s, d))),
         "agreement_matrix": lambda s, d: rounded(
             Q.agreement_matrix(_ensembled(s, d), E.method_columns(_ensembled(s, d)))),
-        "term_frequency": lambda s, d: Q.term_frequency(docs(s, d)),
+        "term_frequency": lambda s, d: Q.term_frequency(FX.texts(s, d)),
         "term_frequency_negative": lambda s, d: Q.term_frequency(_with_prediction(s, d), sentiment="negative"),
         "training_accuracy": _training_accuracy,
         # Metrics
