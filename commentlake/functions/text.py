@@ -80,20 +80,21 @@ def strip_emojis(c):
 
 def count_keywords(c, keywords, mode="substring"):
     """Number of list entries found in the text: inside words by default, or as whole words."""
-    lowered = F.lower(_col(c))
+    return keywords_in(F.lower(_col(c)), keywords, mode)
+
+
+def keywords_in(lowered, keywords, mode="substring"):
+    """The same for text that is lower-cased already."""
     if mode == "substring":
-        hits = [lowered.contains(k).cast("int") for k in keywords]
+        found = lowered.contains
     elif mode == "token":
-        words = F.array_distinct(F.regexp_extract_all(lowered, F.lit(WORD_RUN), F.lit(0)))
-        return sum_of_entries(words, keywords)
+        words = F.regexp_extract_all(lowered, F.lit(WORD_RUN), F.lit(0))
+
+        def found(k):
+            return F.array_contains(words, k)
     else:
         raise ValueError(f"unknown keyword mode: {mode}")
-    return reduce(add, hits)
-
-
-def sum_of_entries(words, keywords):
-    """Entries of the list (repeats included) present in a word array."""
-    return reduce(add, [F.array_contains(words, k).cast("int") for k in keywords])
+    return reduce(add, [found(k).cast("int") for k in keywords])
 
 
 def has_question(c):
@@ -170,11 +171,13 @@ def add_bigrams(terms):
 
 
 def text_features(df, text="text"):
-    """All text features in one narrow projection; blank text gives the zero row."""
-    t = clean_input(text)
-    cleaned = strip_emojis(t)
-    return df.withColumns({
-        "cleaned_text": cleaned,
+    """All text features without a shuffle; blank text gives the zero row.
+
+    What several features share gets a column of its own first, which keeps the generated code small.
+    """
+    t, low, cleaned = F.col("_t"), F.col("_low"), F.col("cleaned_text")
+    shared = df.withColumn("_t", clean_input(text)).withColumns({"_low": F.lower(t), "cleaned_text": strip_emojis(t)})
+    return shared.withColumns({
         "emojis": extract_emojis(t),
         "emoji_count": count_emoji_runs(t),
         "has_question": has_question(t),
@@ -182,6 +185,6 @@ def text_features(df, text="text"):
         "has_caps": has_caps(t),
         "word_count": word_count(cleaned),
         "char_count": char_count(t),
-        "positive_keywords": count_keywords(t, POSITIVE_KEYWORDS),
-        "negative_keywords": count_keywords(t, NEGATIVE_KEYWORDS),
-    })
+        "positive_keywords": keywords_in(low, POSITIVE_KEYWORDS),
+        "negative_keywords": keywords_in(low, NEGATIVE_KEYWORDS),
+    }).drop("_t", "_low")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from commentlake.functions.labels import is_tagged, known_label, normalize_label
 from commentlake.functions.text import tokenize_words
 from commentlake.operators.metrics import MODEL, ratio
-from commentlake.operators.scale import quantiles, with_share
+from commentlake.operators.scale import quantiles_of, value_counts, with_share
 from commentlake.schema import LABELS
 
 BANDS = ("high", "medium", "low")
@@ -35,33 +35,54 @@ def confidence_distribution(df, band="confidence"):
     return label_distribution(df, band).withColumnRenamed("label", "confidence")
 
 
+STATISTICS = ("count", "mean", "std", "min", "q25", "q50", "q75", "max")
+
+
 def score_statistics(df, value="combined_sentiment_score", approximate=False):
     """count, mean, std, min, quartiles and max as one row.
 
-    Quartiles are exact by default, taken from range-partitioned distinct values; `approximate` trades them for
-    a mergeable sketch in the same pass as the other figures.
+    Quartiles are exact by default, taken from counted distinct values; `approximate` trades them for a mergeable
+    sketch in the same pass as the other figures.
     """
-    v = F.col(value)
-    base = [F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-            F.min(v).alias("min"), F.max(v).alias("max")]
     if approximate:
-        quarter = F.percentile_approx(v, [0.25, 0.5, 0.75], 10_000)
-        out = df.agg(*base, quarter.alias("_q"))
-        q = [F.col("_q")[i] for i in range(3)]
-    else:
-        found = quantiles(df, value, [0.25, 0.5, 0.75])
-        out = df.agg(*base).withColumn("_q", found.select(F.struct("q25", "q50", "q75")).scalar())
-        q = [F.col("_q")[c] for c in ("q25", "q50", "q75")]
-    return out.select("count", "mean", "std", "min", q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), "max")
+        v = F.col(value)
+        q = F.percentile_approx(v, [0.25, 0.5, 0.75], 10_000)
+        return df.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                      F.min(v).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"),
+                      F.max(v).alias("max"))
+    return statistics_of(value_counts(df, value))
+
+
+def statistics_of(counts):
+    """The same figures from a table of counted values."""
+    v, c = F.col("_v"), F.when(F.col("_v").isNotNull(), F.col("_c"))
+    mean = counts.agg(F.try_divide(F.sum(v * c), F.sum(c)).alias("m")).scalar()
+    quarters = quantiles_of(counts, [0.25, 0.5, 0.75])
+    spread = F.sum((v - mean) * (v - mean) * c)
+    return counts.agg(
+        F.coalesce(F.sum(c), F.lit(0)).alias("count"), F.max(mean).alias("mean"),
+        F.sqrt(F.try_divide(spread, F.sum(c) - 1)).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+    ).withColumn("_q", quarters.select(F.struct("*")).scalar()).select("*", "_q.*").select(*STATISTICS)
 
 
 def analysis_report(df, approximate=False):
-    """Label, confidence and score figures of an analysed table as one nested row."""
-    counts = df.agg(
-        F.count("*").alias("total_replies"),
-        *[F.count_if(F.col("final_sentiment") == x).alias(x) for x in LABELS],
-        *[F.count_if(F.col("confidence") == x).alias(x) for x in BANDS])
-    stats = score_statistics(df, approximate=approximate)
+    """Label, confidence and score figures of an analysed table as one nested row.
+
+    The analysis runs once: its rows are reduced to counts per score, label and band, or, with `approximate`,
+    aggregated directly.
+    """
+    score = "combined_sentiment_score"
+    if approximate:
+        stats = score_statistics(df, approximate=True)
+        rows, n = df.withColumn("_c", F.lit(1)), F.col("_c")
+    else:
+        rows = value_counts(df, score, "final_sentiment", "confidence")
+        stats, n = statistics_of(rows), F.col("_c")
+
+    def rows_with(c, x):
+        return F.sum(F.when(F.col(c) == x, n).otherwise(0)).alias(x)
+    counts = rows.agg(F.sum(n).alias("total_replies"), *[rows_with("final_sentiment", x) for x in LABELS],
+                      *[rows_with("confidence", x) for x in BANDS])
     total = F.col("total_replies")
     return counts.select(
         total,

@@ -72,29 +72,30 @@ def running_before(df, group, order, value, name, partitions=None):
         name, F.col("_local") + F.col("_offset")).drop("_part", "_pos", "_local", "_offset")
 
 
-def quantiles(df, value, probabilities):
-    """Exact quantiles with linear interpolation as one row of q{percent} columns.
+def value_counts(df, value, *others):
+    """Rows per distinct value (and other columns), written out once so that what follows does not redo `df`.
 
-    Equal values are counted together first, so a value held by many rows costs one row.
+    A value held by many rows costs one row here.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    placed = running_before(counts, [], ["_v"], "_c", "_before")
-    total = counts.agg((F.sum("_c") - 1).alias("t")).scalar()
+    return materialize(df.groupBy(F.col(value).alias("_v"), *others).agg(F.count("*").alias("_c")))
+
+
+def quantiles_of(counts, probabilities):
+    """Exact quantiles of counted values, with linear interpolation, as one row of q{percent} columns."""
+    per_value = counts.filter(F.col("_v").isNotNull()).groupBy("_v").agg(F.sum("_c").alias("_c"))
+    placed = running_before(per_value, [], ["_v"], "_c", "_before")
+    total = per_value.agg((F.sum("_c") - 1).alias("t")).scalar()
     first, last = F.col("_before"), F.col("_before") + F.col("_c") - 1
-    aggs = []
-    for p in probabilities:
-        at = total * F.lit(float(p))
-        low, high = F.floor(at), F.ceil(at)
-        lo = F.max(F.when((first <= low) & (low <= last), F.col("_v")))
-        hi = F.max(F.when((first <= high) & (high <= last), F.col("_v")))
-        aggs += [lo.alias(f"_lo{p}"), hi.alias(f"_hi{p}")]
-    picked = placed.agg(*aggs)
-    out = []
+    aggs, out = [], []
     for p in probabilities:
-        frac = total * F.lit(float(p)) - F.floor(total * F.lit(float(p)))
-        lo, hi = F.col(f"`_lo{p}`"), F.col(f"`_hi{p}`")
-        out.append((lo + (hi - lo) * frac).alias(f"q{round(p * 100)}"))
-    return picked.select(*out)
+        at, name = total * F.lit(float(p)), f"q{round(p * 100)}"
+
+        def value_at(row):
+            return F.max(F.when((first <= row) & (row <= last), F.col("_v")))
+        aggs += [value_at(F.floor(at)).alias(f"{name}_low"), value_at(F.ceil(at)).alias(f"{name}_high")]
+        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
+        out.append((low + (high - low) * (at - F.floor(at))).alias(name))
+    return placed.agg(*aggs).select(*out)
 
 
 def key_hash(key, seed):

@@ -29,7 +29,7 @@ def texts(spark, sf_dir):
 
 def comments(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("timestamp"))
-    return documents(spark, sf_dir).join(e, "id", "left").select("id", "text", "username", "timestamp", "reply_length")
+    return texts(spark, sf_dir).join(e, "id", "left").select("id", "text", "username", "timestamp", "reply_length")
 
 
 def tags(spark, sf_dir):
