@@ -44,7 +44,7 @@ def map_model_labels(scores, mapping):
     """Best-scored entry of array<struct<label,score>> mapped to a sentiment; the first wins ties."""
     scores = _col(scores)
     top = F.array_max(F.transform(scores, lambda s: s["score"]))
-    best = F.element_at(F.filter(scores, lambda s: s["score"] == top), 1)
+    best = F.try_element_at(F.filter(scores, lambda s: s["score"] == top), F.lit(1))
     label = best["label"]
     mapped = F.lower(label)
     for raw, sentiment in mapping.items():
@@ -56,8 +56,8 @@ def map_model_labels(scores, mapping):
 def map_binary_labels(scores, negative="LABEL_0", positive="LABEL_1", margin=0.15):
     """Two-class scores; closer than the margin means neutral at 0.5, unmatched names give null."""
     scores = _col(scores)
-    neg = F.element_at(F.filter(scores, lambda s: s["label"] == negative), 1)["score"]
-    pos = F.element_at(F.filter(scores, lambda s: s["label"] == positive), 1)["score"]
+    neg = F.try_element_at(F.filter(scores, lambda s: s["label"] == negative), F.lit(1))["score"]
+    pos = F.try_element_at(F.filter(scores, lambda s: s["label"] == positive), F.lit(1))["score"]
     sentiment = (
         F.when(F.abs(pos - neg) < margin, "neutral").when(pos > neg, "positive").when(pos <= neg, "negative")
     )

@@ -7,17 +7,19 @@ from commentlake.functions.text import strip
 from commentlake.schema import COMMENTS, LABELS, NA_TOKENS
 
 
-def read_comments(spark, path, schema=COMMENTS, na_tokens=True, required=("text",), fmt="csv"):
+def read_comments(spark, path, schema=COMMENTS, na_tokens=True, required=("text",), fmt="csv",
+                  multiline=True):
     """A comment table with a declared schema.
 
     CSV fields may be quoted and span lines. Missing-value tokens become null unless `na_tokens` is off; a
-    missing required column is an error.
+    missing required column is an error. A file whose fields span lines is read by one task; turn `multiline` off
+    for large files without such fields, so that they are split.
     """
     if fmt != "csv":
         df = spark.read.schema(schema).format(fmt).load(path)
         _require(spark.read.format(fmt).load(path).columns, required)
         return _nullify(df, NA_TOKENS) if na_tokens else df
-    options = dict(header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
+    options = dict(header=True, multiLine=multiline, quote='"', escape='"', mode="PERMISSIVE")
     header = spark.read.options(**options).csv(path).columns
     _require(header, required)
     # Columns are taken by name in file order; typed ones are parsed leniently after the text is read.
