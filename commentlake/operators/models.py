@@ -275,12 +275,18 @@ def training_rows(df, preset="punct", label="manual_sentiment", fit_on="train",
     return encode_labels(vectorizer.transform(tagged), classes, label), vectorizer, classes
 
 
+def for_iterations(df, rows_per_task=20_000):
+    """Few rows in many partitions make iterative training wait on task starts; larger tables keep theirs."""
+    wanted = max(1, df.count() // rows_per_task)
+    return df.coalesce(wanted) if wanted < df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def compare_models(df, preset="punct", settings=None, fit_on="train", stratify=True, **limits):
     """Train every model of the preset on the tagged training rows; one that fails is recorded and skipped."""
     rows, vectorizer, classes = training_rows(df, preset, fit_on=fit_on, stratify=stratify, **limits)
     rows = rows.persist()
     out = Comparison(vectorizer, classes)
-    train = rows.filter(~F.col("is_test"))
+    train = for_iterations(rows.filter(~F.col("is_test")))
     for name, params in (settings or SETTINGS[preset]).items():
         try:
             out.models.append(TRAINERS[name](train, classes, **params))
@@ -296,7 +302,7 @@ def cross_validate(rows, classes, name, params=None, k=5, metric="accuracy", lab
     folded = stratified_folds(rows, k, label=label).persist()
     parts = []
     for i in range(k):
-        model = TRAINERS[name](folded.filter(F.col("fold") != i), classes, **(params or {}))
+        model = TRAINERS[name](for_iterations(folded.filter(F.col("fold") != i)), classes, **(params or {}))
         parts.append(predict_all([model], folded.filter(F.col("fold") == i), ("id", label, "fold")))
     held = parts[0]
     for p in parts[1:]:

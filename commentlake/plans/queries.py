@@ -309,7 +309,7 @@ def _mlp(spark, sf):
     rows = _feature_rows(spark, sf)
     classes = FE.label_classes(rows, "target")
     train = FE.encode_labels(rows, classes, "target").persist()
-    model = ML.train_mlp(train, classes, **(ML.SETTINGS["features"]["neural_network"] | {"max_iter": 60}))
+    model = ML.train_mlp(ML.for_iterations(train), classes, **(ML.SETTINGS["features"]["neural_network"] | {"max_iter": 60}))
     return rounded(ML.predict_all([model], train).select("id", "model_name", "ml_sentiment", "ml_confidence"))
 
 
