@@ -11,7 +11,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-         ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
+         ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
 links AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
@@ -27,12 +27,12 @@ SHARDS = """
 WITH tab AS (
   SELECT list(c ORDER BY i) AS t FROM (
     SELECT i, list_reduce(list_prepend(i, [0, 1, 2, 3, 4, 5, 6, 7]),
-                          (c, k) -> CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+                          lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
     FROM range(256) r(i))),
 crc AS (
   SELECT text, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode(text))),
-           i -> ('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::BIGINT)),
-           (c, b) -> xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) AS text_crc32
+           lambda i: ('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::BIGINT)),
+           lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) AS text_crc32
   FROM (SELECT DISTINCT text FROM documents WHERE text <> ''), tab),
 d AS (
   SELECT doc_id, source, coalesce(octet_length(encode(text)), 0) + 1 AS size, coalesce(text_crc32, 0) AS text_crc32,
@@ -100,7 +100,7 @@ WITH r AS (
 bare AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS b FROM r),
 c AS (
   SELECT *, list_sort(list_filter(string_split(regexp_extract(b, '[?](.*)$', 1), '&'),
-                      p -> p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) AS q FROM bare),
+                      lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) AS q FROM bare),
 u AS (
   SELECT *, regexp_replace(lower(regexp_extract(b, '^[^/?]*')), '(^www[.])|(:(80|443)$)', '')
             || regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '/+$', '')
@@ -134,12 +134,12 @@ iw AS (
   FROM benchmark WHERE item_id IS NOT NULL),
 win AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS n,
-         unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), i -> array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS s
+         unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS s
   FROM iw WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT n FROM win),
 g AS (
   SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS p,
-         unnest(list_transform(range(1, len(w) - n + 2), i -> array_to_string(w[i:i + n - 1], ' '))) AS s
+         unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS s
   FROM w, sizes WHERE len(w) >= n),
 hit AS (SELECT g.doc_id, g.p, g.n, win.item_id FROM g JOIN win ON g.n = win.n AND g.s = win.s),
 words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id),
