@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from commentlake.llm.hashing import text_buffer
+from commentlake.llm.sampling import bounded_sample
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = np.zeros(128, bool)
@@ -318,8 +319,8 @@ def fit(docs, max_rows=2000, max_bytes=1 << 16, seed=31):
     """The field's potentials, learned on the driver from at most `max_rows` texts of at most `max_bytes` bytes that hold
     a digit or an @, chosen by a hash of id and text."""
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes).where(F.col("text").rlike("[0-9@]"))
-    order = F.xxhash64("doc_id", "text", F.lit(seed))
-    return train([r["text"] for r in texts.select("text", order.alias("h")).orderBy("h").limit(max_rows).select("text").collect()])
+    sample = bounded_sample(texts, max_rows, F.xxhash64("doc_id", "text", F.lit(seed)))
+    return train([r["text"] for r in sample.select("text").collect()])
 
 
 def span_text(spans):
