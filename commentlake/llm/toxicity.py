@@ -5,6 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from commentlake.llm.hashing import _BYTE, ALNUM, FOLD, mix64, seeds, text_buffer
+from commentlake.llm.sampling import bounded_sample
 
 BITS = 17
 GRAMS = (3, 4, 5, 6, 8)
@@ -139,8 +140,8 @@ def labelled_sample(docs, labels, label, rows_per_class, max_bytes, seed=17):
     sizes = docs.select("doc_id", F.octet_length("text").alias("b")).where(F.col("b").isNull() | (F.col("b") <= max_bytes))
     known = known.join(sizes.select("doc_id"), "doc_id", "left_semi")
     order = F.xxhash64("doc_id", F.lit(seed))
-    picked = known.where("label = 0").orderBy(order, "doc_id").limit(rows_per_class).unionByName(
-        known.where("label = 1").orderBy(order, "doc_id").limit(rows_per_class))
+    picked = bounded_sample(known.where("label = 0"), rows_per_class, order).unionByName(
+        bounded_sample(known.where("label = 1"), rows_per_class, order))
     short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= max_bytes)
     rows = short.join(F.broadcast(picked), "doc_id")
     return rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "label")).alias("r")) \
