@@ -10,7 +10,6 @@ def bounded_sample(df, rows, order):
     however many there are; the share only saves work, as the least values lie in it.
     """
     n = df.count()
-    share = min(1.0, (2 * rows + 200) / max(n, 1))
-    low = -(1 << 63)
-    return df.withColumn("_h", order).where(F.col("_h") <= F.lit(low + int(share * ((1 << 64) - 1)))) \
-        .orderBy("_h").limit(rows).drop("_h")
+    low, high = -(1 << 63), (1 << 63) - 1
+    cut = min(high, low + ((2 * rows + 200) << 64) // max(n, 1))
+    return df.withColumn("_h", order).where(F.col("_h") <= F.lit(cut)).orderBy("_h").limit(rows).drop("_h")
