@@ -11,6 +11,7 @@ from commentlake.llm.hashing import hash_words, mix64, runs, seeds, shingle_set,
 from commentlake.session import materialize
 
 BLOCK = 512  # members of a residual bucket compared with each other at a time
+BINS = 1024  # bytes of the second sketch, which tells near pairs from the threshold before texts are fetched
 CHUNK = 4096  # shingles hashed at a time
 
 
@@ -87,19 +88,50 @@ def _confirm_batches(shingle, percent):
     return run
 
 
-def confirm(pairs, docs, shingle, percent, filter_bits=20):
-    """The pairs (a, b) whose full shingle sets reach the threshold.
+def texts_of(ids, docs, filter_bits=20):
+    """(doc_id, text) of the wanted ids, each text once.
 
-    Only texts that occur in a pair are shuffled: a semi join with the hash places of the wanted ids, at most 2^filter_bits
-    rows whatever the input, drops most of the others before the exact join.
+    A semi join with the hash places of the ids, at most 2^filter_bits rows whatever the input, keeps most other texts
+    from being shuffled for the exact join.
     """
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-
     def place(c):
         return F.pmod(F.xxhash64(c), F.lit(1 << filter_bits))
     wanted = F.broadcast(ids.select(place("doc_id").alias("_p")).distinct())
     texts = docs.select("doc_id", "text").where("doc_id is not null").join(wanted, place("doc_id") == F.col("_p"), "left_semi")
-    texts = texts.join(ids, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
+    texts = texts.join(ids, "doc_id", "left_semi")
+    return texts.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
+
+
+def one_permutation(shingles):
+    """A byte per bin of the hash range, from the bin's least shingle; 0 where a bin is empty."""
+    out = np.zeros(BINS, np.uint8)
+    place, first = np.unique(shingles // np.uint64((1 << 64) // BINS), return_index=True)
+    out[place.astype(np.int64)] = (shingles[first] & np.uint64(0xFFFF)) % np.uint64(255) + np.uint64(1)
+    return out
+
+
+def _second_sketch_batches(shingle):
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(1))
+            out = []
+            for i, j in runs(offsets):
+                words, at = hash_words(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+                out += [one_permutation(shingle_set(words[at[r]:at[r + 1]], shingle)).tobytes() for r in range(j - i)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["rep", "sketch"])
+    return run
+
+
+def likeness(x, y):
+    """Share of equal bins among those that either sketch fills, row by row: estimates resemblance without bias, with a
+    standard error of sqrt(J (1 - J) / BINS) at most."""
+    filled = ((x | y) > 0).sum(1)
+    return ((x == y) & (x > 0)).sum(1) / np.maximum(filled, 1)
+
+
+def confirm(pairs, docs, shingle, percent, filter_bits=20):
+    """The pairs (a, b) whose full shingle sets reach the threshold; only texts that occur in a pair are shuffled."""
+    texts = texts_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), docs, filter_bits)
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -107,7 +139,10 @@ def confirm(pairs, docs, shingle, percent, filter_bits=20):
 
 
 def _residual_batches(bands, percent, least_common):
-    """Pairs inside blocks of buckets: rows (key, left block, right block, side, id, component, size, band, bands)."""
+    """Pairs inside blocks of buckets: rows (key, left block, right block, side, id, component, size, band, bands, sketch)."""
+    near = percent / 100
+    least_like = near - 5 * (near * (1 - near) / BINS) ** 0.5
+
     def compare(t):
         side = t["side"]
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
@@ -122,13 +157,20 @@ def _residual_batches(bands, percent, least_common):
             ok &= 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
             ok &= (ia < ib) | (side[rows][:, None] == 0)
             x, y = np.nonzero(ok)
-            found.append(np.stack((t["id"][rows[x]], t["id"][right[y]]), 1))
+            x, y = rows[x], right[y]
+            for k in range(0, len(x), 1024):
+                u, v = x[k:k + 1024], y[k:k + 1024]
+                like = likeness(t["sketch"][u], t["sketch"][v]) >= least_like
+                found.append(np.stack((t["id"][u[like]], t["id"][v[like]]), 1))
         return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
     def columns(batch):
-        out = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names) if n != "bands"}
+        out = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)
+               if n not in ("bands", "sketch")}
         lists = batch.column(batch.schema.get_field_index("bands"))
         out["bands"] = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, bands)
+        sketches = batch.column(batch.schema.get_field_index("sketch")).to_pylist()
+        out["sketch"] = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BINS)
         return out
 
     def emit(found):
@@ -166,21 +208,26 @@ def candidate_stars(reps):
     return members.join(centres, ["band", "key"])
 
 
-def residual_pairs(members, reps, labels, bands, percent, least_common):
-    """Pairs of sets of different components that still share buckets; large buckets are compared block by block."""
+def residual_pairs(members, reps, labels, docs, shingle, bands, percent, least_common):
+    """Pairs of sets of different components that still share buckets; large buckets are compared block by block.
+
+    Only pairs within five standard errors of the threshold by their second sketch are returned.
+    """
     split = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left") \
         .withColumn("component", F.coalesce("component_id", "rep"))
     mixed = split.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")) \
         .where("x <> y").select("band", "key")
-    rows = split.join(mixed, ["band", "key"]).select("band", "key", "m", "rep", "component")
-    rows = rows.join(reps.select("rep", "n_shingles", "bands"), "rep") \
+    rows = materialize(split.join(mixed, ["band", "key"]).select("band", "key", "m", "rep", "component"))
+    texts = texts_of(rows.select(F.col("rep").alias("doc_id")).distinct(), docs)
+    sketched = texts.mapInArrow(_second_sketch_batches(shingle), "rep long, sketch binary")
+    rows = rows.join(reps.select("rep", "n_shingles", "bands").join(sketched, "rep"), "rep") \
         .withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")) \
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("other", other).select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
-        F.col("rep").alias("id"), "component", F.col("n_shingles").alias("size"), F.col("band").cast("int").alias("band"), "bands")
+        F.col("rep").alias("id"), "component", F.col("n_shingles").alias("size"), F.col("band").cast("int").alias("band"), "bands", "sketch")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rows.mapInArrow(_residual_batches(bands, percent, least_common), "a long, b long").distinct()
@@ -194,8 +241,8 @@ def near_duplicates(docs, shingle=3, percent=85, bands=32, rows=5, least_common=
 
     Method: bands * rows / 2 hash functions give twice as many sketch values, their minima and maxima. Equal sets are one
     class from the start. Every bucket proposes each member with one centre; after those links are confirmed on full sets,
-    buckets whose members still lie in different components are compared in blocks, so no bucket is capped, and none emits
-    pairs that are already connected. A pair at the threshold shares no bucket with a chance of (1 - t^rows)^bands, and fewer
+    buckets whose members still lie in different components are compared in blocks by a second, finer sketch, so no bucket is
+    capped, and pairs that are connected already or clearly apart are not emitted. A pair at the threshold shares no bucket with a chance of (1 - t^rows)^bands, and fewer
     than `least_common` buckets, which the second step asks for, with about 2e-7 at the defaults.
 
     A document without words is linked with nothing. Rows that share a doc_id are one document: any of their texts links it.
@@ -217,7 +264,7 @@ def near_duplicates(docs, shingle=3, percent=85, bands=32, rows=5, least_common=
     stars = materialize(stars)
     links = materialize(confirm(stars, docs, shingle, percent))
     labels = components(links)
-    rest = residual_pairs(members, reps, labels, bands, percent, least_common).join(stars, ["a", "b"], "left_anti")
+    rest = residual_pairs(members, reps, labels, docs, shingle, bands, percent, least_common).join(stars, ["a", "b"], "left_anti")
     more = confirm(materialize(rest), docs, shingle, percent)
 
     labels = components(links.unionByName(more).unionByName(copies)).withColumnRenamed("id", "doc_id")
