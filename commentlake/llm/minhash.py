@@ -10,7 +10,7 @@ from commentlake.llm.components import components
 from commentlake.llm.hashing import hash_words, mix64, runs, seeds, shingle_set, signed, text_buffer
 from commentlake.session import materialize
 
-BLOCK = 512  # members of a residual bucket compared with each other at a time
+BLOCK = 4096  # members of a residual bucket compared with each other at a time
 BINS = 1024  # bytes of the second sketch, which tells near pairs from the threshold before texts are fetched
 CHUNK = 4096  # shingles hashed at a time
 
