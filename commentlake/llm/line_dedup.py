@@ -41,46 +41,71 @@ def _probes(text, length, base_of, parts, salt):
     return out
 
 
-def edit_distance(a, b, threshold):
-    """Edit distance of two string columns, or threshold + 1 if it is larger: Hyyro's bit vectors on a band of the matrix.
+def _let(value, then):
+    """`then` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), 0)
 
-    Bit i of column j stands for row j - threshold + i; a column is a few operations on one long, for bands up to 61 rows.
-    """
-    t, width = threshold, 2 * threshold + 1
-    mask = F.lit((1 << width) - 1)
-    zero = F.lit(0).cast("long")
-    chars_a, chars_b, m, n = F.split(a, ""), F.split(b, ""), F.char_length(a), F.char_length(b)
 
-    def matches(j, c):
-        bits = [F.when(F.get(chars_a, j - t + i) == c, F.lit(1 << i).cast("long")).otherwise(zero) for i in range(width)]
-        out = bits[0]
-        for bit in bits[1:]:
-            out = out.bitwiseOR(bit)
-        return F.struct((j + 1).alias("j"), out.alias("pm"))
+def _common(x, y):
+    """Number of equal elements at the beginning of two arrays that differ somewhere."""
+    return F.array_position(F.zip_with(x, y, lambda u, v: F.coalesce(u != v, F.lit(True))), True).cast("int") - 1
+
 
-    def let(value, then):
-        return F.get(F.transform(F.array(value), then), 0)
+def _banded(x, y, t):
+    """Hyyro's bit vectors on a band of the matrix, for two arrays of characters.
 
-    def flip(x):
-        return F.bitwise_not(x).bitwiseAND(mask)
+    Bit i of column j stands for row j - t + i, so a column is a few operations on one long. Once the followed cell exceeds 3t,
+    all cells of the band exceed t and the remaining columns are passed over.
+    """
+    width, m, n = 2 * t + 1, F.size(x), F.size(y)
+    mask, zero, one = F.lit((1 << width) - 1), F.lit(0).cast("long"), F.lit(1).cast("long")
 
-    def bit(x, i):
-        return F.call_function("shiftrightunsigned", x, i).bitwiseAND(F.lit(1).cast("long"))
+    def flip(v):
+        return F.bitwise_not(v).bitwiseAND(mask)
 
-    def step(s, column):
-        j, pm, vp, vn = column["j"], column["pm"], s["vp"], s["vn"]
-        d0 = ((pm.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(pm).bitwiseOR(vn).bitwiseAND(mask)
+    def bit(v, i):
+        return F.call_function("shiftrightunsigned", v, i).bitwiseAND(one)
 
-        def finish(d0):
-            hp, hn, down = vn.bitwiseOR(flip(d0.bitwiseOR(vp))), d0.bitwiseAND(vp), F.shiftrightunsigned(d0, 1)
+    def step(s, column):
+        j, vp, vn = column["j"], s["vp"], s["vn"]
+        pm = zero
+        for i in range(width):
+            pm = pm.bitwiseOR(F.when(F.get(x, j - 1 - t + i) == column["c"], F.lit(1 << i).cast("long")).otherwise(zero))
+
+        def finish(d):
+            d0, down = d["d0"], F.shiftrightunsigned(d["d0"], 1)
+            hp, hn = vn.bitwiseOR(flip(d0.bitwiseOR(vp))), d0.bitwiseAND(vp)
             at = m - j + t
             dist = F.when(j <= m - t, s["dist"] + 1 - bit(d0, F.lit(width - 1))).otherwise(s["dist"] + bit(hp, at) - bit(hn, at))
             return F.struct(hn.bitwiseOR(flip(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), dist.alias("dist"))
-        return let(d0, finish)
-    columns = F.transform(F.slice(chars_b, 1, n), lambda c, j: matches(j, c))
-    start = F.struct(F.lit(((1 << (t + 1)) - 1) << t).cast("long").alias("vp"), zero.alias("vn"), F.lit(t).cast("long").alias("dist"))
-    dist = F.aggregate(columns, start, step)["dist"]
-    return F.when(F.abs(m - n) > t, F.lit(t + 1)).otherwise(F.least(dist, F.lit(t + 1).cast("long"))).cast("int")
+
+        def diagonal(pm):
+            d0 = (pm.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(pm).bitwiseOR(vn).bitwiseAND(mask)
+            return F.struct(d0.alias("d0"))
+        return F.when(s["dist"] > 3 * t, s).otherwise(_let(_let(pm, diagonal), finish))
+    columns = F.transform(y, lambda c, j: F.struct((j + 1).alias("j"), c.alias("c")))
+    start = F.struct(F.lit(((1 << (t + 1)) - 1) << t).cast("long").alias("vp"), zero.alias("vn"),
+                     F.least(m, F.lit(t)).cast("long").alias("dist"))
+    far = F.lit(t + 1).cast("long")
+    return F.when(F.abs(m - n) > t, far).otherwise(F.least(F.aggregate(columns, start, step)["dist"], far))
+
+
+def edit_distance(a, b, threshold):
+    """Edit distance of two string columns, or threshold + 1 if it is larger.
+
+    The common beginning and end are taken off, which leaves the distance as it is; the rest goes through the band.
+    """
+    def trimmed(s):
+        def end_off(r):
+            size = _common(F.reverse(r["x"]), F.reverse(r["y"]))
+            return _let(size, lambda k: F.struct(F.slice(r["x"], 1, F.size(r["x"]) - k).alias("x"),
+                                                 F.slice(r["y"], 1, F.size(r["y"]) - k).alias("y")))
+        begin_off = _let(_common(s["x"], s["y"]), lambda k: F.struct(
+            F.slice(s["x"], k + 1, F.size(s["x"])).alias("x"), F.slice(s["y"], k + 1, F.size(s["y"])).alias("y")))
+        return _let(_let(begin_off, end_off), lambda r: _banded(r["x"], r["y"], threshold))
+    chars = F.struct(F.slice(F.split(a, ""), 1, F.char_length(a)).alias("x"), F.slice(F.split(b, ""), 1, F.char_length(b)).alias("y"))
+    apart = F.abs(F.char_length(a) - F.char_length(b)) > threshold
+    return F.when(a == b, 0).when(apart, threshold + 1).otherwise(_let(chars, trimmed)).cast("int")
 
 
 def _lines(docs, min_chars):
@@ -172,8 +197,8 @@ def dedup_lines(docs, threshold=1, min_chars=10):
     ids = members.select("k1", "k2").distinct()
     place = F.shiftrightunsigned("k1", 44)
     wanted = F.broadcast(ids.select(place.alias("_p")).distinct())  # 2^20 rows at most, whatever the input
-    texts = rows.where("k1 is not null").join(wanted, place == F.col("_p"), "left_semi").select("k1", "k2", "line") \
-        .join(ids, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min("line").alias("line"))
+    texts = rows.where("k1 is not null").join(wanted, place == F.col("_p"), "left_semi").groupBy("k1", "k2").agg(
+        F.min("line").alias("line")).join(ids, ["k1", "k2"], "left_semi")
     name = F.concat_ws(":", F.hex("k1"), F.hex("k2"))
     texts = materialize(texts.withColumn("id", name))
     lines = members.join(texts, ["k1", "k2"]).select("id", "line", "role", "base", "start", "size", "key", "m")
