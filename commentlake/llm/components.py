@@ -22,21 +22,22 @@ def components(links, a="a", b="b"):
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null") \
         .where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
+    def state(rows):
+        return rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
     edges = materialize(edges)
+    before = state(edges)
     for _ in range(MAX_ROUNDS):
         both = edges.where("u <> v")
         both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_low(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_low(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = _with_low(large.where("u > v"))
         small = low.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(
             low.select("u", F.col("m").alias("v"))).distinct()
-        loops = edges.where("u = v")
-        new = materialize(small.unionByName(loops))
-        same = [x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-                for x in (edges, new)]
-        edges = new
-        if same[0] == same[1]:
+        edges = materialize(small.unionByName(edges.where("u = v")))
+        now = state(edges)
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     ids = edges.groupBy("u").agg(F.min("v").alias("component_id")).withColumnRenamed("u", "id")

@@ -11,7 +11,7 @@ from commentlake.llm.hashing import hash_words, mix64, runs, seeds, shingle_set,
 from commentlake.session import materialize
 
 BLOCK = 4096  # members of a residual bucket compared with each other at a time
-BINS = 1024  # bytes of the second sketch, which tells near pairs from the threshold before texts are fetched
+BINS = 1024  # places of the second sketch, four bits each, which tells near pairs from the threshold before texts are fetched
 CHUNK = 4096  # shingles hashed at a time
 
 
@@ -103,11 +103,11 @@ def texts_of(ids, docs, filter_bits=20):
 
 
 def one_permutation(shingles):
-    """A byte per bin of the hash range, from the bin's least shingle; 0 where a bin is empty."""
+    """Four bits per bin of the hash range, from the bin's least shingle; 0 where a bin is empty. Two bins share a byte."""
     out = np.zeros(BINS, np.uint8)
     place, first = np.unique(shingles // np.uint64((1 << 64) // BINS), return_index=True)
-    out[place.astype(np.int64)] = (shingles[first] & np.uint64(0xFFFF)) % np.uint64(255) + np.uint64(1)
-    return out
+    out[place.astype(np.int64)] = (shingles[first] & np.uint64(0xFFFF)) % np.uint64(15) + np.uint64(1)
+    return out[::2] << 4 | out[1::2]
 
 
 def _second_sketch_batches(shingle):
@@ -123,10 +123,13 @@ def _second_sketch_batches(shingle):
 
 
 def likeness(x, y):
-    """Share of equal bins among those that either sketch fills, row by row: estimates resemblance without bias, with a
-    standard error of sqrt(J (1 - J) / BINS) at most."""
-    filled = ((x | y) > 0).sum(1)
-    return ((x == y) & (x > 0)).sum(1) / np.maximum(filled, 1)
+    """Share of equal bins among those that either sketch fills, row by row. Its mean is the resemblance J, plus up to
+    (1 - J) / 15 for values that are equal by chance; its standard error sqrt(J (1 - J) / BINS) at most."""
+    same, filled = 0, 0
+    for mask in (0xF0, 0x0F):
+        u, v = x & mask, y & mask
+        same, filled = same + ((u == v) & (u > 0)).sum(1), filled + ((u | v) > 0).sum(1)
+    return same / np.maximum(filled, 1)
 
 
 def confirm(pairs, docs, shingle, percent, filter_bits=20):
@@ -170,7 +173,7 @@ def _residual_batches(bands, percent, least_common):
         lists = batch.column(batch.schema.get_field_index("bands"))
         out["bands"] = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, bands)
         sketches = batch.column(batch.schema.get_field_index("sketch")).to_pylist()
-        out["sketch"] = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BINS)
+        out["sketch"] = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BINS // 2)
         return out
 
     def emit(found):
