@@ -19,6 +19,14 @@ def keyword_lexicon(spark):
                                  "term string, valence double, subjectivity double")
 
 
+def normalize_lexicon(lexicon):
+    """One row per term: the means of its valences and subjectivities. Rows without a term or a valence do not count, a
+    missing subjectivity is 0."""
+    known = lexicon.where("term is not null and valence is not null")
+    return known.groupBy("term").agg(
+        F.avg("valence").alias("valence"), F.avg(F.coalesce("subjectivity", F.lit(0.0))).alias("subjectivity"))
+
+
 def _words(text):
     return F.regexp_extract_all(F.lower(clean_input(text)), F.lit(WORD_RUN), F.lit(0))
 
@@ -42,8 +50,10 @@ def lexicon_score(df, lexicon, text="text", alpha=15, inline_terms=INLINE_TERMS)
     """Bounded valence sum, class shares, mean polarity and subjectivity per comment.
 
     A lexicon of at most `inline_terms` rows, which is checked, becomes literals in the projection: no join, no
-    shuffle, the text is read once. A larger one is joined to the words of each distinct text.
+    shuffle, the text is read once. A larger one is joined to the words of each distinct text. Both see the same
+    normalized lexicon, so its size does not change a score.
     """
+    lexicon = normalize_lexicon(lexicon)
     entries = lexicon.select("term", "valence", "subjectivity").limit(inline_terms + 1).collect()
     if len(entries) > inline_terms:
         return _lexicon_score_joined(df, lexicon, text, alpha)

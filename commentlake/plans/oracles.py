@@ -237,9 +237,9 @@ CASE WHEN manual_sentiment IS NULL THEN 'no' ELSE 'yes' END AS is_tagged FROM ({
 b.ml_sentiment AS gradient_boosting_sentiment, {r('b.ml_confidence')} AS gradient_boosting_confidence,
 'traditional' AS gradient_boosting_model_type FROM ({DOCS}) d JOIN ({PRED_A}) a USING (id) JOIN ({PRED_B}) b USING (id)"""
     o["write_table"] = f"SELECT id, text, username, timestamp, reply_length FROM ({COMMENTS})"
-    o["write_per_model"] = f"""SELECT id, model_type, ml_sentiment, {r('ml_confidence')} AS ml_confidence, manual_sentiment,
-text_length, {r('p_positive')} AS ml_prob_positive, {r('p_negative')} AS ml_prob_negative,
-{r('p_neutral')} AS ml_prob_neutral, model_name AS algorithm_name, model_name FROM ({PREDS})"""
+    o["write_per_model"] = f"""SELECT id, model_type, ml_sentiment, {r('ml_confidence', 9)} AS ml_confidence, manual_sentiment,
+text_length, {r('p_positive', 9)} AS ml_prob_positive, {r('p_negative', 9)} AS ml_prob_negative,
+{r('p_neutral', 9)} AS ml_prob_neutral, model_name AS algorithm_name, model_name FROM ({PREDS})"""
 
     # Projections
     base = f"({JOINED})"
@@ -430,8 +430,8 @@ OVER (PARTITION BY manual_sentiment ORDER BY id) AS rank FROM {base} WHERE manua
     o["rank_models"] = summary(EVALUABLE, f"""SELECT metric, model_name, {r('value')} AS value,
 CAST(row_number() OVER (PARTITION BY metric ORDER BY value DESC, {MODEL_ORDER}) AS INTEGER) AS rank FROM ({ranks})""")
     o["pick_winner"] = summary(EVALUABLE, f"SELECT model_name, {r('accuracy')} AS accuracy FROM summ ORDER BY summ.accuracy DESC, {MODEL_ORDER} LIMIT 1")
-    o["winner_columns"] = summary(EVALUABLE, f"""SELECT id, ml_sentiment, {r('ml_confidence')} AS ml_confidence, model_name AS model_type,
-{r('p_positive')} AS ml_prob_positive, {r('p_negative')} AS ml_prob_negative, {r('p_neutral')} AS ml_prob_neutral
+    o["winner_columns"] = summary(EVALUABLE, f"""SELECT id, ml_sentiment, {r('ml_confidence', 9)} AS ml_confidence, model_name AS model_type,
+{r('p_positive', 9)} AS ml_prob_positive, {r('p_negative', 9)} AS ml_prob_negative, {r('p_neutral', 9)} AS ml_prob_neutral
 FROM ({PREDS}) WHERE model_name = (SELECT model_name FROM summ ORDER BY accuracy DESC, {MODEL_ORDER} LIMIT 1)""")
     acc = f"""SELECT model_name, avg(CASE WHEN NOT t THEN CASE WHEN hit THEN 1.0 ELSE 0.0 END END) AS train_accuracy,
 avg(CASE WHEN t THEN CASE WHEN hit THEN 1.0 ELSE 0.0 END END) AS test_accuracy FROM (SELECT model_name,

@@ -138,7 +138,7 @@ def _write_table(spark, sf):
 
 def _write_per_model(spark, sf):
     path = _written(spark, "models", lambda p: K.write_per_model(FX.predictions(spark, sf), p))
-    return rounded(spark.read.parquet(path))
+    return rounded(spark.read.parquet(path), 9)
 
 
 def _write_ensemble(spark, sf):
@@ -227,7 +227,8 @@ def _recommend(spark, sf):
 
 
 def _winner(spark, sf):
-    return rounded(R.winner_columns(FX.predictions(spark, sf), R.pick_winner(_summary(spark, sf), MODELS)))
+    # Class shares are multiples of 0.0000125, so six digits would round exact halves.
+    return rounded(R.winner_columns(FX.predictions(spark, sf), R.pick_winner(_summary(spark, sf), MODELS)), 9)
 
 
 def _disagree(spark, sf):

@@ -150,3 +150,24 @@ def test_pages_batch_and_stream(spark):
     assert flatten_reply_pages(read_reply_pages(spark, path)).count() == 4
     write_replies(stream_replies(spark, path), out, check).awaitTermination(60)
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_late_page_is_kept(spark, tmp_path):
+    import json
+
+    pages, out, check = str(tmp_path / "pages"), str(tmp_path / "out"), str(tmp_path / "check")
+    for n, (reply_id, day) in enumerate([(2, "2025-08-20"), (1, "2025-08-14")]):
+        (tmp_path / "pages").mkdir(exist_ok=True)
+        reply = {"id": reply_id, "text": "t", "username": "u", "timestamp": f"{day}T10:00:00+0000", "permalink": "p"}
+        (tmp_path / "pages" / f"{n}.json").write_text(json.dumps({"data": [reply]}))
+        write_replies(stream_replies(spark, pages), out, check).awaitTermination(60)
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_repeated_terms_score_alike_in_both_branches(spark):
+    lex = spark.createDataFrame([("good", 1.0, 1.0), ("good", 3.0, 0.0), ("bad", -1.0, None), ("bad", None, 1.0), (None, 1.0, 1.0)],
+                                "term string, valence double, subjectivity double")
+    df = spark.createDataFrame([(1, "good bad good")], "id long, text string")
+    inline, joined = (LX.lexicon_score(df, lex, inline_terms=n).select(*LX.SCORES).first() for n in (100, 1))
+    assert [round(x, 9) for x in inline] == [round(float(x), 9) for x in joined]
+    assert inline["vader_neutral"] >= 0
