@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from commentlake.session import materialize
+from commentlake.llm.staging import staged
 
 MAX_ROUNDS = 60
 
@@ -16,7 +16,7 @@ def _with_low(pairs):
 def components(links, a="a", b="b"):
     """(id, component_id) for every id in `links`; component_id is the least id that can be reached.
 
-    Null ends link nothing. Each round is two small shuffles of the links and a checkpoint; the number of rounds grows with
+    Null ends link nothing. Each round is two small shuffles of the links and a written table; the number of rounds grows with
     the logarithm of the longest chain. Minima are taken by partial aggregation, so an id with many links is no hot task;
     the joins that follow are split by adaptive execution where they are skewed.
     """
@@ -24,7 +24,7 @@ def components(links, a="a", b="b"):
         .where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
     def state(rows):
         return rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    edges = materialize(edges)
+    edges = staged(edges)
     before = state(edges)
     for _ in range(MAX_ROUNDS):
         both = edges.where("u <> v")
@@ -33,7 +33,7 @@ def components(links, a="a", b="b"):
         low = _with_low(large.where("u > v"))
         small = low.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(
             low.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small.unionByName(edges.where("u = v")))
+        edges = staged(small.unionByName(edges.where("u = v")))
         now = state(edges)
         if now == before:
             break

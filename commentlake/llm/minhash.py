@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from commentlake.llm.components import components
 from commentlake.llm.hashing import hash_words, mix64, runs, seeds, shingle_set, signed, text_buffer
-from commentlake.session import materialize
+from commentlake.llm.staging import staged
 
 BLOCK = 4096  # members of a residual bucket compared with each other at a time
 BINS = 1024  # places of the second sketch, four bits each, which tells near pairs from the threshold before texts are fetched
@@ -220,7 +220,7 @@ def residual_pairs(members, reps, labels, docs, shingle, bands, percent, least_c
         .withColumn("component", F.coalesce("component_id", "rep"))
     mixed = split.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")) \
         .where("x <> y").select("band", "key")
-    rows = materialize(split.join(mixed, ["band", "key"]).select("band", "key", "m", "rep", "component"))
+    rows = staged(split.join(mixed, ["band", "key"]).select("band", "key", "m", "rep", "component"))
     texts = texts_of(rows.select(F.col("rep").alias("doc_id")).distinct(), docs)
     sketched = texts.mapInArrow(_second_sketch_batches(shingle), "rep long, sketch binary")
     rows = rows.join(reps.select("rep", "n_shingles", "bands").join(sketched, "rep"), "rep") \
@@ -252,23 +252,23 @@ def near_duplicates(docs, shingle=3, percent=85, bands=32, rows=5, least_common=
     A null doc_id keeps its row, with a null class, kept. No rows give no rows; other columns are not read.
     """
     docs = docs.select("doc_id", "text")
-    sketches = materialize(_sketches(docs, shingle, bands, rows))
+    sketches = staged(_sketches(docs, shingle, bands, rows))
     same = ["set_lo", "set_hi", "n_shingles"]
     named = sketches.where("n_shingles > 0 and doc_id is not null")
     first = F.min(F.struct(F.col("doc_id"), F.col("bands"))).alias("f")
-    reps = materialize(named.groupBy(*same).agg(first).select(*same, F.col("f.doc_id").alias("rep"), F.col("f.bands").alias("bands")))
+    reps = staged(named.groupBy(*same).agg(first).select(*same, F.col("f.doc_id").alias("rep"), F.col("f.bands").alias("bands")))
     copies = named.select("doc_id", *same).join(reps.select("rep", *same), same).where("doc_id <> rep") \
         .select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
-    members = materialize(candidate_stars(reps))
+    members = staged(candidate_stars(reps))
     stars = members.where("rep <> centre").select(
         F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"),
         F.col("n_shingles").alias("n_a"), F.col("n_centre").alias("n_b")).where(_comparable(percent)).select("a", "b").distinct()
-    stars = materialize(stars)
-    links = materialize(confirm(stars, docs, shingle, percent))
+    stars = staged(stars)
+    links = staged(confirm(stars, docs, shingle, percent))
     labels = components(links)
     rest = residual_pairs(members, reps, labels, docs, shingle, bands, percent, least_common).join(stars, ["a", "b"], "left_anti")
-    more = confirm(materialize(rest), docs, shingle, percent)
+    more = confirm(staged(rest), docs, shingle, percent)
 
     labels = components(links.unionByName(more).unionByName(copies)).withColumnRenamed("id", "doc_id")
     known = sketches.where("doc_id is not null").select("doc_id", "n_shingles").join(labels, "doc_id", "left") \
