@@ -22,14 +22,14 @@ def local_session(cores="*", shuffle_partitions=8, app="commentlake"):
 
 def shared_dir(spark):
     """The cluster's checkpoint folder; a temporary one only where none is set (local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or held
     if not base:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="commentlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
+    if held is None:
         spark.sparkContext.setCheckpointDir(base)
     return base
 
