@@ -148,10 +148,26 @@ def labelled_sample(docs, labels, label, rows_per_class, max_bytes, seed=17):
         .select("doc_id", "r.text", "r.label")
 
 
+def _train_batches(batches):
+    """Arrow batches (doc_id, text, label) of the whole sample to one row with the model."""
+    texts, labels = [], []
+    for batch in batches:
+        texts += batch.column(1).to_pylist()
+        labels += batch.column(2).to_pylist()
+    table, bias = train(texts, labels)
+    yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
+
+
 def fit(docs, labels, rows_per_class=1500, max_bytes=1 << 16):
-    """The model (weight per subword, bias), learned on the driver from a bounded sample: see labelled_sample."""
-    sample = labelled_sample(docs, labels, "toxic", rows_per_class, max_bytes).toPandas().sort_values("doc_id")
-    return train(sample["text"].tolist(), sample["label"].to_numpy())
+    """The model (weight per subword, bias), learned from a bounded sample: see labelled_sample.
+
+    The sample, 2 * rows_per_class texts of at most max_bytes bytes, is trained on in one task, which Spark runs again if its
+    executor is lost; the driver gets the weights only.
+    """
+    sample = labelled_sample(docs, labels, "toxic", rows_per_class, max_bytes)
+    fitted = sample.repartition(1).sortWithinPartitions("doc_id").mapInArrow(_train_batches, "weights binary, bias double")
+    row = fitted.first()
+    return train([], []) if row is None else (np.frombuffer(row["weights"], np.float32), row["bias"])
 
 
 def score(docs, model):
