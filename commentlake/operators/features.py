@@ -12,26 +12,33 @@ from commentlake.operators.clean import coerce_numeric
 from commentlake.operators.scale import hash_cuts, join_checked, key_hash
 
 
-def stratified_split(df, test_share=0.2, seed=42, label="manual_sentiment", key="id", stratify=True):
+def stratified_split(df, test_share=0.2, seed=42, label="manual_sentiment", key="id", stratify=True,
+                     min_test=0):
     """Mark about `test_share` of every class as test rows, chosen by the hash of the key.
 
     A class's cut value is found from hash-prefix counts, so rows are only compared with it: no class is ranked
-    in one task, and the split is the same on every run. Copies of one key stay on one side.
+    in one task, and the split is the same on every run. Copies of one key stay on one side. A class of one or two
+    rows has no test row unless `min_test` asks for some; one row at least is left for training. Rows without a label are split
+    like a class of their own.
     """
-    return _by_hash(df, [test_share], seed, label if stratify else None, key) \
+    return _by_hash(df, [test_share], seed, label if stratify else None, key, at_least=min_test) \
         .withColumn("is_test", F.col("_above") == 0).drop("_above")
 
 
 def stratified_folds(df, k=5, seed=42, label="manual_sentiment", key="id"):
-    """A fold number 0..k-1 per row; folds of a class differ by at most one row for distinct keys."""
+    """A fold number 0..k-1 per row; folds of a class differ by at most one row for distinct keys.
+
+    Rows without a label are dealt like a class of their own.
+    """
     return _by_hash(df, [i / k for i in range(1, k)], seed, label, key).withColumnRenamed("_above", "fold")
 
 
-def _by_hash(df, fractions, seed, label, key):
+def _by_hash(df, fractions, seed, label, key, **options):
     """Rows with the number of cut values their key's hash lies above, as `_above`."""
-    group = F.col(label) if label else F.lit("all")
+    named = F.concat(F.lit("="), F.col(label).cast("string")) if label else F.lit("all")
+    group = F.coalesce(named, F.lit("none"))
     keyed = df.withColumns({"_group": group, "_hash": key_hash(key, seed)})
-    cuts = hash_cuts(keyed, "_group", "_hash", fractions)
+    cuts = hash_cuts(keyed, "_group", "_hash", fractions, **options)
     wide = cuts.groupBy("_group").pivot("cut", list(range(len(fractions)))).agg(F.first("upper"))
     above = sum((F.coalesce(F.col("_hash") > F.col(f"`{i}`"), F.lit(True)).cast("int") for i in range(1, len(fractions))),
                 F.coalesce(F.col("_hash") > F.col("`0`"), F.lit(True)).cast("int"))

@@ -102,28 +102,44 @@ def key_hash(key, seed):
     return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
 
 
-def hash_cuts(df, group, hashed, fractions, bucket_hex=3):
+def hash_cuts(df, group, hashed, fractions, bucket_hex=3, most=100_000, at_least=0):
     """Per group, the hash values below which the given fractions of its rows lie.
 
-    Rows are counted in hash-prefix buckets; only the buckets a cut falls into are looked at row by row, so no
-    group is ever gathered in one task. Cut i keeps round(n * fraction) rows at or below its value; rows with
-    equal hashes (copies of one key) stay on one side.
+    Rows are counted in hash-prefix buckets, and the buckets that a cut falls into are counted again by longer prefixes until
+    they hold at most `most` rows or one hash only, so what is ranked does not grow with the data. Cut i keeps
+    round(n * fraction) rows at or below its value, `at_least` rows if the group has more; rows with equal hashes (copies of
+    one key) stay on one side.
     """
-    keyed = df.select(F.col(group).alias("_g"), F.col(hashed).alias("_h")) \
-        .withColumn("_b", F.substring("_h", 1, bucket_hex))
-    per_bucket = keyed.groupBy("_g", "_b").agg(F.count("*").alias("_n"))
-    ordered = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    placed = per_bucket.select(
-        "_g", "_b", "_n", F.coalesce(F.sum("_n").over(ordered), F.lit(0)).alias("_start"),
-        F.sum("_n").over(Window.partitionBy("_g")).alias("_total"))
+    keyed = df.select(F.col(group).alias("_g"), F.col(hashed).alias("_h"))
+
+    def counted(rows, digits, *by):
+        return rows.groupBy(*by, F.substring("_h", 1, digits).alias("_b")).agg(
+            F.count("*").alias("_n"), F.min("_h").alias("_low"), F.max("_h").alias("_high"))
+
+    def before(*by):
+        return F.coalesce(F.sum("_n").over(
+            Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    def holding(placed, target):
+        return materialize(placed.filter((F.col("_start") < target) & (target <= F.col("_start") + F.col("_n"))).select(
+            "_g", "_b", "cut", (target - F.col("_start")).alias("_offset"), "_n", "_low", "_high"))
+
+    def inside(digits):
+        places = wanted.select("_g", "_b", "cut", "_offset")
+        return join_checked(keyed.withColumn("_b", F.substring("_h", 1, digits)), places, ["_g", "_b"], "inner")
+
     cut_list = F.array(*[F.struct(F.lit(i).alias("cut"), F.lit(float(f)).alias("fraction"))
                          for i, f in enumerate(fractions)])
-    wanted = placed.select("*", F.inline(cut_list)) \
-        .withColumn("_target", F.round(F.col("_total") * F.col("fraction")).cast("long")) \
-        .filter((F.col("_start") < F.col("_target")) & (F.col("_target") <= F.col("_start") + F.col("_n"))) \
-        .select("_g", "_b", "cut", (F.col("_target") - F.col("_start")).alias("_offset"))
-    inside = join_checked(keyed, wanted, ["_g", "_b"], "inner") \
-        .groupBy("_g", "cut", "_offset", "_h").agg(F.count("*").alias("_c"))
+    placed = counted(keyed, bucket_hex, "_g").withColumns({
+        "_start": before("_g"), "_total": F.sum("_n").over(Window.partitionBy("_g"))}).select("*", F.inline(cut_list))
+    target = F.round(F.col("_total") * F.col("fraction")).cast("long")
+    wanted = holding(placed, F.greatest(target, F.least(F.lit(at_least), F.col("_total") - 1)))
+    digits = bucket_hex
+    while digits < 32 and not wanted.filter((F.col("_n") > most) & (F.col("_low") < F.col("_high"))).isEmpty():
+        finer = counted(inside(digits), min(32, digits + bucket_hex), "_g", "cut", "_offset")
+        wanted = holding(finer.withColumn("_start", before("_g", "cut")), F.col("_offset"))
+        digits = min(32, digits + bucket_hex)
+    counts = inside(digits).groupBy("_g", "cut", "_offset", "_h").agg(F.count("*").alias("_c"))
     upto = Window.partitionBy("_g", "cut").orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
-    reached = inside.withColumn("_cum", F.sum("_c").over(upto)).filter(F.col("_cum") >= F.col("_offset"))
+    reached = counts.withColumn("_cum", F.sum("_c").over(upto)).filter(F.col("_cum") >= F.col("_offset"))
     return reached.groupBy(F.col("_g").alias(group), "cut").agg(F.min("_h").alias("upper"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from commentlake.operators import clean as C, ensemble as E, lexicon as LX, merge as J, metrics as M, quality as Q, scale
 from commentlake.operators.features import stratified_folds, stratified_split
+from commentlake.operators.scale import hash_cuts, key_hash
 from commentlake.session import scratch_path
 from commentlake.sources.comments import read_comments
 from commentlake.sources.pages import flatten_reply_pages, read_reply_pages
@@ -171,3 +172,21 @@ def test_repeated_terms_score_alike_in_both_branches(spark):
     inline, joined = (LX.lexicon_score(df, lex, inline_terms=n).select(*LX.SCORES).first() for n in (100, 1))
     assert [round(x, 9) for x in inline] == [round(float(x), 9) for x in joined]
     assert inline["vader_neutral"] >= 0
+
+
+def test_cuts_do_not_depend_on_the_bucket_bound(spark):
+    rows = [(i, "a" if i % 3 else "b") for i in range(600)] + [(7, "a")] * 200
+    keyed = spark.createDataFrame(rows, "id long, g string").withColumn("h", key_hash("id", 1))
+    wide, tiny = ({(r["g"], r["cut"]): r["upper"] for r in hash_cuts(keyed, "g", "h", [0.2, 0.5, 0.9], **o).collect()}
+                  for o in ({}, {"bucket_hex": 1, "most": 1}))
+    assert wide == tiny and len(wide) == 6
+
+
+def test_rows_without_label_and_tiny_classes_are_split(spark):
+    rows = [(i, None) for i in range(50)] + [(100, "one"), (200, "two"), (201, "two")]
+    df = spark.createDataFrame(rows, "id long, manual_sentiment string")
+    tests = {r["manual_sentiment"]: r["n"] for r in stratified_split(df, min_test=1).groupBy("manual_sentiment").agg(
+        F.sum(F.col("is_test").cast("int")).alias("n")).collect()}
+    assert tests == {None: 10, "one": 0, "two": 1}
+    folds = stratified_folds(df).filter("manual_sentiment IS NULL").groupBy("fold").count().collect()
+    assert sorted((r["fold"], r["count"]) for r in folds) == [(i, 10) for i in range(5)]
