@@ -5,8 +5,7 @@ from pyspark.sql import functions as F
 from commentlake.llm.components import components
 from commentlake.session import materialize
 
-BUCKET = 16  # members of a bucket that are paired at once; larger buckets are split by further segments
-MAX_LEVELS = 40
+BUCKET = 16  # members of a bucket that are paired at once, or twice the places to probe; larger buckets are split further
 
 
 def _segment(length, i, parts):
@@ -126,8 +125,21 @@ def _pairs(members):
     """Index entries with the other rows of their bucket; only for buckets of bounded size."""
     left = members.where("role = 0").select("key", F.col("id").alias("x"))
     right = members.select("key", F.col("id").alias("y"))
-    both = left.join(right, "key").where("x <> y")
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return _ordered(left.join(right, "key"))
+
+
+def _ordered(both):
+    return both.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _rests(members, threshold):
+    """Links of buckets whose index entries have at most `threshold` characters left. Rows with no more than that are all within
+    the threshold of each other, so one link each will do; the few longer ones meet every index entry."""
+    tight = F.char_length("line") - F.col("size") <= threshold
+    lead = members.where("role = 0").groupBy("key").agg(F.min("id").alias("x"))
+    star = lead.join(members.where(tight).select("key", F.col("id").alias("y")), "key")
+    left = members.where("role = 0").select("key", F.col("id").alias("x"))
+    return _ordered(star).unionByName(_ordered(left.join(members.where(~tight).select("key", F.col("id").alias("y")), "key")))
 
 
 def _split(hot, threshold):
@@ -145,17 +157,17 @@ def edit_links(lines, threshold):
     """Pairs (a, b) of ids whose lines are within the threshold, and enough of them that all links between lines of a
     bucket are found; `lines` has id, line, and the rows of `_members`."""
     level, pairs = lines, None
-    for _ in range(MAX_LEVELS):
-        ready = _pairs(level.where(F.col("m") <= BUCKET))
-        hot = level.where(F.col("m") > BUCKET)
-        small = hot.where(F.col("base") - F.col("size") < threshold + 1)  # nothing left to split: such lines are few
-        found = materialize(ready.unionByName(_pairs(small)).distinct())
+    bucket = max(BUCKET, 2 * len(list(_places(threshold))))
+    while True:  # each level takes a segment of one character at least from lines of threshold + 1 or more, so it ends
+        ready = _pairs(level.where(F.col("m") <= bucket))
+        hot = level.where(F.col("m") > bucket)
+        small = hot.where(F.col("base") - F.col("size") < threshold + 1)
+        found = materialize(ready.unionByName(_rests(small, threshold)).distinct())
         pairs = found if pairs is None else pairs.unionByName(found)
         hot = hot.where(F.col("base") - F.col("size") >= threshold + 1)
         if hot.isEmpty():
             return pairs.distinct()
         level = materialize(_members(_split(hot, threshold)))
-    raise RuntimeError("buckets could not be split")
 
 
 def dedup_lines(docs, threshold=1, min_chars=10):

@@ -77,6 +77,11 @@ def op10_segment_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op10_segment_line_dedup_near(spark, sf_dir):
+    """As op10_segment_line_dedup, whose SQL twin fixes threshold 1, for lines with up to three edits."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), threshold=3)
+
+
 def pipeline(spark, sf_dir):
     from corpus_pipeline import run
 
@@ -85,7 +90,8 @@ def pipeline(spark, sf_dir):
 
 OPERATORS = (
     op1_pii_skip_chain_crf, op2_minmax_near_dedup, op3_raked_mixture, op4_bottomk_fingerprint, op5_stratified_shards,
-    op6_subword_toxicity, op7_revisit_resolution, op8_pairwise_quality, op9_winnowing_decontamination, op10_segment_line_dedup)
+    op6_subword_toxicity, op7_revisit_resolution, op8_pairwise_quality, op9_winnowing_decontamination, op10_segment_line_dedup,
+    op10_segment_line_dedup_near)
 
 
 def llm_queries():

@@ -188,6 +188,44 @@ def test_line_classes_with_split_buckets(spark):
         assert got == {i: find(i) for i in range(len(rows))}, np.unique(list(got.values()))
 
 
+def line_query(spark, tmp_path, name, lines):
+    """{doc_id: class_doc} of the registered query over documents of one line each."""
+    frame(spark, [(i, line, "en", "a", 1, 1, "x") for i, line in enumerate(lines)]).write.parquet(f"{tmp_path}/documents.parquet")
+    return {r.doc_id: r.class_doc for r in llm_queries()[name](spark, str(tmp_path)).collect()}
+
+
+def nearest_classes(lines, threshold, least):
+    """{number: first number of the class} by plain edit distances."""
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, above = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, above[j] + 1, above[j - 1] + (x != y)))
+        return row[-1]
+    low = list(range(len(lines)))
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            if low[i] != low[j] and (a == b or min(len(a), len(b)) >= least and distance(a, b) <= threshold):
+                x, y = sorted((low[i], low[j]))
+                low = [x if k == y else k for k in low]
+    return dict(enumerate(low))
+
+
+def test_lines_with_three_edits_are_linked(spark, tmp_path):
+    rng = random.Random(7)
+    lines = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(10, 60))) for _ in range(25)]
+    for line in lines[:25]:
+        for edits in (1, 2, 3, 4):
+            near = list(line)
+            for _ in range(edits):
+                at = rng.randrange(len(near))
+                near[at:at + 1] = rng.choice([[], ["x"], [near[at], "y"]])
+            lines.append("".join(near))
+    lines += [f"line number {i:04} of a table" for i in range(0, 2000, 13)] + [f"line number {i} of a table" for i in range(70)]
+    assert line_query(spark, tmp_path, "op10_segment_line_dedup_near", lines) == nearest_classes(lines, 3, 10)
+
+
 def test_revisits(spark):
     rows = [(1, "http://www.Example.com:80/a/?utm_source=x#t", 10, 200, "d1", {"ETag": '"e1"', "Content-Type": "text/html", "Server": "s"}),
             (2, "https://example.com/a", 20, 304, None, {"etag": 'W/"e1"', "content-type": "x", "server": "new"}),
