@@ -107,10 +107,10 @@ def edit_distance(a, b, threshold):
     return F.when(a == b, 0).when(apart, threshold + 1).otherwise(_let(chars, trimmed)).cast("int")
 
 
-def _lines(docs, min_chars):
+def _lines(docs, least):
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     n = F.char_length("line")
-    long = n >= min_chars
+    long = n >= least
     return rows.withColumn("n", n).withColumns({
         "k1": F.when(long, F.xxhash64("line")), "k2": F.when(long, F.xxhash64(F.lit(7), F.col("line")))})
 
@@ -170,12 +170,13 @@ def edit_links(lines, threshold):
         level = materialize(_members(_split(hot, threshold)))
 
 
-def dedup_lines(docs, threshold=1, min_chars=10):
+def dedup_lines(docs, threshold=1, min_chars=10, short_copies=False):
     """(doc_id, line_no, n_chars, class_doc, class_line, kept): a row per line of every document.
 
     Lines are what newlines separate. Lines of `min_chars` code points or more are linked when their edit distance is at most
     `threshold`; a class is what links connect, named by its first line in the order of (doc_id, line_no), which is the one
-    kept. Shorter lines, empty ones too, are layout: no class, kept.
+    kept. Shorter lines, empty ones too, are layout: no class, kept; with `short_copies` only empty lines are, and shorter ones
+    form classes of exact copies.
 
     Method: a line is cut into threshold + 1 segments, one of which a line within the threshold must contain unchanged, near
     the same place. Distinct lines meet at the hashes of (length, segment number, segment); lines that are up to `threshold`
@@ -190,7 +191,7 @@ def dedup_lines(docs, threshold=1, min_chars=10):
         raise ValueError("min_chars must be at least 2 * threshold + 2, and threshold from 0 to 15")
     parts = threshold + 1
     docs = docs.select("doc_id", "text")
-    rows = _lines(docs, min_chars)
+    rows = _lines(docs, 1 if short_copies else min_chars)
     probes = _probes(F.col("line"), F.col("n"), lambda delta: F.col("n") - delta, parts, [])
     known = rows.where("k1 is not null").withColumns({f"s{i}": s["key"] for i, (_, s) in enumerate(probes)})
     distinct = materialize(known.groupBy("k1", "k2").agg(

@@ -78,8 +78,9 @@ def op10_segment_line_dedup(spark, sf_dir):
 
 
 def op10_segment_line_dedup_near(spark, sf_dir):
-    """As op10_segment_line_dedup, whose SQL twin fixes threshold 1, for lines with up to three edits."""
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), threshold=3)
+    """As op10_segment_line_dedup, whose SQL twin fixes threshold 1 and ten characters, for lines with up to three edits; lines
+    too short for that are compared as a whole."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), threshold=3, min_chars=8, short_copies=True)
 
 
 def pipeline(spark, sf_dir):

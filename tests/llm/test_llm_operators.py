@@ -223,7 +223,13 @@ def test_lines_with_three_edits_are_linked(spark, tmp_path):
                 near[at:at + 1] = rng.choice([[], ["x"], [near[at], "y"]])
             lines.append("".join(near))
     lines += [f"line number {i:04} of a table" for i in range(0, 2000, 13)] + [f"line number {i} of a table" for i in range(70)]
-    assert line_query(spark, tmp_path, "op10_segment_line_dedup_near", lines) == nearest_classes(lines, 3, 10)
+    assert line_query(spark, tmp_path, "op10_segment_line_dedup_near", lines) == nearest_classes(lines, 3, 8)
+
+
+def test_short_lines_have_classes_of_copies(spark, tmp_path):
+    lines = ["ab", "ac", "ab", "", "", "x", "x", "seven 7", "seven 8", "seven 7", "eight 88", "eight 89", "字字", "字字", " "]
+    got = line_query(spark, tmp_path, "op10_segment_line_dedup_near", lines)
+    assert [got[i] for i in range(len(lines))] == [0, 1, 0, None, None, 5, 5, 7, 8, 7, 10, 10, 12, 12, 14]
 
 
 def test_revisits(spark):
