@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from commentlake.llm.components import components
-from commentlake.session import materialize
+from commentlake.llm.staging import staged
 
 BUCKET = 16  # members of a bucket that are paired at once, or twice the places to probe; larger buckets are split further
 
@@ -162,12 +162,12 @@ def edit_links(lines, threshold):
         ready = _pairs(level.where(F.col("m") <= bucket))
         hot = level.where(F.col("m") > bucket)
         small = hot.where(F.col("base") - F.col("size") < threshold + 1)
-        found = materialize(ready.unionByName(_rests(small, threshold)).distinct())
+        found = staged(ready.unionByName(_rests(small, threshold)).distinct())
         pairs = found if pairs is None else pairs.unionByName(found)
         hot = hot.where(F.col("base") - F.col("size") >= threshold + 1)
         if hot.isEmpty():
             return pairs.distinct()
-        level = materialize(_members(_split(hot, threshold)))
+        level = staged(_members(_split(hot, threshold)))
 
 
 def dedup_lines(docs, threshold=1, min_chars=10, short_copies=False):
@@ -193,28 +193,32 @@ def dedup_lines(docs, threshold=1, min_chars=10, short_copies=False):
     docs = docs.select("doc_id", "text")
     rows = _lines(docs, 1 if short_copies else min_chars)
     probes = _probes(F.col("line"), F.col("n"), lambda delta: F.col("n") - delta, parts, [])
-    known = rows.where("k1 is not null").withColumns({f"s{i}": s["key"] for i, (_, s) in enumerate(probes)})
-    distinct = materialize(known.groupBy("k1", "k2").agg(
+    known = rows.where("k1 is not null").withColumns({
+        f"s{i}": F.when(F.col("n") - delta >= min_chars, s["key"]) for i, (delta, s) in enumerate(probes)})
+    distinct = staged(known.groupBy("k1", "k2").agg(
         F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("n").alias("n"),
         *[F.first(f"s{i}").alias(f"s{i}") for i in range(len(probes))]))
 
-    shapes = []
-    for i, (delta, where, shift) in enumerate(_places(threshold)):
+    roles, shapes = [], []
+    for delta, where, shift in _places(threshold):
         start, size = _segment(F.col("n") - delta, where, parts)
-        shapes.append(F.struct(F.lit(0 if delta == 0 and shift == 0 else 1).alias("role"), (F.col("n") - delta).cast("int").alias("base"),
-                               (start + shift).cast("int").alias("start"), size.cast("int").alias("size"), F.col(f"s{i}").alias("key")))
-    keyed = distinct.select("k1", "k2", F.explode(F.array(*shapes)).alias("p")) \
-        .where((F.col("p.base") >= min_chars) & F.col("p.key").isNotNull()).select("k1", "k2", "p.*")
-    members = materialize(_members(keyed))
-
-    ids = members.select("k1", "k2").distinct()
+        roles.append(F.lit(0 if delta == 0 and shift == 0 else 1))
+        shapes.append(F.struct(roles[-1].alias("role"), (F.col("n") - delta).cast("int").alias("base"),
+                               (start + shift).cast("int").alias("start"), size.cast("int").alias("size")))
+    # Most keys are of one row only, so what goes to them is short: k2, which a few lines at most need, comes with the texts.
+    keyed = distinct.select("k1", "n", F.posexplode(F.array(*[F.col(f"s{i}") for i in range(len(probes))])).alias("slot", "key")) \
+        .where("key is not null").withColumn("slot", F.col("slot").cast("byte" if len(probes) < 128 else "int"))
+    members = staged(_members(keyed.withColumn("role", F.get(F.array(*roles), F.col("slot").cast("int")))).drop("role"))
+
+    ids = members.select("k1").distinct()
     place = F.shiftrightunsigned("k1", 44)
     wanted = F.broadcast(ids.select(place.alias("_p")).distinct())  # 2^20 rows at most, whatever the input
     texts = rows.where("k1 is not null").join(wanted, place == F.col("_p"), "left_semi").groupBy("k1", "k2").agg(
-        F.min("line").alias("line")).join(ids, ["k1", "k2"], "left_semi")
+        F.min("line").alias("line")).join(ids, "k1", "left_semi")
     name = F.concat_ws(":", F.hex("k1"), F.hex("k2"))
-    texts = materialize(texts.withColumn("id", name))
-    lines = members.join(texts, ["k1", "k2"]).select("id", "line", "role", "base", "start", "size", "key", "m")
+    texts = staged(texts.withColumn("id", name))
+    lines = members.withColumn("p", F.get(F.array(*shapes), F.col("slot").cast("int"))).join(texts, "k1") \
+        .select("id", "line", "p.*", "key", "m")
     pairs = edit_links(lines, threshold)
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
