@@ -20,6 +20,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _MARK = re.compile(r"[0-9@]")
+_DIGITS_ONLY = re.compile(r"[^\w@]*+[0-9](?:[^\w@]|[0-9])*+")
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _DIGIT[64] = True
@@ -112,19 +113,25 @@ def _features(token, before, after):
 
 
 def _similar_key(token):
-    """Tokens with one key share a potential: an address without case, or a number by its last seven digits."""
+    """Tokens with one key share a potential: a number by its last seven digits, anything else by its text without case."""
     core = token.strip(EDGE)
-    if "@" in core:
-        return core.lower()
-    d = _digits(core)
-    return d[-7:] if len(d) >= 7 else None
+    d = "" if "@" in core else _digits(core)
+    return d[-7:] if len(d) >= 7 else core.lower() or None
+
+
+def _run_key(words):
+    """The key of a value that is written as several tokens, as its digits in one token would have it; None for one token or
+    where the digits are too few, or more than any kind has."""
+    d = "".join(map(_digits, words))
+    return d[-7:] if len(words) > 1 and 7 <= len(d) <= 19 else None
 
 
 class Graph:
     """Active tokens of a text: their spans, features, base labels (-1: none), chain edges and skip edges.
 
     Tokens without a digit or an @ outside base spans are clamped to label 0, which cuts the chain there. A skip edge joins
-    a token to the next one of the same key, however far away, so edges grow with the tokens only.
+    a token to the next one of the same key, however far away, and every token has its own key and the last one of a run of digit
+    tokens that of the run too, so edges grow with the tokens only.
     """
 
     __slots__ = ("spans", "features", "fixed", "chain", "skip")
@@ -132,7 +139,7 @@ class Graph:
     def __init__(self, text, base):
         self.spans, features, self.fixed, self.chain, self.skip = [], [], [], [], []
         marks, k = sorted((a, b, kind + 1) for kind, a, b in base), 0
-        last_of, previous, was_active = {}, "", False
+        last_of, previous, was_active, run = {}, "", False, []
         tokens = _TOKEN.finditer(text)
         current = next(tokens, None)
         while current is not None:
@@ -149,14 +156,30 @@ class Graph:
                 self.fixed.append(kinds[0] if kinds else -1)
                 if was_active:
                     self.chain.append((node - 1, node))
-                key = _similar_key(word)
-                if key is not None:
-                    if key in last_of:
-                        self.skip.append((last_of[key], node))
-                    last_of[key] = node
+                self._repeat(last_of, _similar_key(word), node)
+            if not (active and _DIGITS_ONLY.fullmatch(word)):
+                self._close(last_of, run)
+                run = []
+            else:
+                run.append(node)
             was_active, previous, current = active, word, following
+        self._close(last_of, run)
+        self.skip = list(dict.fromkeys(self.skip))
         self.features = np.array(features).reshape(-1, N_FEATURES)
 
+    def _close(self, last_of, run):
+        if len(run) > 1:
+            self._repeat(last_of, _run_key([self.spans[i][2] for i in run]), run[-1])
+
+    def _repeat(self, last_of, key, node):
+        """Joins a token to the last one that had its key before."""
+        if key is None:
+            return
+        last = last_of.get(key)
+        if last is not None and last != node:
+            self.skip.append((min(last, node), max(last, node)))
+        last_of[key] = node
+
 
 SKIP_PRIOR = 2.0
 
@@ -205,10 +228,13 @@ def train(texts, steps=400, rate=0.1, penalty=1e-3, skip_penalty=1e-2):
     return w[:N_FEATURES], chain, (skip + skip.T) / 2
 
 
-def marginals(graphs, model, rounds=8, damping=0.3):
+def marginals(graphs, model, damping=0.3, tolerance=1e-5):
     """Label probabilities of all tokens of the graphs, by loopy sum-product; base tokens keep their label.
 
-    A clamped neighbour has label 0, so the end of a run of active tokens gets the chain potential with label 0.
+    A clamped neighbour has label 0, so the end of a run of active tokens gets the chain potential with label 0. Messages are
+    passed until none of a graph changes by more than the tolerance, each graph for itself, so evidence reaches repeats
+    at any distance and no graph depends on its batch. A graph that keeps swinging after as many rounds as it has tokens is
+    damped more and more, and ends after 1,280 rounds more.
     """
     unary, chain, skip = model
     sizes = [len(g.spans) for g in graphs]
@@ -237,19 +263,40 @@ def marginals(graphs, model, rounds=8, damping=0.3):
     back = np.concatenate((np.arange(len(c)) + len(c), np.arange(len(c)), np.arange(len(s)) + 2 * len(c) + len(s),
                            np.arange(len(s)) + 2 * len(c)))
     message = np.zeros((m, LABELS))
+    owner = np.searchsorted(begin, source, "right") - 1
+    length, live = np.array(sizes), np.arange(m)
 
     def belief():
         total = score.copy()
         for k in range(LABELS):
             total[:, k] += np.bincount(target, message[:, k], n)
         return total
-    for _ in range(rounds if m else 0):
-        cavity = belief()[source] - message[back]
-        z = cavity[:, :, None] + tables[kind]
-        top = z.max(1, keepdims=True)
-        new = np.log(np.exp(z - top).sum(1)) + top[:, 0]
-        new -= new.max(1, keepdims=True)
-        message = damping * message + (1 - damping) * new
+    t = 0
+    while len(live):
+        # Edges of settled graphs are left out, and so are their tokens.
+        nodes, at = np.unique(np.concatenate((source[live], target[live])), return_inverse=True)
+        begins, ends = at[:len(live)], at[len(live):]
+        place = np.zeros(m, np.int64)
+        place[live] = np.arange(len(live))
+        opposite, held, own, local = place[back[live]], message[live], owner[live], score[nodes]
+        tables_of, settled = tables[kind[live]], np.zeros(len(sizes), bool)
+        while not settled.any():
+            total = local.copy()
+            for k in range(LABELS):
+                total[:, k] += np.bincount(ends, held[:, k], len(nodes))
+            z = (total[begins] - held[opposite])[:, :, None] + tables_of
+            top = z.max(1, keepdims=True)
+            new = np.log(np.exp(z - top).sum(1)) + top[:, 0]
+            new -= new.max(1, keepdims=True)
+            change = np.zeros(len(sizes))
+            np.maximum.at(change, own, np.abs(new - held).max(1))
+            late = np.maximum(0, t - 64 - length)
+            keep = 1 - (1 - damping) * 0.5 ** (late // 64)
+            held = held + (1 - keep[own])[:, None] * (new - held)
+            t += 1
+            settled[own] = (change[own] <= tolerance) | (late[own] >= 1280)
+        message[live] = held
+        live = live[~settled[own]]
     z = belief()
     p = np.exp(z - z.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True), begin

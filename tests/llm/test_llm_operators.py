@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,55 @@ def test_field_carries_labels_to_repeats(spark):
     assert not any(r.added for i, r in found.items() if i != 900)
 
 
+def plain_marginals(g, model):
+    """Label probabilities of a graph whose edges form no circle, by sums over all labels in both directions."""
+    unary, chain, skip = model
+    score = g.features @ unary
+    left, right = {v for _, v in g.chain}, {u for u, _ in g.chain}
+    for i, k in enumerate(g.fixed):
+        score[i] += (0 if i in left else chain[0]) + (0 if i in right else chain[:, 0])
+        if k >= 0:
+            score[i] = [0 if label == k else -1e3 for label in range(privacy.LABELS)]
+    near = {i: [] for i in range(len(score))}
+    for pairs, table in ((g.chain, chain), (g.skip, skip)):
+        for u, v in pairs:
+            near[u].append((v, table.T))
+            near[v].append((u, table))
+
+    def inward(i, came_from):
+        total = score[i].copy()
+        for j, table in near[i]:
+            if j != came_from:
+                x = inward(j, i)[:, None] + table
+                total += np.log(np.exp(x - x.max()).sum(0)) + x.max()
+        return total
+    p = np.array([inward(i, None) for i in range(len(score))])
+    p = np.exp(p - p.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def test_evidence_reaches_every_repeat():
+    text = "call +14995556503 now " + "then 499555-6503 again " * 40
+    g = privacy.Graph(text, privacy.base_spans(text))
+    assert len(g.spans) == 41 and g.skip == [(i, i + 1) for i in range(40)]
+    model = (np.zeros((privacy.N_FEATURES, privacy.LABELS)), np.zeros((privacy.LABELS,) * 2), 6 * np.eye(privacy.LABELS))
+    expected = plain_marginals(g, model)
+    short = privacy.Graph("mail a@b.de and a@b", [(0, 5, 11)])
+    got, begin = privacy.marginals([short, g, privacy.Graph("", [])], model)
+    assert np.abs(got[begin[1]:begin[2]] - expected).max() < 1e-3 and expected[-1].argmax() == 4
+    assert np.array_equal(got[begin[1]:begin[2]], privacy.marginals([g], model)[0])
+
+
+def test_repeats_in_any_form_are_joined():
+    def skips(text):
+        g = privacy.Graph(text, [])
+        return [(g.spans[u][2], g.spans[v][2]) for u, v in g.skip]
+    assert skips("code AB12 and then ab12, later") == [("AB12", "ab12,")]
+    assert skips("room 12 or room 12 or 13") == [("12", "12")]
+    assert ("1111", "4111111111111111") in skips("pay 4111 1111 1111 1111 or 4111111111111111 now")
+    assert ("555-6503", "499555-6503") in skips("call (499) 555-6503 or 499555-6503 now")
+
+
 def words_of(text):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w]
 
