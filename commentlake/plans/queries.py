@@ -316,6 +316,8 @@ def _mlp(spark, sf):
 
 def _compare_models(spark, sf):
     c = ML.compare_models(FX.tagged_comments(spark, sf), "letters")
+    if c.errors:
+        raise RuntimeError(str(c.errors))
     return rounded(c.metrics())
 
 

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from commentlake.operators import features as FE, models as ML, neighbors as N
+from commentlake.plans.queries import all_queries
 
 
 def brute(points, queries, k, exclude):
@@ -88,3 +89,13 @@ def test_scaling_and_weights(spark):
     out = FE.standard_scale(df, ["x", "c"]).orderBy("x").collect()
     assert [round(r["x"], 6) for r in out] == [-1.224745, 0.0, 1.224745] and {r["c"] for r in out} == {0.0}
     assert {(r["manual_sentiment"], r["weight"]) for r in FE.class_weights(df).collect()} == {("a", 0.75), ("b", 1.5)}
+
+
+def test_registered_comparison_reports_a_failed_model(spark, monkeypatch):
+    def fails(*args, **params):
+        raise ValueError("lost executor")
+    quick = {"naive_bayes": ML.TRAINERS["naive_bayes"], "svm": fails}
+    monkeypatch.setattr(ML, "TRAINERS", quick)
+    monkeypatch.setitem(ML.SETTINGS, "letters", {n: ML.SETTINGS["letters"][n] for n in quick})
+    with pytest.raises(RuntimeError, match="lost executor"):
+        all_queries()["compare_models"](spark, "/root/testdata/sf0.001")
