@@ -310,7 +310,7 @@ def _mlp(spark, sf):
     rows = _feature_rows(spark, sf)
     classes = FE.label_classes(rows, "target")
     train = FE.encode_labels(rows, classes, "target").persist()
-    model = ML.train_mlp(ML.for_iterations(train), classes, **(ML.SETTINGS["features"]["neural_network"] | {"max_iter": 60}))
+    model = ML.train_mlp(ML.for_iterations(train), classes, **ML.SETTINGS["features"]["neural_network"])
     return rounded(ML.predict_all([model], train).select("id", "model_name", "ml_sentiment", "ml_confidence"))
 
 
@@ -400,7 +400,7 @@ def trained_queries():
         "stratified_folds": lambda s, d: stratified_folds(FX.tags(s, d)).select("id", "manual_sentiment", "fold"),
         "train_logistic": _predictions_from("logistic_regression"),
         "train_random_forest": _predictions_from("random_forest"),
-        "train_gradient_boosting": _predictions_from("gradient_boosting", preset="social", trees=20),
+        "train_gradient_boosting": _predictions_from("gradient_boosting", preset="social"),
         "train_svm": _predictions_from("svm"),
         "train_naive_bayes": _predictions_from("naive_bayes"),
         "train_mlp": _mlp,

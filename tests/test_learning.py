@@ -91,6 +91,23 @@ def test_scaling_and_weights(spark):
     assert {(r["manual_sentiment"], r["weight"]) for r in FE.class_weights(df).collect()} == {("a", 0.75), ("b", 1.5)}
 
 
+def test_registered_models_take_their_presets(spark, monkeypatch):
+    seen = {}
+
+    def record(name):
+        def train(*args, **params):
+            seen[name] = params
+            raise ValueError("not trained")
+        return train
+    monkeypatch.setitem(ML.TRAINERS, "gradient_boosting", record("gradient_boosting"))
+    monkeypatch.setattr(ML, "train_mlp", record("neural_network"))
+    for query in ("train_gradient_boosting", "train_mlp"):
+        with pytest.raises((RuntimeError, ValueError), match="not trained"):
+            all_queries()[query](spark, "/root/testdata/sf0.001")
+    assert seen == {"gradient_boosting": ML.SETTINGS["social"]["gradient_boosting"],
+                    "neural_network": ML.SETTINGS["features"]["neural_network"]}
+
+
 def test_registered_comparison_reports_a_failed_model(spark, monkeypatch):
     def fails(*args, **params):
         raise ValueError("lost executor")
