@@ -171,6 +171,60 @@ FROM l LEFT JOIN c USING (line)
 """
 
 
+CRC_TABLE = """tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, [0, 1, 2, 3, 4, 5, 6, 7]),
+                          lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+    FROM range(256) r(i)))"""
+
+
+def merkle(group_levels=7, top_levels=3):
+    """A tree as one query per level: 8^7 rows a language and 8^3 languages at most."""
+    def field(c):
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR END"
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = " || ".join(field(f"translate(text, '{UPPER}', '{LOWER}')" if c == "text" else c) for c in fields)
+    parts = [CRC_TABLE, f"""leaf AS (
+  SELECT doc_id, lang, coalesce('+' || lang, '') AS g, sha256({" || ".join(map(field, fields))}) AS leaf,
+         CASE WHEN xor(list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode(doc_id::VARCHAR))),
+                lambda i: ('0x' || substr(hex(encode(doc_id::VARCHAR)), 2 * i + 1, 2))::BIGINT)),
+                lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) % 3 = 0 THEN sha256({lowered}) END AS tampered
+  FROM documents, tab)""",
+             "a0 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, "
+             "count(*) OVER (PARTITION BY g) AS n, leaf AS d FROM leaf)"]
+
+    def tree(name, levels):
+        for k in range(levels):
+            parts.append(f"""{name}{k + 1} AS (
+  SELECT g, p // 8 AS p, any_value((n + 7) // 8) AS n, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(d, '' ORDER BY p)) ELSE any_value(d) END AS d
+  FROM {name}{k} GROUP BY g, p // 8)""")
+            parts.append(f"""{name}s{k} AS (
+  SELECT g, p, coalesce(string_agg(d, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+         coalesce(string_agg(d, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a
+  FROM {name}{k} WHERE n > 1 WINDOW w AS (PARTITION BY g, p // 8 ORDER BY p))""")
+    tree("a", group_levels)
+    parts.append(f"t0 AS (SELECT '' AS g, g AS name, row_number() OVER (ORDER BY g) - 1 AS p, count(*) OVER () AS n, d FROM a{group_levels})")
+    tree("t", top_levels)
+    parts.append("f0 AS (SELECT doc_id, leaf, a0.g, a0.p, t0.p AS q, t0.d AS subroot, coalesce(tampered, leaf) AS f, '' AS proof "
+                 "FROM a0 JOIN t0 ON t0.name = a0.g)")
+    steps = [(f"as{k}", f"s.g = f.g AND s.p = f.p // {8 ** k}") for k in range(group_levels)] + [
+        (f"ts{k}", f"s.p = f.q // {8 ** k}") for k in range(top_levels)]
+    for i, (step, on) in enumerate(steps):
+        parts.append(f"""f{i + 1} AS (
+  SELECT f.* EXCLUDE (f, proof), CASE WHEN s.p IS NULL THEN f.f ELSE sha256(b || f.f || a) END AS f,
+         proof || coalesce(b || a, '') AS proof FROM f{i} f LEFT JOIN {step} s ON {on})""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, t.d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = t.d AS verified
+FROM f{len(steps)}, t{top_levels} t"""
+
+
+EXACT = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 def llm_oracles():
     return {
         "op2_minmax_near_dedup": NEAR_DEDUP,
@@ -179,4 +233,6 @@ def llm_oracles():
         "op7_revisit_resolution": REVISITS,
         "op9_winnowing_decontamination": LEAKS,
         "op10_segment_line_dedup": LINES,
+        "op11_merkle_manifest": merkle(),
+        "op13_cuckoo_exact_dedup": EXACT,
     }

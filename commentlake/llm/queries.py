@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from commentlake.llm import (
-    bottomk, line_dedup, minhash, mixing, preference, privacy, revisits, sharding, toxicity, winnowing)
+    bottomk, cuckoo, line_dedup, merkle, minhash, mixing, preference, privacy, revisits, sharding, toxicity, whitening,
+    winnowing)
 
 MIX_TARGETS = {"source": 0.5, "lang": 0.7, "topic": 0.9}  # exponents of the observed token shares
 
@@ -83,6 +84,23 @@ def op10_segment_line_dedup_near(spark, sf_dir):
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), threshold=3, min_chars=8, short_copies=True)
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = merkle.manifest(merkle.leaves(docs, F.coalesce(remainder(3) == 0, F.lit(False)) & F.col("doc_id").isNotNull()), "leaf", "lang")
+    rows = found.withColumn("folded_root", merkle.fold(F.col("path"), F.coalesce("tampered", "leaf")))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root",
+                       (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_cholesky_whitening(spark, sf_dir):
+    vectors = whitening.integers(table(spark, sf_dir, "embeddings"))
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+def op13_cuckoo_exact_dedup(spark, sf_dir):
+    return cuckoo.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     from corpus_pipeline import run
 
@@ -92,7 +110,7 @@ def pipeline(spark, sf_dir):
 OPERATORS = (
     op1_pii_skip_chain_crf, op2_minmax_near_dedup, op3_raked_mixture, op4_bottomk_fingerprint, op5_stratified_shards,
     op6_subword_toxicity, op7_revisit_resolution, op8_pairwise_quality, op9_winnowing_decontamination, op10_segment_line_dedup,
-    op10_segment_line_dedup_near)
+    op10_segment_line_dedup_near, op11_merkle_manifest, op12_cholesky_whitening, op13_cuckoo_exact_dedup)
 
 
 def llm_queries():
