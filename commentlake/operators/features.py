@@ -3,6 +3,7 @@
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Window, functions as F
 
 from commentlake.functions.text import (
@@ -10,6 +11,7 @@ from commentlake.functions.text import (
 from commentlake.functions.times import time_features
 from commentlake.operators.clean import coerce_numeric
 from commentlake.operators.scale import hash_cuts, join_checked, key_hash
+from commentlake.session import materialize
 
 
 def stratified_split(df, test_share=0.2, seed=42, label="manual_sentiment", key="id", stratify=True,
@@ -81,34 +83,56 @@ def with_terms(df, text="text", preset="punct", stop_words=None, out="terms"):
 def vocabulary(df, terms="terms", preset="punct", **limits):
     """The most frequent terms within the document-frequency limits: (term, df, cf, idf), at most max_features rows.
 
-    One aggregation gives both frequencies: a row contributes each of its terms once for df and every
-    occurrence for cf, and both are combined on the map side. Ties in the cut go to the smaller term.
+    One aggregation of the occurrences gives both frequencies, combined on the map side. Ties in the cut go to the smaller term.
     """
     p = TEXT_PRESETS[preset] | limits
     total = df.agg(F.count("*").alias("n")).scalar()
-    # Every occurrence, then each distinct term once more; the position tells the two parts apart.
-    each = df.select(F.size(terms).alias("_n"), F.posexplode(F.concat(terms, F.array_distinct(terms))).alias("_i", "term"))
-    occurrence = F.col("_i") < F.col("_n")
-    counts = each.groupBy("term").agg(F.count_if(~occurrence).alias("df"), F.count_if(occurrence).alias("cf"))
+    # In sorted order a term differs from the one before it at its first occurrence in the row.
+    ordered = df.select(F.sort_array(terms).alias("_s"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("_s", F.lit(1), F.greatest(F.size("_s") - 1, F.lit(0))))
+    each = ordered.select(F.inline(F.arrays_zip(F.col("_s").alias("term"), before.alias("_before")))).filter("term is not null")
+    counts = each.groupBy("term").agg(F.count_if(~F.col("term").eqNullSafe(F.col("_before"))).alias("df"), F.count("*").alias("cf"))
     kept = counts.filter((F.col("df") >= p["min_df"]) & (F.col("df") <= F.lit(float(p["max_df"])) * total))
     return kept.orderBy(F.desc("cf"), "term").limit(p["max_features"]).withColumn(
         "idf", F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.col("df"))) + 1)
 
 
-def tfidf_sql(df, text="text", key="id", preset="features", stop_words=None, **limits):
-    """Long TF-IDF (key, term, tfidf), each row's weights with unit length.
+MAX_VOCABULARY_BYTES = 64 << 20
 
-    Occurrences are reduced to vocabulary terms by a broadcast join (the vocabulary is bounded by max_features)
-    before the only shuffle, by key, which serves both the counting and the normalising.
+
+def tfidf_sql(df, text="text", key="id", preset="features", stop_words=None, max_bytes=MAX_VOCABULARY_BYTES, **limits):
+    """Long TF-IDF (key, term, tfidf), each row's weights with unit length; every row is a document of its own.
+
+    The only exchange counts the vocabulary. Each row then counts its own terms against the vocabulary, which every task
+    holds (at most max_features terms; their bytes are checked), and unfolds its weights; no row is moved. A vocabulary of more
+    than `max_bytes` is joined by term instead, and the weights are put together by row.
     """
-    rows = with_terms(df.select(key, text), text, preset, stop_words)
-    vocab = vocabulary(rows, preset=preset, **limits)
-    weighted = rows.select(key, F.explode("terms").alias("term")) \
-        .join(F.broadcast(vocab.select("term", "idf")), "term") \
-        .repartition(key).groupBy(key, "term", "idf").agg(F.count("*").alias("tf")) \
-        .select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return weighted.select(key, "term", (F.col("w") / length).alias("tfidf"))
+    source = df.select(key, text)
+    vectorizer = TextVectorizer(preset, text, stop_words, **limits)
+    vocab = vectorizer.learn(source)
+    if not vocab:
+        return source.select(key, F.lit("").alias("term"), F.lit(0.0).alias("tfidf")).limit(0)
+    if sum(len(r["term"].encode()) + 16 for r in vocab) > max_bytes:
+        return _tfidf_joined(with_terms(source, text, preset, stop_words), key, vocab)
+    return unfolded(vectorizer.transform(source), vectorizer.terms, key)
+
+
+def unfolded(df, terms, key="id", vector="features"):
+    """(key, term, tfidf) of the stored entries of a vector column."""
+    # The names are one folded literal, not an expression per term; no term holds a line break.
+    names, stored = F.split(F.lit("\n".join(terms)), "\n"), F.unwrap_udt(vector)
+    return df.select(key, F.inline(F.arrays_zip(
+        F.transform(stored["indices"], lambda i: F.get(names, i)).alias("term"), stored["values"].alias("tfidf"))))
+
+
+def _tfidf_joined(rows, key, vocab):
+    """The same with the vocabulary as a table, shuffled by term and by row."""
+    numbered = materialize(rows.select(key, "terms").withColumn("_row", F.monotonically_increasing_id()))
+    weights = rows.sparkSession.createDataFrame([(r["term"], r["idf"]) for r in vocab], "term string, idf double")
+    counts = numbered.select("_row", F.explode("terms").alias("term")).groupBy("_row", "term").agg(F.count("*").alias("tf"))
+    weighted = counts.join(weights, "term").select("_row", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("_row")))
+    return weighted.withColumn("tfidf", F.col("w") / length).join(numbered.select("_row", key), "_row").select(key, "term", "tfidf")
 
 
 class TextVectorizer:
@@ -121,16 +145,22 @@ class TextVectorizer:
         self.model = None
 
     def fit(self, df):
+        if not self.learn(df):
+            raise ValueError("no term passes the document-frequency limits")
+        return self
+
+    def learn(self, df):
+        """The vocabulary as (term, df, cf, idf), at most max_features rows; empty if no term passes the limits."""
         found = vocabulary(self._terms(df.select(self.text)), preset=self.preset, **self.limits)
-        rows = found.orderBy("term").collect()
+        rows = sorted(found.collect(), key=lambda r: r["term"].encode())
         if not rows:
-            raise ValueError("no term passes the document-frequency limits")
+            return rows
         self.terms = [r["term"] for r in rows]
         counter = CountVectorizerModel.from_vocabulary(self.terms, "terms", "_counts")
         scale = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in rows]), inputCol="_counts",
                                    outputCol="_scaled")
         self.model = PipelineModel([counter, scale, Normalizer(p=2.0, inputCol="_scaled", outputCol=self.out)])
-        return self
+        return rows
 
     def transform(self, df):
         return self.model.transform(self._terms(df)).drop("terms", "_counts", "_scaled")
@@ -180,6 +210,70 @@ def absolute_features(df, cols):
     return df.withColumns({c: F.abs(F.col(c)) for c in cols})
 
 
+class FeaturePipeline:
+    """The feature table of a trainer: numeric block and TF-IDF, learned on training rows only.
+
+    `transform` keeps both blocks side by side: the numeric columns as they are and a sparse TF-IDF vector. `view` puts them
+    into one vector in the form a trainer needs:
+
+    - raw: the values as they are,
+    - scaled: every feature over its population deviation; the numeric block is also centred, TF-IDF is not, so it stays
+      sparse. Distances and models with an intercept see no difference between centred and shifted columns.
+    - absolute: absolute values, as multinomial naive Bayes needs.
+
+    Columns without spread are not divided. Missing numbers are 0. `text` falls back to the column `text` where the table has none
+    of that name.
+    """
+
+    VIEWS = ("raw", "scaled", "absolute")
+
+    def __init__(self, preset="features", text="cleaned_text", **limits):
+        self.preset, self.text, self.limits = preset, text, limits
+
+    def fit(self, df):
+        df = numeric_block(df)
+        self.columns = feature_columns(df)
+        text = self.text if self.text in df.columns else "text"
+        self.vectorizer = TextVectorizer(self.preset, text, out="tfidf", **self.limits).fit(df)
+        found = self.vectorizer.transform(df).agg(
+            *[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in self.columns],
+            Summarizer.metrics("variance", "count").summary(F.col("tfidf")).alias("tfidf")).first()
+        self.means = {c: found[c]["m"] or 0.0 for c in self.columns}
+        self.deviations = {c: found[c]["s"] or 0.0 for c in self.columns}
+        n = found["tfidf"]["count"]
+        self.term_deviations = [(v * (n - 1) / n) ** 0.5 for v in found["tfidf"]["variance"].toArray()]
+        return self
+
+    @property
+    def width(self):
+        return len(self.columns) + len(self.vectorizer.terms)
+
+    @property
+    def gamma(self):
+        """1 / (features * variance of all entries) of the scaled view: one over the number of features with spread."""
+        return 1.0 / max(1, sum(s > 0 for s in (*self.deviations.values(), *self.term_deviations)))
+
+    def transform(self, df):
+        return self.vectorizer.transform(numeric_block(df))
+
+    def view(self, df, kind="raw", out="features"):
+        if kind not in self.VIEWS:
+            raise ValueError(f"unknown view: {kind}")
+        block = {c: F.col(c) for c in self.columns}
+        if kind == "scaled":
+            block = {c: (F.col(c) - self.means[c]) / (self.deviations[c] or 1.0) for c in self.columns}
+        elif kind == "absolute":
+            block = {c: F.abs(F.col(c)) for c in self.columns}
+        terms = "tfidf"
+        df = df.withColumns({f"_f{i}": x for i, x in enumerate(block.values())})
+        if kind == "scaled":
+            terms = "_terms"
+            df = ElementwiseProduct(scalingVec=Vectors.dense([1.0 / (s or 1.0) for s in self.term_deviations]), inputCol="tfidf",
+                                    outputCol=terms).transform(df)
+        made = [f"_f{i}" for i in range(len(block))]
+        return VectorAssembler(inputCols=[*made, terms], outputCol=out).transform(df).drop(*made, "_terms")
+
+
 def label_classes(df, label="manual_sentiment"):
     """The class names in alphabetical order; more than MAX_CLASSES is an error, not a cut."""
     rows = df.filter(F.col(label).isNotNull()).select(label).distinct().limit(MAX_CLASSES + 1).collect()

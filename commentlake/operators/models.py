@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from commentlake.functions import sentiment as S
-from commentlake.operators import metrics as M
+from commentlake.operators import bayes, metrics as M
 from commentlake.operators.clean import tagged_only
 from commentlake.operators.features import (
-    TextVectorizer, class_weights, decode_labels, encode_labels, label_classes, stratified_folds, stratified_split)
+    FeaturePipeline, TextVectorizer, choose_target, class_weights, decode_labels, encode_labels, label_classes,
+    stratified_folds, stratified_split)
 from commentlake.operators.neighbors import knn_classify
+from commentlake.session import materialize
 
 # Model settings of each generation of the workflow, in registration order.
 SETTINGS = {
@@ -127,11 +129,21 @@ def train_gradient_boosting(train, classes, name="gradient_boosting", trees=100,
 
 
 def train_naive_bayes(train, classes, name="naive_bayes", alpha=1.0):
-    return _one_pass(name, classes, MLC.NaiveBayes(modelType="multinomial", smoothing=alpha).fit(train))
+    """Multinomial naive Bayes by one aggregation; features must not be negative."""
+    models = bayes.fit(train, len(classes), feature_width(train), alpha)
+    return Fitted(name, classes, lambda df, out: bayes.score(df, models, out=out))
+
+
+def feature_width(rows):
+    """Length of the feature vectors; at least one row is needed."""
+    first = rows.select("features").first()
+    if first is None:
+        raise ValueError("no training rows")
+    return first[0].size
 
 
 def train_mlp(train, classes, name="neural_network", hidden=(100, 50), max_iter=500):
-    width = train.select("features").first()[0].size
+    width = feature_width(train)
     net = MLC.MultilayerPerceptronClassifier(layers=[width, *hidden, len(classes)], maxIter=max_iter, seed=SEED,
                                              tol=LINEAR_TOL)
     return _one_pass(name, classes, net.fit(train))
@@ -174,19 +186,19 @@ def random_fourier_features(df, width, gamma, size, seed=SEED, out="rff"):
     return df.withColumn(out, array_to_vector(cosines(stored["indices"], stored["values"])))
 
 
-def train_svm(train, classes, name="svm", C=1.0, balanced=False, size=256):
+def train_svm(train, classes, name="svm", C=1.0, balanced=False, size=256, gamma=None, max_iter=100):
     """RBF support vector machine: linear machines per class on random Fourier features.
 
-    Probabilities come from a logistic curve fitted to each machine's margin.
+    `gamma` is taken from the rows if it is not given. Probabilities come from a logistic curve fitted to each machine's margin.
     """
-    width = train.select("features").first()[0].size
-    gamma = rbf_gamma(train)
+    width = feature_width(train)
+    gamma = rbf_gamma(train) if gamma is None else gamma
     train, weight = _weighted(train, balanced)
 
     def mapped(df):
         return random_fourier_features(df, width, gamma, size)
-    fitted = mapped(train).persist()
-    svc = MLC.LinearSVC(featuresCol="rff", regParam=1.0 / (C * max(fitted.count(), 1)), maxIter=100,
+    fitted = materialize(mapped(train))
+    svc = MLC.LinearSVC(featuresCol="rff", regParam=1.0 / (C * max(fitted.count(), 1)), maxIter=max_iter,
                         tol=SVM_TOL)
     models = MLC.OneVsRest(classifier=svc, featuresCol="rff", parallelism=3, **weight).fit(fitted).models
 
@@ -198,7 +210,6 @@ def train_svm(train, classes, name="svm", C=1.0, balanced=False, size=256):
         target = margin(m.transform(fitted), i).withColumn("_is", (F.col("label") == i).cast("double"))
         curve = MLC.LogisticRegression(featuresCol=f"_margin{i}", labelCol="_is", maxIter=50, tol=LINEAR_TOL).fit(target)
         curves.append(curve.setProbabilityCol(f"_prob{i}").setRawPredictionCol(f"_r{i}").setPredictionCol(f"_c{i}"))
-    fitted.unpersist()
 
     def calibrated(df, i):
         return _own_probability(curves[i].transform(margin(df, i)), i).drop(f"_margin{i}", f"_r{i}", f"_c{i}")
@@ -241,72 +252,165 @@ def predict_all(models, df, keep=("id",)):
     return df.select(*keep, F.inline(F.array(*entries)))
 
 
-def predict_holdout(df, predictions, key="id"):
-    """Every row, with the prediction where the row was held out and null elsewhere."""
-    held = predictions.select(key, F.col("ml_sentiment").alias("ml_prediction"), "ml_confidence",
-                              F.col("model_name").alias("ml_model"))
-    return df.join(held, key, "left")
+def predict_holdout(df, predictions, model, run_at=None, key="id"):
+    """Every row with the model's name and the time of the run; the prediction where the row was held out, null elsewhere."""
+    held = predictions.filter(F.col("model_name") == model).select(
+        key, F.col("ml_sentiment").alias("ml_prediction"), "ml_confidence")
+    at = F.current_timestamp() if run_at is None else F.lit(run_at).cast("timestamp")
+    return df.join(held, key, "left").withColumns({"ml_model": F.lit(model), "ml_timestamp": at})
+
+
+# The form of the feature table each model is trained on; the others take it raw.
+VIEWS = {"logistic_regression": "scaled", "svm": "scaled", "knn": "scaled", "neural_network": "scaled", "naive_bayes": "absolute"}
+
+
+class TextInput:
+    """What models trained on a text's TF-IDF vector are given."""
+
+    def __init__(self, vectorizer):
+        self.vectorizer = vectorizer
+
+    def transform(self, df):
+        return self.vectorizer.transform(df)
+
+    def seen_by(self, name, df):
+        return df
+
+    def settings(self, name):
+        return {}
+
+
+class TableInput:
+    """What models trained on the feature table are given: their own view of it."""
+
+    def __init__(self, pipeline):
+        self.pipeline = pipeline
+
+    def transform(self, df):
+        return self.pipeline.transform(df)
+
+    def seen_by(self, name, df):
+        return self.pipeline.view(df, VIEWS.get(name, "raw"))
+
+    def settings(self, name):
+        return {"gamma": self.pipeline.gamma} if name == "svm" else {}
+
+    def through(self, model):
+        """The model over rows that hold the table's blocks instead of its view."""
+        return Fitted(model.name, model.classes, lambda df, out: model.score(self.seen_by(model.name, df), out).drop("features"),
+                      model.family)
 
 
 @dataclass
 class Comparison:
     """Fitted models, the errors of those that failed, and the predictions for all tagged rows."""
 
-    vectorizer: TextVectorizer
+    inputs: object
     classes: list
     models: list = field(default_factory=list)
     errors: dict = field(default_factory=dict)
     predictions: DataFrame = None
+    folds: DataFrame = None
 
     def metrics(self):
-        """Train and test accuracy and the summary metrics on test rows, for all models at once."""
+        """One row per model: summary metrics on test rows, train and test accuracy, ROC AUC on test rows, mean confidence and
+        share of confidences above 0.8 over all rows, and mean and deviation of the fold accuracies (null without folds)."""
         from commentlake.operators.ranking import split_accuracy
 
-        test = M.summary_metrics(M.evaluable(self.predictions).filter("is_test"))
-        return test.join(split_accuracy(self.predictions), M.MODEL)
+        test = M.evaluable(self.predictions).filter("is_test")
+        sure = self.predictions.groupBy(M.MODEL).agg(
+            F.avg("ml_confidence").alias("average_confidence"),
+            M.ratio(F.count_if(F.col("ml_confidence") > HIGH_CONFIDENCE), F.count("*")).alias("high_confidence"))
+        out = M.summary_metrics(test).join(split_accuracy(self.predictions), M.MODEL).join(
+            M.auc_ovr_weighted(test), M.MODEL, "left").join(sure, M.MODEL)
+        if self.folds is None:
+            return out.withColumns({c: F.lit(None).cast("double") for c in ("cv_mean", "cv_std")})
+        return out.join(M.cv_summary(self.folds).drop("folds"), M.MODEL, "left")
+
+
+HIGH_CONFIDENCE = 0.8  # fixed value
 
 
 def training_rows(df, preset="punct", label="manual_sentiment", fit_on="train", stratify=True, **limits):
     """Tagged rows with split mark, label index and features; the vectorizer and the classes."""
-    tagged = stratified_split(tagged_only(df, label), label=label, stratify=stratify)
+    tagged = materialize(stratified_split(tagged_only(df, label), label=label, stratify=stratify))
     classes = label_classes(tagged, label)
     source = tagged if fit_on == "all" else tagged.filter(~F.col("is_test"))
     vectorizer = TextVectorizer(preset, **limits).fit(source)
     return encode_labels(vectorizer.transform(tagged), classes, label), vectorizer, classes
 
 
-def for_iterations(df, rows_per_task=20_000):
-    """Few rows in many partitions make iterative training wait on task starts; larger tables keep theirs."""
-    wanted = max(1, df.count() // rows_per_task)
-    return df.coalesce(wanted) if wanted < df.sparkSession.sparkContext.defaultParallelism else df
+def table_rows(df, label=None, stratify=True, **limits):
+    """Analysed comments with split mark, label index and the two blocks of the feature table, which is learned on the training
+    rows after the split; the pipeline and the classes. Without `label` the target is the lexicon's label (`choose_target`)."""
+    if label is None:
+        df, label = choose_target(df, "target"), "target"
+    rows = materialize(stratified_split(df.filter(F.col(label).isNotNull()), label=label, stratify=stratify))
+    classes = label_classes(rows, label)
+    pipeline = FeaturePipeline("features", **limits).fit(rows.filter(~F.col("is_test")))
+    return encode_labels(pipeline.transform(rows), classes, label).withColumn(M.TRUTH, F.col(label)), pipeline, classes
 
 
-def compare_models(df, preset="punct", settings=None, fit_on="train", stratify=True, **limits):
-    """Train every model of the preset on the tagged training rows; one that fails is recorded and skipped."""
-    rows, vectorizer, classes = training_rows(df, preset, fit_on=fit_on, stratify=stratify, **limits)
-    rows = rows.persist()
-    out = Comparison(vectorizer, classes)
-    train = for_iterations(rows.filter(~F.col("is_test")))
+def laid_out(df, partitions=None, key="id"):
+    """Training rows dealt to a fixed number of partitions by the hash of their key, in the order of the key, so that models that
+    sample by partition do not depend on how the rows arrived or how many there are. Without `partitions` there are as many as
+    the session has for shuffles."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, F.col(key)).sortWithinPartitions(key)
+
+
+def compare_models(df, preset="punct", settings=None, fit_on="train", stratify=True, label=None, folds=0, partitions=None,
+                   **limits):
+    """Train every model of the preset on the tagged training rows; one that fails is recorded and skipped.
+
+    The preset "features" takes analysed comments and trains on the feature table, each model on its own view of it. With
+    `folds` each model is also cross-validated on the training rows.
+    """
+    if preset == "features":
+        rows, pipeline, classes = table_rows(df, label, stratify, **limits)
+        inputs = TableInput(pipeline)
+    else:
+        rows, vectorizer, classes = training_rows(df, preset, label or M.TRUTH, fit_on, stratify, **limits)
+        inputs = TextInput(vectorizer)
+    rows = materialize(laid_out(rows, partitions))
+    out = Comparison(inputs, classes)
+    train = rows.filter(~F.col("is_test"))
+    scores = []
     for name, params in (settings or SETTINGS[preset]).items():
         try:
-            out.models.append(TRAINERS[name](train, classes, **params))
+            params = params | inputs.settings(name)
+            model = TRAINERS[name](inputs.seen_by(name, train), classes, **params)
+            if folds:
+                scores.append(materialize(cross_validate(inputs.seen_by(name, train), classes, name, params, folds,
+                                                         partitions=partitions)))
+            out.models.append(inputs.through(model) if isinstance(inputs, TableInput) else model)
         except Exception as e:  # one failing model must not stop the others
             out.errors[name] = str(e)
     if out.models:
-        out.predictions = predict_all(out.models, rows, ("id", "manual_sentiment", "is_test"))
+        out.predictions = predict_all(out.models, rows, ("id", M.TRUTH, "is_test"))
+    for s in scores:
+        out.folds = s if out.folds is None else out.folds.unionByName(s)
     return out
 
 
-def cross_validate(rows, classes, name, params=None, k=5, metric="accuracy", label="manual_sentiment"):
-    """Score of every stratified fold: trained on the others, measured on it. Columns model_name, fold, score."""
-    folded = stratified_folds(rows, k, label=label).persist()
-    parts = []
-    for i in range(k):
-        model = TRAINERS[name](for_iterations(folded.filter(F.col("fold") != i)), classes, **(params or {}))
-        parts.append(predict_all([model], folded.filter(F.col("fold") == i), ("id", label, "fold")))
-    held = parts[0]
-    for p in parts[1:]:
-        held = held.unionByName(p)
+def cross_validate(rows, classes, name, params=None, k=5, metric="accuracy", label="manual_sentiment", partitions=None):
+    """Score of every stratified fold: trained on the others, measured on it. Columns model_name, fold, score.
+
+    Naive Bayes takes all its models from one pass of sums and scores every row in another; the other models are trained k times.
+    """
+    folded = materialize(stratified_folds(rows, k, label=label))
+    if name == "naive_bayes":
+        models = bayes.fit(folded, len(classes), feature_width(folded), fold="fold", k=k, **(params or {}))
+        held = predict_all([Fitted(name, classes, lambda df, out: bayes.score(df, models, "fold", out=out))], folded,
+                           ("id", label, "fold"))
+    else:
+        parts = []
+        for i in range(k):
+            model = TRAINERS[name](laid_out(folded.filter(F.col("fold") != i), partitions), classes, **(params or {}))
+            parts.append(predict_all([model], folded.filter(F.col("fold") == i), ("id", label, "fold")))
+        held = parts[0]
+        for p in parts[1:]:
+            held = held.unionByName(p)
     held = held.withColumnRenamed(label, M.TRUTH)
     if metric == "accuracy":
         return M.fold_accuracy(held)

@@ -1,16 +1,28 @@
 """Exact k-nearest-neighbour search and classification.
 
-Points are placed around a bounded set of pivots. For each pivot cell of the query side, the triangle inequality
-bounds how far away a useful training point can be, so a training point is sent only to cells it can matter for
-(the bound of Lu et al., 2012). A cell that is still large is cut into blocks on both sides. A task sees one block
-of each side and returns the k best per query; pairs are never emitted.
+A two-level pivot index: about the square root of the number of training points are centres of cells, and the cells are grouped
+around a few of the centres. Each cell keeps its size and radius, each group how far its cells reach. A query first searches
+the cell it falls into, which bounds how far away its k-th neighbour can be; the triangle inequality then says which other cells can
+hold a nearer point, and only there is it searched again. Cells are cut into blocks of bounded bytes on both sides; a task
+compares one block of each and returns the k best per query, so pairs are never emitted.
 """
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window, functions as F
 
+from commentlake.operators.scale import join_by_weight
+from commentlake.session import materialize
+
 DIGITS = 9
+CELL_ROWS = 256  # a smaller table has fewer cells than the square root of its rows
+MAX_CELLS, MAX_INDEX_BYTES = 4096, 32 << 20
+BLOCK_BYTES = 8 << 20
+CHUNK = 256
+EXACT = 1 << 16
 
 
 def _distances(vectors, pivots):
@@ -18,112 +30,228 @@ def _distances(vectors, pivots):
     return np.sqrt(np.maximum(gap, 0.0))
 
 
-def _matrix(series):
-    return np.stack([np.asarray(v, dtype=float) for v in series])
-
-
-def _placed(df, pivots):
-    """Nearest pivot, distance to it and distances to all pivots."""
-    @F.pandas_udf("cell int, gap double, gaps array<double>")
-    def place(v: pd.Series) -> pd.DataFrame:
-        if v.empty:
-            return pd.DataFrame({"cell": [], "gap": [], "gaps": []})
-        d = _distances(_matrix(v), pivots)
-        cell = d.argmin(1)
-        return pd.DataFrame({"cell": cell, "gap": d[np.arange(len(d)), cell], "gaps": list(d)})
-    return df.withColumn("_p", place("embedding")).select("*", "_p.*").drop("_p")
-
-
-def _best_in_block(keep):
-    def best(key, asked, known):
-        empty = pd.DataFrame({"qid": [], "neighbour": [], "distance": [], "label": []})
-        if asked.empty or known.empty:
-            return empty
-        q, t = _matrix(asked["embedding"]), _matrix(known["embedding"])
-        ids, labels = known["id"].to_numpy(), known["label"].to_numpy()
-        parts = []
-        for start in range(0, len(q), 256):
-            rough = _distances(q[start:start + 256], t) ** 2
-            n = min(keep, t.shape[0]) - 1
-            # The products above lose digits: take everything near the k-th value, then measure exactly.
-            slack = 1e-7 * (1.0 + (q[start:start + 256] ** 2).sum(1) + (t ** 2).sum(1).max())
-            limit = np.partition(rough, n, axis=1)[:, n] + slack
-            for i in range(rough.shape[0]):
-                near = np.flatnonzero(rough[i] <= limit[i])
-                d = np.sqrt(((t[near] - q[start + i]) ** 2).sum(1))
-                first = np.lexsort((ids[near], d.round(DIGITS)))[:keep]
-                parts.append((asked["qid"].iat[start + i], near[first], d[first]))
-        return pd.DataFrame({
-            "qid": np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]),
-            "neighbour": np.concatenate([ids[p[1]] for p in parts]),
-            "distance": np.concatenate([p[2] for p in parts]),
-            "label": np.concatenate([labels[p[1]] for p in parts]),
-        })
-    return best
-
-
-def knn_candidates(queries, train, k=5, exclude_same_id=False, pivots=64, block=4096):
-    """The k nearest training rows of every query row: (id, neighbour, distance, label).
+def _matrix(column, width):
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+class PivotIndex:
+    """Centres, cells and groups of cells; bounded by the number of cells (at most 4,096 and 32 MB of centres)."""
+
+    def __init__(self, centres):
+        self.centres = centres
+        self.tops = centres[:math.isqrt(len(centres) - 1) + 1]
+        to_tops = _distances(centres, self.tops)
+        self.group = to_tops.argmin(1)
+        self.cells = [np.flatnonzero(self.group == g) for g in range(len(self.tops))]
+        self.from_top = to_tops[np.arange(len(centres)), self.group]
+        self.rows, self.radius = np.zeros(len(centres), np.int64), np.full(len(centres), -np.inf)
+
+    def measure(self, sizes):
+        """Takes (cell, rows, radius) of the training points."""
+        for cell, rows, radius in sizes:
+            self.rows[cell], self.radius[cell] = rows, radius
+        self.reach = np.array([(self.from_top[c] + self.radius[c]).max() for c in self.cells])
+        return self
+
+    def place(self, x):
+        """A near cell of each vector (the nearest of its group's) and the distance to its centre."""
+        top = _distances(x, self.tops).argmin(1)
+        cell, gap = np.zeros(len(x), np.int32), np.zeros(len(x))
+        for g in np.unique(top):
+            rows = np.flatnonzero(top == g)
+            d = _distances(x[rows], self.centres[self.cells[g]])
+            at = d.argmin(1)
+            cell[rows], gap[rows] = self.cells[g][at], d[np.arange(len(rows)), at]
+        return cell, gap
+
+    def within(self, x, bound):
+        """(row, cell, distance to the centre) of all cells that can hold points as near as each row's bound."""
+        to_tops = _distances(x, self.tops)
+        found = []
+        for g, cells in enumerate(self.cells):
+            rows = np.flatnonzero(to_tops[:, g] - self.reach[g] <= bound)
+            if len(rows):
+                d = _distances(x[rows], self.centres[cells])
+                r, c = np.nonzero(d - self.radius[cells] <= bound[rows, None])
+                found.append((rows[r], cells[c], d[r, c]))
+        if not found:
+            return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        return tuple(np.concatenate(part) for part in zip(*found))
+
+    def bound(self, x, keep):
+        """A distance within which each row has `keep` points, from the cells' sizes and radii alone."""
+        far = _distances(x, self.centres) + self.radius
+        order = far.argsort(1)
+        enough = self.rows[order].cumsum(1) >= keep
+        at = enough.argmax(1)
+        rows = np.arange(len(x))
+        return np.where(enough.any(1), far[rows, order[rows, at]], np.inf)
+
+
+def _loose(bound):
+    """Room for the rounding of distances that are products."""
+    return bound * (1.0 + 1e-6) + 1e-6
+
+
+def _placed(df, index, width):
+    def run(batches):
+        for batch in batches:
+            cell, gap = index.place(_matrix(batch.column("embedding"), width))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(gap)], [*batch.schema.names, "cell", "gap"])
+    return df.mapInArrow(run, df.schema.simpleString()[7:-1] + ",cell:int,gap:double")
+
+
+def _elsewhere(asked, index, width, keep):
+    """A row for each other cell that a query has to search; the bound becomes a number where it was none."""
+    def run(batches):
+        for batch in batches:
+            x = _matrix(batch.column("embedding"), width)
+            bound = batch.column("bound").to_numpy(zero_copy_only=False).astype(float)
+            open_ = np.isnan(bound)
+            if open_.any():
+                bound[open_] = index.bound(x[open_], keep)
+            rows, cells, gaps = index.within(x, _loose(bound))
+            other = cells != batch.column("cell").to_numpy()[rows]
+            rows, cells, gaps = rows[other], cells[other], gaps[other]
+            for lo in range(0, len(rows), 4096):
+                part, at = batch.take(pa.array(rows[lo:lo + 4096])), slice(lo, lo + 4096)
+                yield pa.record_batch([part.column("qid"), part.column("embedding"), pa.array(cells[at].astype(np.int32)),
+                                       pa.array(gaps[at]), pa.array(bound[rows[at]])], names=["qid", "embedding", "cell", "gap", "bound"])
+    kind = asked.schema["qid"].dataType.simpleString()
+    return asked.select("qid", "embedding", "cell", "gap", "bound").mapInArrow(
+        run, f"qid {kind}, embedding array<double>, cell int, gap double, bound double")
+
+
+def _best_of_block(keep, width, schema):
+    """The `keep` nearest rows of one block for each query of another."""
+    def run(asked, known):
+        if not asked.num_rows or not known.num_rows:
+            return schema.empty_table()
+        known = known.take(pc.sort_indices(known["gap"]))
+        q, t = _matrix(asked["embedding"], width), _matrix(known["embedding"], width)
+        gap, centre = known["gap"].to_numpy(), asked["gap"].to_numpy()
+        bound = _loose(asked["bound"].to_numpy(zero_copy_only=False).astype(float))
+        bound = np.where(np.isnan(bound), np.inf, bound)
+        rank = pc.rank(known["id"].combine_chunks(), tiebreaker="first").to_numpy()
+        rows, found, far = [], [], []
+        order = np.argsort(centre)
+        for lo in range(0, len(q), CHUNK):
+            mine = order[lo:lo + CHUNK]
+            # A point is no nearer to a query than their distances to the centre differ.
+            a = np.searchsorted(gap, (centre[mine] - bound[mine]).min(), "left")
+            b = np.searchsorted(gap, (centre[mine] + bound[mine]).max(), "right")
+            if a == b:
+                continue
+            x, y = q[mine], t[a:b]
+            rough = _distances(x, y) ** 2
+            # The products lose digits: take everything near the k-th value, then measure exactly.
+            slack = 1e-7 * (1.0 + (x ** 2).sum(1) + (y ** 2).sum(1).max())
+            n = min(keep, b - a) - 1
+            r, c = np.nonzero(rough <= (np.partition(rough, n, axis=1)[:, n] + slack)[:, None])
+            d = np.concatenate([np.sqrt(((y[c[i:i + EXACT]] - x[r[i:i + EXACT]]) ** 2).sum(1)) for i in range(0, len(r), EXACT)])
+            first = np.lexsort((rank[a + c], d.round(DIGITS), r))
+            r, c, d = r[first], c[first], d[first]
+            best = np.arange(len(r)) - np.searchsorted(r, r, "left") < keep
+            rows.append(mine[r[best]]), found.append(a + c[best]), far.append(d[best])
+        if not rows:
+            return schema.empty_table()
+        at = pa.array(np.concatenate(found))
+        return pa.table([asked["qid"].take(pa.array(np.concatenate(rows))), known["id"].take(at), pa.array(np.concatenate(far)),
+                         known["label"].take(at)], schema=schema)
+    return run
 
-    `queries` has id and embedding, `train` also label. Equal distances are ordered by training id. With
-    `exclude_same_id` a row is not its own neighbour.
-    """
-    keep = k + 1 if exclude_same_id else k
-    # Of equal training vectors only the first k by id can be among the k nearest.
-    copies = Window.partitionBy("embedding").orderBy("id")
-    train = train.select("id", "embedding", "label").withColumn("_c", F.row_number().over(copies)) \
-        .filter(F.col("_c") <= keep).drop("_c")
-    asked = queries.groupBy("embedding").agg(F.min("id").alias("qid"))
-    chosen = train.select("embedding").distinct().orderBy(F.xxhash64("embedding"), "embedding").limit(pivots).collect()
-    if not chosen:
-        raise ValueError("no training rows")
-    centres = np.array([r[0] for r in chosen], dtype=float)
-
-    # Bounded by the number of pivots: radius and size of query cells, nearest points of training cells.
-    asked, train = _placed(asked, centres).drop("gaps"), _placed(train, centres)
-    cells = {r["cell"]: r for r in asked.groupBy("cell").agg(
-        F.max("gap").alias("radius"), F.count("*").alias("n")).collect()}
-    near = Window.partitionBy("cell").orderBy("gap")
-    closest = train.select("cell", "gap").withColumn("_r", F.row_number().over(near)).filter(F.col("_r") <= keep).collect()
-    between = _distances(centres, centres)
-    np.fill_diagonal(between, 0.0)
-    reach = np.full(len(centres), -1.0)
-    for cell, r in cells.items():
-        bounds = sorted(between[cell, c["cell"]] + c["gap"] for c in closest)
-        kth = bounds[keep - 1] if len(bounds) >= keep else np.inf
-        reach[cell] = (2.0 * r["radius"] + kth) * (1.0 + 1e-6) + 1e-6
-
-    useful = F.filter(
-        F.transform(F.arrays_zip(F.lit(F.array(*[F.lit(float(x)) for x in reach])).alias("reach"), F.col("gaps").alias("gaps")),
-                    lambda z, i: F.when(z["gaps"] <= z["reach"], i)), lambda i: i.isNotNull())
-    sent = train.select("id", "embedding", "label", F.explode(useful).alias("cell"))
-    sizes = {r["cell"]: r["n"] for r in sent.groupBy("cell").agg(F.count("*").alias("n")).collect()}
 
+def _search(asked, points, index, sizes, keep, width, block):
+    """(qid, neighbour, distance, label): the best of each pair of blocks. `sizes` counts the queries per cell."""
     def blocks(counts):
-        per_cell = [max(1, -(-counts.get(c, 0) // block)) for c in range(len(centres))]
-        return F.get(F.array(*[F.lit(n) for n in per_cell]), F.col("cell"))
-    q_blocks, t_blocks = blocks({c: r["n"] for c, r in cells.items()}), blocks(sizes)
-    left = asked.select("qid", "embedding", "cell", F.pmod(F.xxhash64("qid"), q_blocks).alias("qb"),
+        per_cell = [max(1, -(-int(counts.get(c, 0)) // block)) for c in range(len(index.centres))]
+        return F.get(F.from_json(F.lit(str(per_cell)), "array<int>"), F.col("cell"))
+    q_blocks, t_blocks = blocks(sizes), blocks(dict(enumerate(index.rows)))
+    left = asked.select("qid", "embedding", "cell", "gap", "bound", F.pmod(F.xxhash64("qid"), q_blocks).alias("qb"),
                         F.explode(F.sequence(F.lit(0), t_blocks - 1)).alias("tb"))
-    right = sent.select("id", "embedding", "label", "cell", F.pmod(F.xxhash64("id"), t_blocks).alias("tb"),
-                        F.explode(F.sequence(F.lit(0), q_blocks - 1)).alias("qb"))
-    keys = ["cell", "qb", "tb"]
+    # A training point goes only where queries are.
+    wanted = F.get(F.from_json(F.lit(str([int(c in sizes) for c in range(len(index.centres))])), "array<int>"), F.col("cell")) == 1
+    right = points.where(wanted).select("id", "embedding", "label", "cell", "gap", F.pmod(F.xxhash64("id"), t_blocks).alias("tb"),
+                                        F.explode(F.sequence(F.lit(0), q_blocks - 1)).alias("qb"))
     # Both sides may come from one table: fresh column identities keep the cogroup from mixing them up.
     left = left.select(*[F.col(c).alias(c) for c in left.columns])
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
-    types = {f.name: f.dataType.simpleString() for f in train.schema.fields}
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        _best_in_block(keep),
-        f"qid {types['id']}, neighbour {types['id']}, distance double, label {types['label']}")
-
-    def first(df, key, n):
-        order = Window.partitionBy(key).orderBy(F.round("distance", DIGITS), "neighbour")
-        return df.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_r")
-    best = first(found, "qid", keep)
+    types = {f.name: f.dataType for f in points.schema.fields}
+    ddl = (f"qid {asked.schema['qid'].dataType.simpleString()}, neighbour {types['id'].simpleString()}, distance double, "
+           f"label {types['label'].simpleString()}")
+    arrow = _arrow_schema(points.sparkSession, ddl)
+    keys = ["cell", "qb", "tb"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best_of_block(keep, width, arrow), ddl)
+
+
+def _arrow_schema(spark, ddl):
+    return spark.createDataFrame([], ddl).toArrow().schema
+
+
+def _digest(df):
+    """Two hashes of the vector, which stand for it as a key."""
+    return df.withColumns({"_h1": F.xxhash64("embedding"), "_h2": F.xxhash64(F.lit(1), "embedding")})
+
+
+def _first(df, key, n):
+    order = Window.partitionBy(key).orderBy(F.round("distance", DIGITS), "neighbour")
+    return df.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_r")
+
+
+def build_index(points, pivots=None):
+    """A PivotIndex of `points` (id, embedding, label, _c: 1 for the first of equal vectors), the points with cell and gap, the width."""
+    n, width = points.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    if not n:
+        raise ValueError("no training rows")
+    wanted = pivots or max(1, min(math.isqrt(n), n // CELL_ROWS, MAX_CELLS, MAX_INDEX_BYTES // (8 * max(width, 1))))
+    chosen = points.where("_c = 1").orderBy("_h1", "_h2").select("embedding").limit(wanted).collect()
+    index = PivotIndex(np.array([r[0] for r in chosen], dtype=float).reshape(len(chosen), width))
+    placed = materialize(_placed(points.select("id", "embedding", "label"), index, width))
+    sizes = placed.groupBy("cell").agg(F.count("*"), F.max("gap")).collect()
+    return index.measure([tuple(r) for r in sizes]), placed, width
+
+
+def compared(asked, index):
+    """How many pairs a search of these (query, cell) rows compares at most."""
+    rows = F.get(F.from_json(F.lit(str(index.rows.tolist())), "array<long>"), F.col("cell"))
+    return asked.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+
+
+def knn_candidates(queries, train, k=5, exclude_same_id=False, pivots=None, block=None, work=None):
+    """The k nearest training rows of every query row: (id, neighbour, distance, label).
+
+    `queries` has id and embedding, `train` also label; vectors have one length, rows without one are left out. Equal distances
+    are ordered by training id. With `exclude_same_id` a row is not its own neighbour. `pivots` is the number of cells, `block`
+    the rows of a block; without them the table's size and the vectors' bytes decide. A list given as `work` gets the number of
+    pairs compared in each of the two searches.
+    """
+    keep = k + 1 if exclude_same_id else k
+    queries = _digest(queries.select("id", F.col("embedding").cast("array<double>")).where("embedding is not null"))
+    train = _digest(train.select("id", F.col("embedding").cast("array<double>"), "label").where("embedding is not null"))
+    # Of equal training vectors only the first k by id can be among the k nearest; the others are dropped before the shuffle.
+    copies = Window.partitionBy("_h1", "_h2").orderBy("id")
+    points = materialize(train.withColumn("_c", F.row_number().over(copies)).filter(F.col("_c") <= keep))
+    index, points, width = build_index(points, pivots)
+    block = block or max(CHUNK, BLOCK_BYTES // (8 * max(width, 1)))
+    same = queries.groupBy("_h1", "_h2").agg(F.min("id").alias("qid"), F.first("embedding").alias("embedding"), F.count("*").alias("n"))
+    asked = materialize(_placed(same, index, width))
+
+    def counted(rows):
+        return {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    here = asked.withColumn("bound", F.lit(None).cast("double"))
+    near = materialize(_first(_search(here, points, index, counted(here), keep, width, block), "qid", keep))
+    reached = near.groupBy("qid").agg(F.when(F.count("*") >= keep, F.max("distance")).alias("bound"))
+    there = materialize(_elsewhere(asked.join(reached, "qid", "left"), index, width, keep))
+    if work is not None:
+        work += [compared(here, index), compared(there, index)]
+    best = _first(near.unionByName(_search(there, points, index, counted(there), keep, width, block)), "qid", keep)
+    lists = asked.select("_h1", "_h2", "qid", "n").join(
+        best.groupBy("qid").agg(F.collect_list(F.struct("neighbour", "distance", "label")).alias("best")), "qid")
     # Back from distinct query vectors to query rows.
-    keyed = queries.select("id", "embedding").join(asked.select("embedding", "qid"), "embedding").drop("embedding")
-    rows = keyed.join(best, "qid").drop("qid")
-    return first(rows.filter(F.col("id") != F.col("neighbour")), "id", k) if exclude_same_id else rows
+    rows = join_by_weight(queries.select("id", "_h1", "_h2"), lists.drop("qid"), ["_h1", "_h2"], "n").select("id", F.inline("best"))
+    return _first(rows.filter(F.col("id") != F.col("neighbour")), "id", k) if exclude_same_id else rows
 
 
 def knn_classify(queries, train, k=5, exclude_same_id=False, shares=False, **limits):

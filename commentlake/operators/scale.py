@@ -25,6 +25,23 @@ def join_checked(big, small, on, how="left", max_rows=SMALL_ROWS):
     return big.join(small, on, how)
 
 
+HOT_KEYS = 50_000
+
+
+def join_by_weight(rows, unique, on, weight):
+    """Inner join with a table that has one row per key and says how many of `rows` have it (column `weight`, dropped).
+
+    Keys that hold more than a 50,000th of all rows are at most 50,000, so they can be sent to every task; the rows of the others
+    meet by shuffle. No task gets the rows of a hot key.
+    """
+    unique = materialize(unique)
+    total = unique.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) > total // HOT_KEYS
+    often, seldom = unique.where(hot).drop(weight), unique.where(~hot).drop(weight)
+    return rows.join(F.broadcast(often), on).unionByName(
+        rows.join(F.broadcast(often.select(*on)), on, "left_anti").join(seldom, on))
+
+
 def with_share(counts, n="n", out="percent"):
     """Percent of the grand total; the total is a scalar subquery, not a join or a global window."""
     total = counts.agg(F.sum(n).alias("total")).scalar()

