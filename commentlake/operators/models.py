@@ -56,6 +56,7 @@ SETTINGS = {
 SEED = 42
 # Stopping tolerances of the linear and neural models and of the support vector machine.
 LINEAR_TOL, SVM_TOL = 1e-4, 1e-3
+TRAIN_PARTITIONS = 4
 
 
 @dataclass
@@ -353,10 +354,9 @@ def table_rows(df, label=None, stratify=True, **limits):
 
 def laid_out(df, partitions=None, key="id"):
     """Training rows dealt to a fixed number of partitions by the hash of their key, in the order of the key, so that models that
-    sample by partition do not depend on how the rows arrived or how many there are. Without `partitions` there are as many as
-    the session has for shuffles."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, F.col(key)).sortWithinPartitions(key)
+    sample by partition do not depend on how the rows arrived, how many there are or where the job runs. Iterative training starts
+    a task per partition and step, so the default suits some million tagged rows; ask for more `partitions` beyond."""
+    return df.repartition(partitions or TRAIN_PARTITIONS, F.col(key)).sortWithinPartitions(key)
 
 
 def compare_models(df, preset="punct", settings=None, fit_on="train", stratify=True, label=None, folds=0, partitions=None,

@@ -5,29 +5,25 @@ from pyspark.sql import types as T
 
 from commentlake.functions.text import strip
 from commentlake.schema import COMMENTS, LABELS, NA_TOKENS
+from commentlake.sources.csv_records import read_csv
 
 
-def read_comments(spark, path, schema=COMMENTS, na_tokens=True, required=("text",), fmt="csv",
-                  multiline=True):
+def read_comments(spark, path, schema=COMMENTS, na_tokens=True, required=("text",), fmt="csv"):
     """A comment table with a declared schema.
 
-    CSV fields may be quoted and span lines. Missing-value tokens become null unless `na_tokens` is off; a
-    missing required column is an error. A file whose fields span lines is read by one task; turn `multiline` off
-    for large files without such fields, so that they are split.
+    CSV fields may be quoted and span lines; columns are taken by each file's own header, and a large file is read by many tasks.
+    Missing-value tokens become null unless `na_tokens` is off; a missing required column is an error.
     """
     if fmt != "csv":
         df = spark.read.schema(schema).format(fmt).load(path)
         _require(spark.read.format(fmt).load(path).columns, required)
         return _nullify(df, NA_TOKENS) if na_tokens else df
-    options = dict(header=True, multiLine=multiline, quote='"', escape='"', mode="PERMISSIVE")
-    header = spark.read.options(**options).csv(path).columns
-    _require(header, required)
-    # Columns are taken by name in file order; typed ones are parsed leniently after the text is read.
-    raw = spark.read.options(**options).schema(T.StructType([T.StructField(c, T.StringType()) for c in header])) \
-        .csv(path)
+    raw = read_csv(spark, path)
+    _require(raw.columns, required)
     if na_tokens:
         raw = _nullify(raw, NA_TOKENS)
-    return raw.select(*[_typed(f) for f in schema.fields if f.name in header])
+    # Typed columns are parsed leniently after the text is read.
+    return raw.select(*[_typed(f) for f in schema.fields if f.name in raw.columns])
 
 
 def _require(columns, required):
