@@ -4,7 +4,7 @@ from pyspark.sql import Window, functions as F
 
 from commentlake.session import materialize
 
-SMALL_ROWS = 100_000
+SMALL_ROWS, SMALL_BYTES = 100_000, 32 << 20
 
 
 def spread(df, key):
@@ -13,18 +13,55 @@ def spread(df, key):
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-def join_checked(big, small, on, how="left", max_rows=SMALL_ROWS):
+def join_checked(big, small, on, how="left", max_rows=SMALL_ROWS, max_bytes=SMALL_BYTES):
     """Join with a table that is expected to be small.
 
-    The small side is written once, its size is checked, and only then is it broadcast. Above the bound the
+    The small side is written once, its rows and bytes are counted, and only then is it broadcast. Above either bound the
     join is left to Spark, which shuffles both sides.
     """
     small = materialize(small)
-    if small.limit(max_rows + 1).count() <= max_rows:
+    rows, size = small.agg(F.count("*"), F.coalesce(F.sum(row_bytes(small)), F.lit(0))).first()
+    if rows <= max_rows and size <= max_bytes:
         small = F.broadcast(small)
     return big.join(small, on, how)
 
 
+def row_bytes(df):
+    """Bytes of a row as text, which is more than its values take in memory for all but short numbers; 16 a column at least."""
+    return F.greatest(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))), F.lit(16 * len(df.columns)))
+
+
+def hot_keys(df, key, share):
+    """Keys that hold more than `share` of the rows; at most 1 / share of them. A sketch names the candidates, a count decides."""
+    known = df.select(F.col(key).alias("_k")).where("_k is not null")
+    named = known.freqItems(["_k"], share).first()[0]
+    if not named:
+        return []
+    total = known.count()
+    found = known.where(F.col("_k").isin(list(named))).groupBy("_k").count().where(F.col("count") > share * total)
+    return [r["_k"] for r in found.collect()]
+
+
+def spread_join(left, right, key, how="left", hot_share=None, salts=32):
+    """Inner or left equi-join in which neither null keys nor hot keys of the left side meet in one task.
+
+    Null keys match nothing, so they are dealt by row. With `hot_share` the keys that hold more than that share of the left rows
+    are dealt over `salts` tasks and their right rows are copied to each; without it adaptive execution splits large partitions.
+    """
+    if how not in ("left", "inner"):
+        raise ValueError(f"not a left or inner join: {how}")
+    hot = hot_keys(left, key, hot_share) if hot_share else []
+    row = F.xxhash64(F.monotonically_increasing_id())
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    salt = F.when(F.col(key).isNull(), row).when(is_hot, F.pmod(row, F.lit(salts))).otherwise(F.lit(0)).cast("long")
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))).cast("array<long>")
+    known = right.where(F.col(key).isNotNull())
+    dealt = known.withColumn("_salt", F.explode(copies) if hot else F.lit(0).cast("long"))
+    if how == "inner":
+        left = left.where(F.col(key).isNotNull())
+    return left.withColumn("_salt", salt).join(dealt, [key, "_salt"], how).drop("_salt")
+
+
 HOT_KEYS = 50_000
 
 

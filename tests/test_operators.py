@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from commentlake.operators import clean as C, ensemble as E, lexicon as LX, merge as J, metrics as M, quality as Q, scale
+from commentlake.operators import clean as C, ensemble as E, lexicon as LX, merge as J, metrics as M, quality as Q, scale as SC
 from commentlake.operators.features import stratified_folds, stratified_split
 from commentlake.operators.scale import hash_cuts, key_hash
 from commentlake.session import scratch_path
@@ -16,14 +16,14 @@ from commentlake.streaming.replies import stream_replies, write_replies
 def test_join_checked_falls_back(spark):
     big, small = spark.range(100), spark.range(50).withColumn("v", F.lit(1))
     for limit in (10, 1000):
-        joined = scale.join_checked(big, small, "id", "left", max_rows=limit)
+        joined = SC.join_checked(big, small, "id", "left", max_rows=limit)
         assert joined.filter("v = 1").count() == 50 and joined.count() == 100
 
 
 def test_global_position_matches_a_sort(spark):
     values = [(random.Random(i).randint(0, 20), i) for i in range(500)]
     df = spark.createDataFrame(values, "v int, id int")
-    got = {r["id"]: r["position"] for r in scale.global_position(df, ["v", "id"], partitions=7).collect()}
+    got = {r["id"]: r["position"] for r in SC.global_position(df, ["v", "id"], partitions=7).collect()}
     assert got == {i: n + 1 for n, (v, i) in enumerate(sorted(values))}
 
 
@@ -190,3 +190,47 @@ def test_rows_without_label_and_tiny_classes_are_split(spark):
     assert tests == {None: 10, "one": 0, "two": 1}
     folds = stratified_folds(df).filter("manual_sentiment IS NULL").groupBy("fold").count().collect()
     assert sorted((r["fold"], r["count"]) for r in folds) == [(i, 10) for i in range(5)]
+
+
+def test_null_and_hot_ids_are_spread(spark):
+    # Half the ids are null, one id holds a third of the rows.
+    ids = F.when(F.col("i") % 2 == 0, None).when(F.col("i") % 6 < 5, 7).otherwise(F.col("i"))
+    comments = spark.range(60_000).withColumnRenamed("id", "i").select(ids.alias("id"), F.concat(F.lit("t"), "i").alias("text"))
+    tags = spark.createDataFrame([(7, "positive", "yes"), (11, "neutral", "yes"), (None, "negative", "yes")],
+                                 "id long, manual_sentiment string, is_tagged string")
+    plain = {r["manual_sentiment"]: r["n"] for r in comments.join(tags, "id", "left").groupBy("manual_sentiment").agg(
+        F.count("*").alias("n")).collect()}
+    for share in (None, 0.1):
+        merged = J.merge_tags(comments, tags, hot_share=share)
+        assert {r["manual_sentiment"]: r["n"] for r in merged.groupBy("manual_sentiment").agg(F.count("*").alias("n")).collect()} == plain
+        assert merged.select("text").distinct().count() == 60_000 and merged.columns == ["id", "text", "manual_sentiment", "is_tagged"]
+    assert SC.hot_keys(comments, "id", 0.1) == [7]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = J.merge_tags(comments, tags, hot_share=0.1).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(r["count"] for r in parts) < 0.3 * 60_000
+
+
+def test_pairs_need_a_name_for_each_row(spark):
+    a = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3), (None, 4)], "text string, p int")
+    b = spark.createDataFrame([("x", 1), ("y", 2), ("y", 3), (None, 4)], "text string, p int")
+    assert sorted((r["text"], r["p_roberta"], r["p_gb"]) for r in J.merge_model_outputs(a, b).collect()) == [
+        ("x", 1, 1), ("x", 2, 1), ("y", 3, 2), ("y", 3, 3)]
+    with pytest.raises(ValueError, match="both sides"):
+        J.merge_model_outputs(a, a)
+    with pytest.raises(ValueError, match="repeats"):
+        J.merge_by_order(a, b, ["text"], ["p"])
+
+
+def test_few_wide_rows_are_not_broadcast(spark):
+    big = spark.range(1000).select((F.col("id") % 5).alias("k"))
+    wide = spark.range(5).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 1_000_000).alias("v"))
+    both = [SC.join_checked(big, wide, "k", max_bytes=n).select("k", F.length("v").alias("n")) for n in (1 << 30, 1 << 20)]
+    assert sorted(both[0].collect()) == sorted(both[1].collect())
+    hints = ["ResolvedHint" in j._jdf.queryExecution().analyzed().toString() for j in both]
+    assert hints == [True, False]
