@@ -30,8 +30,12 @@ REPORT_STOP_WORDS = [
     "co", "com", "www",
 ]
 
-# The characters that count as emoji, with overlapping ranges merged. They include box drawing and CJK.
-EMOJI = r"[\x{24C2}-\x{10FFFF}\x{200D}\x{231A}\x{23CF}\x{23E9}]+"
+# The ranges of characters that count as emoji. They overlap, and include box drawing and CJK.
+EMOJI = (
+    r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2500}-\x{2BEF}\x{2702}-\x{27B0}"
+    r"\x{24C2}-\x{1F251}\x{1F926}-\x{1F937}\x{10000}-\x{10FFFF}\x{2640}-\x{2642}\x{2600}-\x{2B55}\x{200D}\x{23CF}"
+    r"\x{23E9}\x{231A}\x{FE0F}\x{3030}]+"
+)
 
 # Unicode white space, as a regex class body and as characters.
 SPACE = (
@@ -66,16 +70,26 @@ def clean_input(c):
     return strip(F.coalesce(_col(c), F.lit("")))
 
 
+def is_ascii(c):
+    """No character takes more than one byte, so none is an emoji."""
+    return F.octet_length(_col(c)) == F.length(_col(c))
+
+
+def emoji_runs(c):
+    found = F.regexp_extract_all(_col(c), F.lit(EMOJI), F.lit(0))
+    return F.when(is_ascii(c), F.array().cast("array<string>")).otherwise(found)
+
+
 def count_emoji_runs(c):
-    return F.regexp_count(_col(c), F.lit(EMOJI))
+    return F.when(is_ascii(c), F.lit(0)).otherwise(F.regexp_count(_col(c), F.lit(EMOJI)))
 
 
 def extract_emojis(c):
-    return F.array_join(F.regexp_extract_all(_col(c), F.lit(EMOJI), F.lit(0)), "")
+    return F.array_join(emoji_runs(c), "")
 
 
 def strip_emojis(c):
-    return strip(F.regexp_replace(_col(c), EMOJI, ""))
+    return strip(F.when(is_ascii(c), _col(c)).otherwise(F.regexp_replace(_col(c), EMOJI, "")))
 
 
 def count_keywords(c, keywords, mode="substring"):
@@ -175,11 +189,13 @@ def text_features(df, text="text"):
 
     What several features share gets a column of its own first, which keeps the generated code small.
     """
-    t, low, cleaned = F.col("_t"), F.col("_low"), F.col("cleaned_text")
-    shared = df.withColumn("_t", clean_input(text)).withColumns({"_low": F.lower(t), "cleaned_text": strip_emojis(t)})
+    t, low, cleaned, runs = F.col("_t"), F.col("_low"), F.col("cleaned_text"), F.col("_runs")
+    shared = df.withColumn("_t", clean_input(text)).withColumns({"_low": F.lower(t), "_runs": emoji_runs(t)})
+    # Text without a run is stripped already.
+    shared = shared.withColumn("cleaned_text", F.when(F.size(runs) == 0, t).otherwise(strip(F.regexp_replace(t, EMOJI, ""))))
     return shared.withColumns({
-        "emojis": extract_emojis(t),
-        "emoji_count": count_emoji_runs(t),
+        "emojis": F.array_join(runs, ""),
+        "emoji_count": F.size(runs),
         "has_question": has_question(t),
         "has_exclamation": has_exclamation(t),
         "has_caps": has_caps(t),
@@ -187,4 +203,4 @@ def text_features(df, text="text"):
         "char_count": char_count(t),
         "positive_keywords": keywords_in(low, POSITIVE_KEYWORDS),
         "negative_keywords": keywords_in(low, NEGATIVE_KEYWORDS),
-    }).drop("_t", "_low")
+    }).drop("_t", "_low", "_runs")

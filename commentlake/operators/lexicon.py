@@ -1,22 +1,29 @@
 """Lexicon scoring and the full per-comment analysis."""
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from commentlake.functions import sentiment as S
 from commentlake.functions.text import (
     NEGATIVE_KEYWORDS, POSITIVE_KEYWORDS, WORD_RUN, clean_input, count_emoji_runs, count_keywords, text_features)
 from commentlake.operators.clean import add_length_flags
+from commentlake.operators.scale import spread_join
+from commentlake.session import materialize
 
 SCORES = ("vader_compound", "vader_positive", "vader_negative", "vader_neutral", "textblob_polarity",
           "textblob_subjectivity")
 INLINE_TERMS = 20_000
+DICTIONARY_BYTES = 64 << 20
+HOT_WORD = 0.001  # words with a larger share of all (row, word) pairs are dealt over several tasks
 
 
 def keyword_lexicon(spark):
     """The single-word keywords with valence +1 or -1 and subjectivity 1."""
     rows = {(k, 1.0) for k in POSITIVE_KEYWORDS if " " not in k} | {(k, -1.0) for k in NEGATIVE_KEYWORDS}
-    return spark.createDataFrame([(k, v, 1.0) for k, v in sorted(rows)],
-                                 "term string, valence double, subjectivity double")
+    values = ", ".join(f"('{k}', {v}D, 1D)" for k, v in sorted(rows))
+    return spark.sql(f"SELECT * FROM VALUES {values} AS lexicon(term, valence, subjectivity)")
 
 
 def normalize_lexicon(lexicon):
@@ -46,18 +53,21 @@ def _score_columns(total, pos, neg, hits, words, subjectivity, alpha):
     }
 
 
-def lexicon_score(df, lexicon, text="text", alpha=15, inline_terms=INLINE_TERMS):
+def lexicon_score(df, lexicon, text="text", alpha=15, inline_terms=INLINE_TERMS, max_bytes=DICTIONARY_BYTES):
     """Bounded valence sum, class shares, mean polarity and subjectivity per comment.
 
     A lexicon of at most `inline_terms` rows, which is checked, becomes literals in the projection: no join, no
-    shuffle, the text is read once. A larger one is joined to the words of each distinct text. Both see the same
-    normalized lexicon, so its size does not change a score.
+    shuffle, the text is read once. A larger one is a dictionary that every task holds if it has at most `max_bytes`, and a table
+    joined to the words beyond. All see the same normalized lexicon, so its size does not change a score.
     """
-    lexicon = normalize_lexicon(lexicon)
-    entries = lexicon.select("term", "valence", "subjectivity").limit(inline_terms + 1).collect()
-    if len(entries) > inline_terms:
-        return _lexicon_score_joined(df, lexicon, text, alpha)
-    by_term = {r["term"]: r for r in entries}
+    known = lexicon.where("term is not null and valence is not null").select("term", "valence", "subjectivity")
+    raw = known.limit(inline_terms + 1).collect()
+    if len(raw) > inline_terms:
+        return _score_by_dictionary(df, normalize_lexicon(lexicon), text, alpha, max_bytes)
+    groups = {}
+    for r in raw:
+        groups.setdefault(r["term"], []).append((float(r["valence"]), float(r["subjectivity"] or 0.0)))
+    by_term = {t: {"valence": sum(v for v, _ in g) / len(g), "subjectivity": sum(x for _, x in g) / len(g)} for t, g in sorted(groups.items())}
     valence = F.create_map(*[F.lit(x) for t, r in by_term.items() for x in (t, float(r["valence"]))])
     subjective = F.create_map(*[F.lit(x) for t, r in by_term.items() for x in (t, float(r["subjectivity"]))])
     terms = list(by_term)
@@ -80,23 +90,58 @@ def lexicon_score(df, lexicon, text="text", alpha=15, inline_terms=INLINE_TERMS)
                                          "_subjectivity")
 
 
-def _lexicon_score_joined(df, lexicon, text, alpha):
-    """Score each distinct text once, then give the scores to all its copies."""
-    keyed = df.withColumn("_key", F.md5(clean_input(text)))
-    distinct = keyed.groupBy("_key").agg(F.first(text).alias("_text")).select("_key", _words("_text").alias("_words"))
-    words = distinct.select("_key", F.explode("_words").alias("term"))
-    v = F.col("valence")
-    sums = words.groupBy("_key", "term").agg(F.count("*").alias("_c")).join(lexicon, "term").groupBy("_key").agg(
-        F.sum(v * F.col("_c")).alias("_total"),
-        F.sum(F.greatest(v, F.lit(0.0)) * F.col("_c")).alias("_pos"),
-        F.sum(F.greatest(-v, F.lit(0.0)) * F.col("_c")).alias("_neg"),
-        F.sum("_c").alias("_hits"), F.sum(F.col("subjectivity") * F.col("_c")).alias("_subjectivity"))
-    def got(c):
-        return F.coalesce(F.col(c), F.lit(0))
-    cols = _score_columns(got("_total"), got("_pos"), got("_neg"), got("_hits"), F.size(_words(text)),
-                          got("_subjectivity"), alpha)
-    return keyed.join(sums, "_key", "left").withColumns(cols).drop(
-        "_key", "_total", "_pos", "_neg", "_hits", "_subjectivity")
+SUMS = "struct<total:double,pos:double,neg:double,subj:double,hits:int>"
+
+
+def _score_by_dictionary(df, lexicon, text, alpha, max_bytes):
+    """The words of a row are looked up in one narrow stage; no text is moved."""
+    lexicon = materialize(lexicon)
+    size = lexicon.agg(F.coalesce(F.sum(F.octet_length("term") + 32), F.lit(0))).first()[0]
+    if size > max_bytes:
+        return _score_by_join(df, lexicon, text, alpha)
+    table = lexicon.orderBy("term").toArrow()
+    terms = df.sparkSession.sparkContext.broadcast((
+        table["term"].combine_chunks(), table["valence"].to_numpy(), table["subjectivity"].to_numpy()))
+
+    @F.arrow_udf(SUMS)
+    def sums(words: pa.Array) -> pa.Array:
+        known, valence, subjectivity = terms.value
+        if not len(known):
+            at, hit = np.zeros(0, int), np.zeros(len(words.flatten()), bool)
+        else:
+            found = pc.index_in(words.flatten(), value_set=known)
+            hit = found.is_valid().to_numpy(zero_copy_only=False)
+            at = found.drop_null().to_numpy()
+        row = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy())[hit]
+        n = len(words)
+
+        def of(x):
+            return pa.array(np.bincount(row, x, n))
+        v = valence[at]
+        return pa.StructArray.from_arrays(
+            [of(v), of(np.maximum(v, 0)), of(np.maximum(-v, 0)), of(subjectivity[at]), pa.array(np.bincount(row, minlength=n).astype(np.int32))],
+            names=["total", "pos", "neg", "subj", "hits"])
+    scored = df.withColumn("_words", _words(text)).withColumn("_s", sums("_words"))
+    cols = _score_columns(F.col("_s.total"), F.col("_s.pos"), F.col("_s.neg"), F.col("_s.hits"), F.size("_words"),
+                          F.col("_s.subj"), alpha)
+    return scored.withColumns(cols).drop("_words", "_s")
+
+
+def _score_by_join(df, lexicon, text, alpha):
+    """The words of a row are counted and joined to the lexicon, frequent words over several tasks; the sums come back by the
+    row's number."""
+    numbered = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+    words = numbered.select("_row", F.explode(_words(text)).alias("term")).groupBy("_row", "term").agg(F.count("*").alias("_c"))
+    v, c = F.col("valence"), F.col("_c")
+    zero = F.lit(0.0)
+    sums = spread_join(materialize(words), lexicon, "term", "inner", HOT_WORD).groupBy("_row").agg(
+        F.sum(v * c).alias("_total"), F.sum(F.greatest(v, zero) * c).alias("_pos"), F.sum(F.greatest(-v, zero) * c).alias("_neg"),
+        F.sum("_c").alias("_hits"), F.sum(F.col("subjectivity") * c).alias("_subjectivity"))
+
+    def got(name):
+        return F.coalesce(F.col(name), F.lit(0))
+    cols = _score_columns(got("_total"), got("_pos"), got("_neg"), got("_hits"), F.size(_words(text)), got("_subjectivity"), alpha)
+    return numbered.join(sums, "_row", "left").withColumns(cols).select(*df.columns, *SCORES)
 
 
 def fuse_scores(df, compound="vader_compound", polarity="textblob_polarity"):

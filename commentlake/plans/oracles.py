@@ -1,18 +1,11 @@
 """DuckDB twins of the registered queries, over the same tables."""
 
 from commentlake.functions.text import (
-    NEGATIVE_KEYWORDS, POSITIVE_KEYWORDS, REPORT_STOP_WORDS, SPACE, english_stop_words)
+    EMOJI, NEGATIVE_KEYWORDS, POSITIVE_KEYWORDS, REPORT_STOP_WORDS, SPACE, english_stop_words)
 from commentlake.schema import LABELS, NA_TOKENS
 
 WA, WB = 0.784, 0.801
 
-# Every range of the emoji class as first written down.
-EMOJI = (
-    r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2500}-\x{2BEF}\x{2702}-\x{27B0}"
-    r"\x{24C2}-\x{1F251}\x{1F926}-\x{1F937}\x{10000}-\x{10FFFF}\x{2640}-\x{2642}\x{2600}-\x{2B55}\x{200D}\x{23CF}"
-    r"\x{23E9}\x{231A}\x{FE0F}\x{3030}]+"
-)
-
 
 def q(s):
     return "'" + s.replace("'", "''") + "'"
@@ -319,6 +312,7 @@ AS model_family, TIMESTAMP '2025-01-01 00:00:00' AS run_ts FROM ({PREDS}) p LEFT
 
     # Sentiment
     o["lexicon_score"] = f"{SCORED} SELECT id, {', '.join(f'{r(c)} AS {c}' for c in SCORE_COLS[:-1])} FROM fused"
+    o["lexicon_score_joined"] = o["lexicon_score_dictionary"] = o["lexicon_score"]
     o["classify_compound"] = f"{ANALYZED} SELECT id, vader_sentiment FROM analyzed"
     o["classify_polarity"] = f"{ANALYZED} SELECT id, textblob_sentiment FROM analyzed"
     o["combined_score"] = f"{ANALYZED} SELECT id, {r('combined_sentiment_score')} AS combined_sentiment_score FROM analyzed"

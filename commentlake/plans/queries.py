@@ -38,6 +38,14 @@ def _analyzed(spark, sf, source=None):
     return LX.analyze_comments((source or FX.comments)(spark, sf), LX.keyword_lexicon(spark))
 
 
+def _lexicon_joined(spark, sf, max_bytes=0):
+    """The scores of a lexicon that is too large for literals, with every term twice (mean valence as in the keyword lexicon)."""
+    lexicon = LX.keyword_lexicon(spark)
+    halves = [lexicon.withColumn("valence", F.col("valence") * x) for x in (0.5, 1.5)]
+    scored = LX.lexicon_score(FX.texts(spark, sf), halves[0].unionByName(halves[1]), inline_terms=0, max_bytes=max_bytes)
+    return rounded(scored.select("id", *LX.SCORES))
+
+
 def _from_analysis(*cols):
     return lambda spark, sf: rounded(_analyzed(spark, sf, FX.texts).select("id", *cols))
 
@@ -505,6 +513,8 @@ def sql_queries():
         # Sentiment
         "lexicon_score": lambda s, d: rounded(
             LX.lexicon_score(FX.texts(s, d), LX.keyword_lexicon(s)).select("id", *LX.SCORES)),
+        "lexicon_score_joined": _lexicon_joined,
+        "lexicon_score_dictionary": lambda s, d: _lexicon_joined(s, d, LX.DICTIONARY_BYTES),
         "classify_compound": _from_analysis("vader_sentiment"),
         "classify_polarity": _from_analysis("textblob_sentiment"),
         "combined_score": _from_analysis("combined_sentiment_score"),

@@ -234,3 +234,14 @@ def test_few_wide_rows_are_not_broadcast(spark):
     assert sorted(both[0].collect()) == sorted(both[1].collect())
     hints = ["ResolvedHint" in j._jdf.queryExecution().analyzed().toString() for j in both]
     assert hints == [True, False]
+
+
+def test_large_lexicons_score_as_literals_do(spark):
+    df = spark.createDataFrame([(1, "love love hate"), (2, None), (3, ""), (4, "nothing known"), (5, "love " * 3000), (5, "hate")], "id long, text string")
+    lex = spark.createDataFrame([("love", 1.0, 1.0), ("love", 2.0, None), ("hate", -1.5, 0.5), (None, 1.0, 1.0), ("x", None, 1.0)],
+                                "term string, valence double, subjectivity double")
+    ways = [dict(), dict(inline_terms=0), dict(inline_terms=0, max_bytes=0)]
+    literal, dictionary, joined = (sorted(LX.lexicon_score(df, lex, **w).select("id", "text", *LX.SCORES).collect(), key=str) for w in ways)
+    for a, b, c in zip(literal, dictionary, joined):
+        assert a[:2] == b[:2] == c[:2] and all(abs(x - y) < 1e-9 and abs(x - z) < 1e-9 for x, y, z in zip(a[2:], b[2:], c[2:]))
+    assert LX.lexicon_score(df, lex.limit(0), inline_terms=-1).count() == 6
