@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from commentlake.llm.components import components
 from commentlake.llm.hashing import hash_words, mix64, runs, seeds, shingle_set, signed, text_buffer
-from commentlake.llm.staging import staged
+from commentlake.llm.staging import fresh, staged
+from commentlake.operators.scale import global_position
 
 BLOCK = 4096  # members of a residual bucket compared with each other at a time
 BINS = 1024  # places of the second sketch, four bits each, which tells near pairs from the threshold before texts are fetched
@@ -278,7 +279,20 @@ def near_duplicates(docs, shingle=3, percent=85, bands=32, rows=5, least_common=
 
 
 def keep_one(docs, **options):
-    """The documents that stay: one of each class of near duplicates; rows that share a doc_id count as one document."""
-    kept = near_duplicates(docs, **options).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """The rows that stay, with all their columns: of each class of near duplicates those of the least doc_id.
+
+    Rows that share a doc_id but not a text are compared each by its own text, so no text goes that resembles nothing; of rows
+    equal in doc_id and text one stays. Rows without a doc_id stay.
+    """
+    h, number = fresh(docs, "_h", "_n")
+    named = docs.where("doc_id is not null").withColumn(h, F.xxhash64("text"))
+    several = named.groupBy("doc_id").agg(F.min(h).alias("low"), F.max(h).alias("high")).where("low <> high")
+    if several.isEmpty():
+        numbered, key = named.drop(h), "doc_id"
+    else:  # ids that count on along (doc_id, text) keep the order of the doc_ids
+        places = global_position(named.select("doc_id", h).distinct(), ["doc_id", h], number)
+        numbered, key = staged(named.dropDuplicates(["doc_id", h]).join(places, ["doc_id", h])), number
+    kept = near_duplicates(numbered.select(F.col(key).alias("doc_id"), "text"), **options).where("kept").select(
+        F.col("doc_id").alias(key)).distinct()
+    stay = numbered.join(kept, key, "left_semi").dropDuplicates([key])
+    return stay.select(*docs.columns).unionByName(docs.where("doc_id is null"))

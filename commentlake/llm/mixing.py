@@ -4,6 +4,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from commentlake.llm.staging import fresh
 from commentlake.session import materialize
 
 SWEEPS = 12
@@ -72,15 +73,16 @@ def mix(docs, targets, size="tokens", rate=1.0, seed="mix-1", sweeps=SWEEPS, id_
     Only one row per cell is kept for raking, and cells go by shuffles, so the number of sources is not limited.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("weight", "probability", "sampled")])
-    dims = {f"_mix_{i}": wanted for i, wanted in enumerate(targets.values())}
-    keyed = docs.withColumns({f"_mix_{i}": _class(c) for i, c in enumerate(targets)})
+    *names, per_token = fresh(docs, *[f"_mix_{i}" for i in range(len(targets))], "_mix_w")
+    dims = dict(zip(names, targets.values()))
+    keyed = docs.withColumns({name: _class(c) for name, c in zip(names, targets)})
     cells = materialize(keyed.groupBy(*dims).agg(F.sum(F.coalesce(F.col(size), F.lit(0))).alias("t")))
-    raked = rake(cells.where("t > 0"), dims, sweeps).select(*dims, (F.col("w") / F.col("t")).alias("_mix_w"))
+    raked = rake(cells.where("t > 0"), dims, sweeps).select(*dims, (F.col("w") / F.col("t")).alias(per_token))
     raked = materialize(raked)
-    largest = F.lit(float(raked.agg(F.max("_mix_w")).first()[0] or 0))
+    largest = F.lit(float(raked.agg(F.max(per_token)).first()[0] or 0))
     text_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     uniform = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), text_id)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    weight = F.coalesce("_mix_w", F.lit(0.0))
+    weight = F.coalesce(per_token, F.lit(0.0))
     chance = F.when(largest > 0, F.least(F.lit(1.0), F.lit(float(rate)) * weight / largest)).otherwise(F.lit(0.0))
     return keyed.join(raked, list(dims), "left").select(
         *docs.columns, weight.alias("weight"), chance.alias("probability"), (uniform < chance).alias("sampled"))

@@ -20,3 +20,14 @@ def staged(df):
     finally:
         spark.conf.set(RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(df, *names):
+    """The names, with underscores put before them until none is a column of df (in any case)."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        out.append(name)
+    return out

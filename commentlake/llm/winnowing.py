@@ -5,6 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from commentlake.llm.hashing import ALNUM, grams, hash_words, runs, signed, text_buffer
+from commentlake.llm.staging import fresh
 from commentlake.session import materialize
 
 SHORT = 1 << 20  # seed offset that keeps the hashes of short items apart
@@ -195,8 +196,9 @@ def leaks(docs, benchmark, gram=5, length=10, filter_bits=24):
 
 
 def clean_documents(docs, benchmark, **options):
-    """The documents without a shared window; rows of one doc_id and text stay or go together."""
+    """The documents without a shared window, with all their columns; rows of one doc_id and text stay or go together."""
+    d, t = fresh(docs, "_d", "_t")
     bad = leaks(docs, benchmark, **options).where("contaminated").select(
-        F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t"))
+        F.col("doc_id").alias(d), F.col("text_key").alias(t)).distinct()
+    on = F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t))
     return docs.join(bad, on, "left_anti")
