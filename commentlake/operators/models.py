@@ -57,6 +57,7 @@ SEED = 42
 # Stopping tolerances of the linear and neural models and of the support vector machine.
 LINEAR_TOL, SVM_TOL = 1e-4, 1e-3
 TRAIN_PARTITIONS = 4
+RFF_ROWS = 256
 
 
 @dataclass
@@ -179,10 +180,13 @@ def random_fourier_features(df, width, gamma, size, seed=SEED, out="rff"):
         b = rng.uniform(0.0, 2.0 * np.pi, size)
         for idx, val in chunks:
             rows = []
-            for i, v in zip(idx, val):
-                v = np.asarray(v, dtype=float)
-                rows.append(np.sqrt(2.0 / size) * np.cos((v @ w if i is None else v @ w[np.asarray(i, dtype=int)]) + b))
-            yield pd.Series(rows)
+            for lo in range(0, len(val), RFF_ROWS):  # one product per block of rows
+                part, at = val.iloc[lo:lo + RFF_ROWS], idx.iloc[lo:lo + RFF_ROWS]
+                x = np.zeros((len(part), width))
+                for r, (i, v) in enumerate(zip(at, part)):
+                    x[r, slice(None) if i is None else np.asarray(i, dtype=int)] = v
+                rows.extend(np.sqrt(2.0 / size) * np.cos(x @ w + b))
+            yield pd.Series(rows, dtype=object)
 
     return df.withColumn(out, array_to_vector(cosines(stored["indices"], stored["values"])))
 

@@ -243,3 +243,17 @@ def test_hot_keys_are_joined_whole(spark):
     import commentlake.operators.scale as SC
     out = SC.join_by_weight(rows, unique, ["k"], "n")
     assert out.count() == 30_000 and out.filter("u <> 2 * k").isEmpty() and out.columns == ["k", "v", "u"]
+
+
+def test_random_features_approximate_the_kernel(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 5)) * (rng.random((300, 5)) < 0.6)
+    rows = spark.createDataFrame([(i, Vectors.dense(r) if i % 2 else Vectors.sparse(5, [(j, v) for j, v in enumerate(r) if v]))
+                                  for i, r in enumerate(x)], ["id", "features"])
+    mapped = ML.random_fourier_features(rows, 5, 0.3, 4000).orderBy("id").select("rff").collect()
+    z = np.array([r[0].toArray() for r in mapped])
+    exact = np.exp(-0.3 * ((x[:, None] - x[None]) ** 2).sum(2))
+    assert z.shape == (300, 4000) and np.abs(z @ z.T - exact).max() < 0.1
+    assert ML.random_fourier_features(rows.limit(0), 5, 0.3, 8).count() == 0
