@@ -1,10 +1,13 @@
 """Near-duplicate lines by a segment-partition edit join, in DataFrame functions only."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from commentlake.llm.components import components
 from commentlake.llm.staging import staged
 
+ROUNDS = 4  # classes of lengths that are indexed one after the other, so the keys of all lines never lie on disk at once
 BUCKET = 16  # members of a bucket that are paired at once, or twice the places to probe; larger buckets are split further
 
 
@@ -121,6 +124,18 @@ def _members(rows):
     return rows.join(keys, "key")
 
 
+def _meeting(index, asks):
+    """Rows (key, ...) of the keys that an index entry and any other row have.
+
+    Most keys are of one row only and go after one exchange: the asking rows are held against the keys of the index, and the
+    index against the keys that were asked for or that it has twice.
+    """
+    keys = index.groupBy("key").agg(F.count("*").alias("c"))
+    asked = staged(asks.join(keys.select("key"), "key", "left_semi"))
+    wanted = keys.where("c > 1").select("key").unionByName(asked.select("key")).distinct()
+    return asked.unionByName(index.join(wanted, "key", "left_semi"))
+
+
 def _pairs(members):
     """Index entries with the other rows of their bucket; only for buckets of bounded size."""
     left = members.where("role = 0").select("key", F.col("id").alias("x"))
@@ -180,8 +195,9 @@ def dedup_lines(docs, threshold=1, min_chars=10, short_copies=False):
 
     Method: a line is cut into threshold + 1 segments, one of which a line within the threshold must contain unchanged, near
     the same place. Distinct lines meet at the hashes of (length, segment number, segment); lines that are up to `threshold`
-    longer probe the places where the segment can lie. Buckets of more than BUCKET lines are split by a segment of what is
-    left of the lines, again and again, so no bucket is paired as a whole; then pairs are verified bit-parallel on a band.
+    longer probe the places where the segment can lie, ROUNDS classes of lengths one after the other. Buckets of more than
+    BUCKET lines are split by a segment of what is left of the lines, again and again, so no bucket is paired as a whole; then
+    pairs are verified bit-parallel on a band.
 
     A null text has no lines; a null doc_id orders first; rows that repeat a doc_id repeat its lines, and copies of the kept
     line under one (doc_id, line_no) are all kept. No rows give no rows. Other columns are not read. min_chars must exceed
@@ -189,32 +205,40 @@ def dedup_lines(docs, threshold=1, min_chars=10, short_copies=False):
     """
     if min_chars < 2 * threshold + 2 or not 0 <= threshold <= 15:
         raise ValueError("min_chars must be at least 2 * threshold + 2, and threshold from 0 to 15")
-    parts = threshold + 1
+    parts, width = threshold + 1, 2 * (threshold + 1)
     docs = docs.select("doc_id", "text")
     rows = _lines(docs, 1 if short_copies else min_chars)
-    probes = _probes(F.col("line"), F.col("n"), lambda delta: F.col("n") - delta, parts, [])
-    known = rows.where("k1 is not null").withColumns({
-        f"s{i}": F.when(F.col("n") - delta >= min_chars, s["key"]) for i, (delta, s) in enumerate(probes)})
-    distinct = staged(known.groupBy("k1", "k2").agg(
+    # Lengths are dealt to the rounds in stretches of `width`, so a line probes in its own round and the one before.
+    compared = F.when(F.col("n") >= min_chars, F.floor(F.col("n") / F.lit(width)) % ROUNDS).otherwise(-1).cast("int")
+    distinct = staged(rows.where("k1 is not null").groupBy("k1", "k2").agg(
         F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("n").alias("n"),
-        *[F.first(f"s{i}").alias(f"s{i}") for i in range(len(probes))]))
+        F.min(F.when(F.col("n") >= min_chars, F.col("line"))).alias("line")).withColumn("round", compared), "round")
 
+    probes = _probes(F.col("line"), F.col("n"), lambda delta: F.col("n") - delta, parts, [])
     roles, shapes = [], []
     for delta, where, shift in _places(threshold):
         start, size = _segment(F.col("n") - delta, where, parts)
-        roles.append(F.lit(0 if delta == 0 and shift == 0 else 1))
-        shapes.append(F.struct(roles[-1].alias("role"), (F.col("n") - delta).cast("int").alias("base"),
+        roles.append(0 if delta == 0 and shift == 0 else 1)
+        shapes.append(F.struct(F.lit(roles[-1]).alias("role"), (F.col("n") - delta).cast("int").alias("base"),
                                (start + shift).cast("int").alias("start"), size.cast("int").alias("size")))
-    # Most keys are of one row only, so what goes to them is short: k2, which a few lines at most need, comes with the texts.
-    keyed = distinct.select("k1", "n", F.posexplode(F.array(*[F.col(f"s{i}") for i in range(len(probes))])).alias("slot", "key")) \
-        .where("key is not null").withColumn("slot", F.col("slot").cast("byte" if len(probes) < 128 else "int"))
-    members = staged(_members(keyed.withColumn("role", F.get(F.array(*roles), F.col("slot").cast("int")))).drop("role"))
+
+    def keyed(role, turn):
+        """Rows (k1, n, slot, key) of one role and one round; texts come later, to the few lines whose keys meet."""
+        slots = [F.when((F.floor((F.col("n") - delta) / F.lit(width)) % ROUNDS == turn) & (F.col("n") - delta >= min_chars),
+                        F.struct(F.lit(i).cast("short").alias("slot"), s["key"].alias("key")))
+                 for i, (delta, s) in enumerate(probes) if roles[i] == role]
+        held = distinct.where(F.col("round").isin([turn] if role == 0 else [turn, (turn + 1) % ROUNDS]))
+        return held.select("k1", "n", F.inline(F.filter(F.array(*slots), lambda s: s["key"].isNotNull())))
+    found = [staged(_meeting(keyed(0, turn), keyed(1, turn))) for turn in range(ROUNDS)]
+    met = reduce(lambda x, y: x.unionByName(y), found)
+    sizes = met.groupBy("key").agg(F.count("*").alias("m"))
+    members = staged(met.join(sizes, "key"))
 
     ids = members.select("k1").distinct()
     place = F.shiftrightunsigned("k1", 44)
     wanted = F.broadcast(ids.select(place.alias("_p")).distinct())  # 2^20 rows at most, whatever the input
-    texts = rows.where("k1 is not null").join(wanted, place == F.col("_p"), "left_semi").groupBy("k1", "k2").agg(
-        F.min("line").alias("line")).join(ids, "k1", "left_semi")
+    texts = distinct.where(F.col("round") >= 0).select("k1", "k2", "line").join(wanted, place == F.col("_p"), "left_semi") \
+        .join(ids, "k1", "left_semi")
     name = F.concat_ws(":", F.hex("k1"), F.hex("k2"))
     texts = staged(texts.withColumn("id", name))
     lines = members.withColumn("p", F.get(F.array(*shapes), F.col("slot").cast("int"))).join(texts, "k1") \

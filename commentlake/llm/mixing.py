@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from commentlake.llm.staging import fresh
 from commentlake.session import materialize
 
-SWEEPS = 12
+TOLERANCE = 1e-9  # relative gap of a margin that counts as met
+SWEEPS = 100  # at most
 
 
 def tokens(text):
@@ -40,49 +41,67 @@ def _target(cells, dim, wanted):
     return materialize(shares.select(dim, F.when(whole > 0, F.col("raw") / whole).otherwise(F.lit(0.0)).alias(f"{dim}_share")))
 
 
-def rake(cells, targets, sweeps=SWEEPS):
-    """Cells with their raked weight `w`: every sweep scales the weights to one margin after the other.
+def rake(cells, targets, sweeps=SWEEPS, tolerance=TOLERANCE):
+    """(cells with their raked weight `w`, gap): every sweep scales the weights to one margin after the other.
 
     `cells` has a column per dimension and the tokens `t`; `targets` maps each dimension to an exponent of its observed shares
-    or to {class: share}. Shares are taken over the classes that occur; a class without a share gets weight 0. The last
-    dimension's margin is met exactly, the others in the limit.
+    or to {class: share}. Shares are taken over the classes that occur; a class without a share gets weight 0.
+
+    Sweeps go on until no margin was off by more than the tolerance, relative to its target, when its turn came. The gap is the
+    most that one was off in the last sweep. Margins that contradict each other cannot be met (two dimensions that always go
+    together, say): once the gap has not shrunk by a thousandth over three sweeps, or after `sweeps`, raking ends with
+    a gap above the tolerance, and the last dimension's margin is met exactly.
     """
-    cells = cells.withColumn("w", F.col("t").cast("double"))
-    shares = {dim: _target(cells, dim, wanted) for dim, wanted in targets.items()}
-    cells = materialize(reduce(lambda c, d: c.join(shares[d], d), targets, cells))
     total = F.lit(float(cells.agg(F.sum("t")).first()[0] or 0))
-    for _ in range(sweeps):
+    shares = {dim: _target(cells, dim, wanted) for dim, wanted in targets.items()}
+    held = reduce(lambda c, d: c.join(shares[d], d), targets, cells.withColumn("w", F.col("t").cast("double")))
+    cells = materialize(held)
+    gap, stalled = 0.0, 0
+    for sweep in range(sweeps):
+        cells = cells.withColumn("_off", F.lit(0.0))
         for dim in targets:
             margin = cells.groupBy(dim).agg(F.sum("w").alias("_m"))
-            scale = F.when(F.col("_m") > 0, F.col(f"{dim}_share") * total / F.col("_m")).otherwise(F.lit(0.0))
-            cells = cells.join(margin, dim).withColumn("w", F.col("w") * scale).drop("_m")
+            goal = F.col(f"{dim}_share") * total
+            scale = F.when(F.col("_m") > 0, goal / F.col("_m")).otherwise(F.lit(0.0))
+            off = F.when(goal > 0, F.abs(F.col("_m") / goal - 1)).otherwise(F.lit(0.0))
+            cells = cells.join(margin, dim).withColumns({"w": F.col("w") * scale, "_off": F.greatest("_off", off)}).drop("_m")
         cells = materialize(cells)
-    return cells.drop(*[f"{d}_share" for d in targets])
+        before, gap = gap, float(cells.agg(F.max("_off")).first()[0] or 0)
+        stalled = stalled + 1 if sweep > 1 and gap > 0.999 * before else 0
+        if gap <= tolerance or stalled == 3:
+            break
+    return cells.drop("_off", *[f"{d}_share" for d in targets]), gap
 
 
-def mix(docs, targets, size="tokens", rate=1.0, seed="mix-1", sweeps=SWEEPS, id_col="doc_id"):
-    """Every row with `weight` (what one of its tokens counts for), `probability` and `sampled`.
+def mix(docs, targets, size="tokens", rate=1.0, seed="mix-1", sweeps=SWEEPS, id_col="doc_id", strict=False):
+    """Every row with `weight` (what one of its tokens counts for), `probability`, `margin_gap` and `sampled`.
 
-    Weights come from raking the cells of the dimensions in `targets`. The probability is rate * weight / largest weight, at
-    most 1: at rate 1 it is the highest for which the expected margins are the targets. A row is sampled when
-    a uniform number from md5(seed:id) lies below its probability, so rows of one id stay or go together.
+    Weights come from raking the cells of the dimensions in `targets`. `margin_gap` says by how much the targets are missed (see
+    `rake`), the same for all rows: at most TOLERANCE unless they cannot be met; with `strict`, missed targets raise. The
+    probability is rate * weight / largest weight, at most 1: at rate 1 it is the highest for which the expected margins are the
+    targets. A row is sampled when a uniform number from md5(seed:id) lies below its probability, so rows of one id stay
+    or go together.
 
     A null class is a class of its own; a null id hashes as an empty one; rows of size 0 or null take the weight of their cell;
-    a cell without tokens has weight 0. No rows give no rows. Columns named weight, probability, sampled are replaced.
+    a cell without tokens has weight 0. No rows give no rows. Columns named weight, probability, margin_gap, sampled are
+    replaced.
 
     Only one row per cell is kept for raking, and cells go by shuffles, so the number of sources is not limited.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("weight", "probability", "sampled")])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("weight", "probability", "margin_gap", "sampled")])
     *names, per_token = fresh(docs, *[f"_mix_{i}" for i in range(len(targets))], "_mix_w")
     dims = dict(zip(names, targets.values()))
     keyed = docs.withColumns({name: _class(c) for name, c in zip(names, targets)})
     cells = materialize(keyed.groupBy(*dims).agg(F.sum(F.coalesce(F.col(size), F.lit(0))).alias("t")))
-    raked = rake(cells.where("t > 0"), dims, sweeps).select(*dims, (F.col("w") / F.col("t")).alias(per_token))
-    raked = materialize(raked)
+    raked, gap = rake(cells.where("t > 0"), dims, sweeps)
+    if strict and gap > TOLERANCE:
+        raise ValueError(f"the target weights cannot be met: a margin is off by a share of {gap:.3g}")
+    raked = materialize(raked.select(*dims, (F.col("w") / F.col("t")).alias(per_token)))
     largest = F.lit(float(raked.agg(F.max(per_token)).first()[0] or 0))
     text_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     uniform = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), text_id)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     weight = F.coalesce(per_token, F.lit(0.0))
     chance = F.when(largest > 0, F.least(F.lit(1.0), F.lit(float(rate)) * weight / largest)).otherwise(F.lit(0.0))
     return keyed.join(raked, list(dims), "left").select(
-        *docs.columns, weight.alias("weight"), chance.alias("probability"), (uniform < chance).alias("sampled"))
+        *docs.columns, weight.alias("weight"), chance.alias("probability"), F.lit(gap).alias("margin_gap"),
+        (uniform < chance).alias("sampled"))

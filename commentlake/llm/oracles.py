@@ -1,6 +1,5 @@
 """SQL twins of the operators that SQL can express."""
 
-from commentlake.llm.mixing import SWEEPS
 from commentlake.llm.queries import MIX_TARGETS
 from commentlake.llm.revisits import KEPT_HEADERS
 
@@ -47,8 +46,8 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, (p * 16 // n)::INT AS shard,
 """
 
 
-def mixture():
-    """Raking as a chain of queries, one per margin."""
+def mixture(sweeps=40):
+    """Raking as a chain of queries, one per margin; more sweeps than the margins take to be met to nine digits change nothing."""
     dims = list(MIX_TARGETS)
     parts = ["""d AS MATERIALIZED (
   SELECT doc_id, source, lang, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS tokens,
@@ -59,14 +58,19 @@ def mixture():
     for dim, power in MIX_TARGETS.items():
         parts.append(f"raw_{dim} AS (SELECT {dim}, pow(sum(t) / (SELECT sum(t) FROM c0), {power}) AS r FROM c0 GROUP BY {dim})")
         parts.append(f"goal_{dim} AS MATERIALIZED (SELECT {dim}, r / (SELECT sum(r) FROM raw_{dim}) AS share FROM raw_{dim})")
-    for i, dim in enumerate(dims * SWEEPS):
+    for i, dim in enumerate(dims * sweeps):
         parts.append(
             f"c{i + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, t, w * share * (SELECT sum(t) FROM c0) "
             f"/ sum(w) OVER (PARTITION BY c.{dim}) AS w FROM c{i} c JOIN goal_{dim} g ON c.{dim} IS NOT DISTINCT FROM g.{dim})")
-    last = f"c{len(dims) * SWEEPS}"
+    last = f"c{len(dims) * sweeps}"
     parts.append(f"x AS (SELECT source, lang, topic, w / t AS weight, w / t / max(w / t) OVER () AS p FROM {last})")
+    for dim in dims:
+        parts.append(f"gap_{dim} AS (SELECT max(abs(m / share / (SELECT sum(t) FROM c0) - 1)) AS gap FROM "
+                     f"(SELECT {dim}, sum(w) AS m FROM {last} GROUP BY {dim}) c JOIN goal_{dim} g ON c.{dim} IS NOT DISTINCT FROM g.{dim})")
+    gap = ", ".join(f"(SELECT gap FROM gap_{dim})" for dim in dims)
     return f"""WITH {", ".join(parts)}
 SELECT doc_id, d.source, d.lang, d.topic, tokens, round(coalesce(weight, 0), 6) AS weight, round(coalesce(p, 0), 6) AS probability,
+       round(coalesce(greatest({gap}), 0), 6) AS margin_gap,
        ('0x' || substr(md5('mix-1:' || doc_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496 < coalesce(p, 0) AS sampled
 FROM d LEFT JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.lang IS NOT DISTINCT FROM x.lang AND d.topic = x.topic
 """
@@ -150,18 +154,29 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM w LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-LINES = """
+def lines(threshold=3, least=8):
+    """Lines that share a segment near the same place, held against each other by edit distance. DuckDB's distance counts bytes, so
+    letters outside ASCII stand as control characters first; there is room for 26 of them."""
+    parts = threshold + 1
+    free = ", ".join(str(c) for c in (*range(1, 9), *range(14, 32)))
+
+    def segment(n, shift=""):
+        return f"substr(line, {n} * i // {parts} + 1{shift}, {n} * (i + 1) // {parts} - {n} * i // {parts}) AS s"
+    return f"""
 WITH RECURSIVE l AS (
   SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
-f AS (SELECT line, length(line) AS n, min((doc_id, line_no)) AS first FROM l WHERE length(line) >= 10 GROUP BY line),
-half AS (
-  SELECT line, n, n AS base, 'p' AS part, substr(line, 1, n // 2) AS s FROM f
-  UNION ALL SELECT line, n, n, 's', substr(line, n // 2 + 1) FROM f
-  UNION ALL SELECT line, n, n - 1, 'p', substr(line, 1, (n - 1) // 2) FROM f
-  UNION ALL SELECT line, n, n - 1, 's', substr(line, n - (n - 1 - (n - 1) // 2) + 1) FROM f),
-links AS (
-  SELECT DISTINCT x.line AS a, y.line AS b FROM half x JOIN half y ON x.base = y.base AND x.part = y.part AND x.s = y.s AND x.line <> y.line
-  WHERE x.base >= 10 AND (x.n = x.base OR y.n = y.base) AND levenshtein(x.line, y.line) <= 1),
+letters AS (SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS given FROM (
+  SELECT DISTINCT unnest(string_split(regexp_replace(line, '[\\x00-\\x7F]', '', 'g'), '')) AS c FROM l) WHERE c <> ''),
+f AS (SELECT line, length(line) AS n, min((doc_id, line_no)) AS first FROM l WHERE line <> '' GROUP BY line),
+long AS (SELECT line, n, translate(line, given, list_aggregate(list_transform([{free}][:length(given)], lambda c: chr(c)), 'string_agg', ''))
+  AS bytes FROM f, letters WHERE n >= {least}),
+held AS (SELECT line, bytes, n, i, {segment("n")} FROM long, range({parts}) r(i)),
+asked AS (SELECT line, bytes, n - d AS n, i, {segment("(n - d)", " + k")}
+  FROM long, range({parts}) r(i), range({parts}) e(d), range(-{threshold}, {parts}) g(k) WHERE n - d >= {least} AND (n - d) * i // {parts} + k >= 0),
+pairs AS (SELECT DISTINCT x.line AS a, y.line AS b, x.bytes AS p, y.bytes AS q FROM held x JOIN asked y ON x.n = y.n AND x.i = y.i AND x.s = y.s
+  WHERE x.line <> y.line),
+half AS (SELECT a, b FROM pairs WHERE levenshtein(p, q) <= {threshold}),
+links AS (SELECT a, b FROM half UNION SELECT b, a FROM half),
 reach AS (SELECT a AS line, b AS other FROM links UNION SELECT r.line, k.b FROM reach r JOIN links k ON k.a = r.other),
 low AS (SELECT r.line, min(f.first) AS m FROM reach r JOIN f ON f.line = r.other GROUP BY r.line),
 c AS (SELECT f.line, least(f.first, coalesce(m, f.first)) AS lead FROM f LEFT JOIN low USING (line))
@@ -232,7 +247,7 @@ def llm_oracles():
         "op5_stratified_shards": SHARDS,
         "op7_revisit_resolution": REVISITS,
         "op9_winnowing_decontamination": LEAKS,
-        "op10_segment_line_dedup": LINES,
+        "op10_segment_line_dedup": lines(),
         "op11_merkle_manifest": merkle(),
         "op13_cuckoo_exact_dedup": EXACT,
     }

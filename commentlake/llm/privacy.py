@@ -77,12 +77,12 @@ def base_spans(text):
 
 
 LABELS = len(KINDS) + 1  # 0 is "no personal data"
-N_FEATURES = 20
+N_FEATURES = 24
 EDGE = "()[]{}<>\"'.,;:!?|*%$#&="
 
 
 def _features(token, before, after):
-    """What a token looks like, without asking whether a pattern matched there."""
+    """What a token looks like, without asking whether a pattern matched there; the last four are those of its run."""
     core = token.strip(EDGE)
     d = _digits(core)
     n, parts = len(d), core.split(".")
@@ -112,6 +112,13 @@ def _features(token, before, after):
     return f
 
 
+def _run_features(words):
+    """What a run of digit tokens looks like as one number."""
+    d = "".join(map(_digits, words))
+    long = 13 <= len(d) <= 19
+    return [long and luhn(d), long and not luhn(d), words[0].startswith("+"), 9 <= len(d) <= 15]
+
+
 def _similar_key(token):
     """Tokens with one key share a potential: a number by its last seven digits, anything else by its text without case."""
     core = token.strip(EDGE)
@@ -131,14 +138,17 @@ class Graph:
 
     Tokens without a digit or an @ outside base spans are clamped to label 0, which cuts the chain there. A skip edge joins
     a token to the next one of the same key, however far away, and every token has its own key and the last one of a run of digit
-    tokens that of the run too, so edges grow with the tokens only.
+    tokens that of the run too, so edges grow with the tokens only. `runs` lists the runs of digit tokens, of two or more.
+    `strong` are the skip edges between numbers, whose key is seven digits. `settled` is False where `marginals` had to leave
+    out skip edges.
     """
 
-    __slots__ = ("spans", "features", "fixed", "chain", "skip")
+    __slots__ = ("spans", "features", "fixed", "chain", "skip", "runs", "strong", "settled")
 
     def __init__(self, text, base):
-        self.spans, features, self.fixed, self.chain, self.skip = [], [], [], [], []
+        self.spans, features, self.fixed, self.chain, self.skip, self.runs, self.settled = [], [], [], [], [], [], True
         marks, k = sorted((a, b, kind + 1) for kind, a, b in base), 0
+        self.strong = set()
         last_of, previous, was_active, run = {}, "", False, []
         tokens = _TOKEN.finditer(text)
         current = next(tokens, None)
@@ -158,18 +168,22 @@ class Graph:
                     self.chain.append((node - 1, node))
                 self._repeat(last_of, _similar_key(word), node)
             if not (active and _DIGITS_ONLY.fullmatch(word)):
-                self._close(last_of, run)
+                self._close(last_of, run, features)
                 run = []
             else:
                 run.append(node)
             was_active, previous, current = active, word, following
-        self._close(last_of, run)
+        self._close(last_of, run, features)
         self.skip = list(dict.fromkeys(self.skip))
         self.features = np.array(features).reshape(-1, N_FEATURES)
 
-    def _close(self, last_of, run):
+    def _close(self, last_of, run, features):
         if len(run) > 1:
-            self._repeat(last_of, _run_key([self.spans[i][2] for i in run]), run[-1])
+            words = [self.spans[i][2] for i in run]
+            for i in run:
+                features[i][-4:] = _run_features(words)
+            self.runs.append(run)
+            self._repeat(last_of, _run_key(words), run[-1])
 
     def _repeat(self, last_of, key, node):
         """Joins a token to the last one that had its key before."""
@@ -177,22 +191,43 @@ class Graph:
             return
         last = last_of.get(key)
         if last is not None and last != node:
-            self.skip.append((min(last, node), max(last, node)))
+            edge = min(last, node), max(last, node)
+            self.skip.append(edge)
+            if len(key) == 7 and key.isdigit():
+                self.strong.add(edge)
         last_of[key] = node
 
 
 SKIP_PRIOR = 2.0
 
 
-def train(texts, steps=400, rate=0.1, penalty=1e-3, skip_penalty=1e-2):
+def _silver(g):
+    """(labels, known) to learn from: base matches and what repeats a number of theirs. Tokens that repeat a shorter part of one
+    are not known, as nothing says whether they are personal data."""
+    fixed = np.array(g.fixed, np.int64)
+    y, near = np.maximum(fixed, 0), fixed > 0
+    for edges in (sorted(g.strong, key=max), sorted(g.strong, reverse=True)):
+        for u, v in edges:
+            y[u], y[v] = y[u] or y[v], y[v] or y[u]
+    for run in g.runs:
+        if (fixed[run] < 0).all():
+            y[run] = y[run[-1]]
+    near |= y > 0
+    for edges in (sorted(g.skip, key=max), sorted(g.skip, reverse=True)):
+        for u, v in edges:
+            near[u] = near[v] = near[u] or near[v]
+    return y, (y > 0) | ~near
+
+
+def train(texts, steps=400, rate=0.1, penalty=1e-3, skip_penalty=1e-4):
     """(unary weights, chain potentials, skip potentials), by pseudo-likelihood: each token's label given its features and
-    the labels of its neighbours, silver labels being the base matches. The skip potentials are drawn to SKIP_PRIOR on the
+    the labels of its neighbours, silver labels being the base matches and their repeats. The skip potentials are drawn to SKIP_PRIOR on the
     diagonal, which stands where too few texts repeat a token to learn them."""
     rows, labels = [], []
     for text in texts:
         base = base_spans(text)
         g = Graph(text, base)
-        y = np.maximum(np.array(g.fixed, np.int64), 0)
+        y, known = _silver(g)
         x = np.zeros((len(y), N_FEATURES + 3 * LABELS))
         x[:, :N_FEATURES] = g.features
         before, after = np.zeros(len(y), np.int64), np.zeros(len(y), np.int64)
@@ -203,8 +238,8 @@ def train(texts, steps=400, rate=0.1, penalty=1e-3, skip_penalty=1e-2):
         for u, v in g.skip:
             x[u, N_FEATURES + 2 * LABELS + y[v]] += 1
             x[v, N_FEATURES + 2 * LABELS + y[u]] += 1
-        rows.append(x)
-        labels.append(y)
+        rows.append(x[known])
+        labels.append(y[known])
     width = N_FEATURES + 3 * LABELS
     prior = np.zeros((width, LABELS))
     prior[N_FEATURES + 2 * LABELS:] = SKIP_PRIOR * np.eye(LABELS)
@@ -228,15 +263,39 @@ def train(texts, steps=400, rate=0.1, penalty=1e-3, skip_penalty=1e-2):
     return w[:N_FEATURES], chain, (skip + skip.T) / 2
 
 
-def marginals(graphs, model, damping=0.3, tolerance=1e-5):
+def _forest(graph):
+    """The graph's skip edges that close no circle with the chain and the ones before them."""
+    root = list(range(len(graph.spans)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+    kept = []
+    for u, v in graph.chain:
+        root[find(v)] = find(u)
+    for u, v in graph.skip:
+        a, b = find(u), find(v)
+        if a != b:
+            root[b] = a
+            kept.append((u, v))
+    return kept
+
+
+def marginals(graphs, model, damping=0.3, tolerance=1e-5, patience=1280):
     """Label probabilities of all tokens of the graphs, by loopy sum-product; base tokens keep their label.
 
     A clamped neighbour has label 0, so the end of a run of active tokens gets the chain potential with label 0. Messages are
     passed until none of a graph changes by more than the tolerance, each graph for itself, so evidence reaches repeats
     at any distance and no graph depends on its batch. A graph that keeps swinging after as many rounds as it has tokens is
-    damped more and more, and ends after 1,280 rounds more.
+    damped more and more. If it has not settled after `patience` rounds more, skip edges that close a circle are left out and
+    its messages start anew, now without damping: they settle in as many rounds as the longest path has edges, on the exact
+    probabilities of what is left; its `settled` is False.
     """
     unary, chain, skip = model
+    for g in graphs:
+        g.settled = True
     sizes = [len(g.spans) for g in graphs]
     begin = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
     n = int(begin[-1])
@@ -265,6 +324,8 @@ def marginals(graphs, model, damping=0.3, tolerance=1e-5):
     message = np.zeros((m, LABELS))
     owner = np.searchsorted(begin, source, "right") - 1
     length, live = np.array(sizes), np.arange(m)
+    restless = np.zeros(len(sizes), bool)  # graphs whose circles were cut
+    edge_of = np.concatenate((np.full(2 * len(c), -1), np.tile(np.arange(len(s)), 2)))
 
     def belief():
         total = score.copy()
@@ -279,8 +340,8 @@ def marginals(graphs, model, damping=0.3, tolerance=1e-5):
         place = np.zeros(m, np.int64)
         place[live] = np.arange(len(live))
         opposite, held, own, local = place[back[live]], message[live], owner[live], score[nodes]
-        tables_of, settled = tables[kind[live]], np.zeros(len(sizes), bool)
-        while not settled.any():
+        tables_of, settled, given_up = tables[kind[live]], np.zeros(len(sizes), bool), np.zeros(len(sizes), bool)
+        while not (settled.any() or given_up.any()):
             total = local.copy()
             for k in range(LABELS):
                 total[:, k] += np.bincount(ends, held[:, k], len(nodes))
@@ -290,13 +351,25 @@ def marginals(graphs, model, damping=0.3, tolerance=1e-5):
             new -= new.max(1, keepdims=True)
             change = np.zeros(len(sizes))
             np.maximum.at(change, own, np.abs(new - held).max(1))
-            late = np.maximum(0, t - 64 - length)
-            keep = 1 - (1 - damping) * 0.5 ** (late // 64)
+            late = np.where(restless, 0, np.maximum(0, t - 64 - length))
+            keep = np.where(restless, 0.0, 1 - (1 - damping) * 0.5 ** (late // 64))
             held = held + (1 - keep[own])[:, None] * (new - held)
             t += 1
-            settled[own] = (change[own] <= tolerance) | (late[own] >= 1280)
+            settled[own] = change[own] <= tolerance
+            given_up[own] = ~settled[own] & (late[own] >= patience)
         message[live] = held
-        live = live[~settled[own]]
+        if given_up.any():
+            restless |= given_up
+            trees = np.zeros(len(s), bool)
+            for i in np.flatnonzero(given_up):
+                graphs[i].settled = False
+                kept = set(_forest(graphs[i]))
+                places = np.flatnonzero(owner[2 * len(c):2 * len(c) + len(s)] == i)
+                trees[places] = [(u - begin[i], v - begin[i]) in kept for u, v in s[places]]
+            cut = given_up[owner] & (edge_of >= 0) & ~np.append(trees, True)[edge_of]
+            message[given_up[owner]] = 0
+            live = live[~cut[live]]
+        live = live[~settled[owner[live]]]
     z = belief()
     p = np.exp(z - z.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True), begin
@@ -304,9 +377,23 @@ def marginals(graphs, model, damping=0.3, tolerance=1e-5):
 
 def added_spans(graph, p, base, least=0.9):
     """(kind number, start, end) of runs of neighbouring tokens that the field labels alike, without the marks around them and
-    apart from every base span."""
-    label = p.argmax(1) if len(p) else np.zeros(0, int)
-    sure = (label > 0) & (p.max(1) >= least) & (np.array(graph.fixed) < 0) if len(p) else np.zeros(0, bool)
+    apart from every base span.
+
+    Digit tokens in a row are one number in parts: those between base tokens are labelled as a whole, by the label that is
+    likeliest for all of them, and count only if each of them is sure of it.
+    """
+    if not len(p):
+        return []
+    fixed = np.array(graph.fixed) >= 0
+    label, sure = p.argmax(1), p.max(1) >= least
+    for run in graph.runs:
+        inside = np.array(run)
+        cuts = np.flatnonzero(np.diff(fixed[inside])) + 1
+        for piece in np.split(inside, cuts):
+            if not fixed[piece[0]]:
+                label[piece] = np.log(np.maximum(p[piece], 1e-300)).sum(0).argmax()
+                sure[piece] = (p[piece, label[piece]] >= least).all()
+    sure &= (label > 0) & ~fixed
     joined = set(graph.chain)
     out, at = [], 0
     while at < len(label):
@@ -336,7 +423,8 @@ def _span_lists(rows):
 
 
 def find_private(docs, model, least=0.9):
-    """(doc_id, base, added): the pattern matches of every whole text, and the spans that the field adds.
+    """(doc_id, base, added, settled): the pattern matches of every whole text, the spans that the field adds, and whether the
+    field settled with all its edges (see `marginals`).
 
     Spans are structs of kind (place in KINDS), start and end in code points, sorted by kind and start. Base spans always
     stay, and added ones never overlap them. Null and empty texts have none; rows are handled one by one, null and repeated ids
@@ -349,7 +437,7 @@ def find_private(docs, model, least=0.9):
             data, offsets = text_buffer(batch.column(1))
             marks = np.concatenate(([0], np.cumsum(_DIGIT[data])))
             hot = np.flatnonzero(marks[offsets[1:]] > marks[offsets[:-1]])
-            base, added = [()] * batch.num_rows, [()] * batch.num_rows
+            base, added, settled = [()] * batch.num_rows, [()] * batch.num_rows, [True] * batch.num_rows
             graphs = []
             for r in hot:
                 text = data[offsets[r]:offsets[r + 1]].tobytes().decode("utf-8", "replace")
@@ -357,17 +445,29 @@ def find_private(docs, model, least=0.9):
                 graphs.append(Graph(text, base[r]))
             p, begin = marginals(graphs, shared.value)
             for r, g, lo, hi in zip(hot, graphs, begin[:-1], begin[1:]):
-                added[r] = sorted(added_spans(g, p[lo:hi], base[r], least))
-            yield pa.RecordBatch.from_arrays([batch.column(0), _span_lists(base), _span_lists(added)], ["doc_id", "base", "added"])
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, base {SPANS}, added {SPANS}")
+                added[r], settled[r] = sorted(added_spans(g, p[lo:hi], base[r], least)), g.settled
+            yield pa.RecordBatch.from_arrays([batch.column(0), _span_lists(base), _span_lists(added), pa.array(settled, pa.bool_())],
+                                             ["doc_id", "base", "added", "settled"])
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, base {SPANS}, added {SPANS}, settled boolean")
+
+
+def _train_batches(batches):
+    """Arrow batches (id, text) of the whole sample to one row with the potentials."""
+    texts = [t for batch in batches for t in batch.column(1).to_pylist()]
+    if texts:
+        parts = [pa.array([x.tobytes()], pa.binary()) for x in train(texts)]
+        yield pa.RecordBatch.from_arrays(parts, ["unary", "chain", "skip"])
 
 
 def fit(docs, max_rows=2000, max_bytes=1 << 16, seed=31):
-    """The field's potentials, learned on the driver from at most `max_rows` texts of at most `max_bytes` bytes that hold
-    a digit or an @, chosen by a hash of id and text."""
+    """The field's potentials, learned in one task from at most `max_rows` texts of at most `max_bytes` bytes that hold a digit or
+    an @, chosen by a hash of id and text. Spark runs the task again if its executor is lost; the driver gets the potentials only.
+    """
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes).where(F.col("text").rlike("[0-9@]"))
     sample = bounded_sample(texts, max_rows, F.xxhash64("doc_id", "text", F.lit(seed)))
-    return train([r["text"] for r in sample.select("text").collect()])
+    row = sample.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(
+        _train_batches, "unary binary, chain binary, skip binary").first()
+    return train([]) if row is None else tuple(np.frombuffer(x, np.float64).reshape(-1, LABELS) for x in row)
 
 
 def span_text(spans):

@@ -20,7 +20,7 @@ def op1_pii_skip_chain_crf(spark, sf_dir):
               for k, name in enumerate(privacy.KINDS)]
     return found.select(
         "doc_id", *counts, F.sha2(privacy.span_text(F.col("base")), 256).alias("base_sha256"),
-        privacy.span_text(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"))
+        privacy.span_text(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"), "settled")
 
 
 def op2_minmax_near_dedup(spark, sf_dir):
@@ -30,7 +30,7 @@ def op2_minmax_near_dedup(spark, sf_dir):
 def op3_raked_mixture(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "source", "lang", mixing.topic_by_marks(F.col("text")).alias("topic"), mixing.tokens(F.col("text")).alias("tokens"))
-    return mixing.mix(docs, MIX_TARGETS).withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
+    return mixing.mix(docs, MIX_TARGETS).withColumns({c: F.round(c, 6) for c in ("weight", "probability", "margin_gap")})
 
 
 def op4_bottomk_fingerprint(spark, sf_dir):
@@ -75,12 +75,7 @@ def op9_winnowing_decontamination(spark, sf_dir):
 
 
 def op10_segment_line_dedup(spark, sf_dir):
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
-
-
-def op10_segment_line_dedup_near(spark, sf_dir):
-    """As op10_segment_line_dedup, whose SQL twin fixes threshold 1 and ten characters, for lines with up to three edits; lines
-    too short for that are compared as a whole."""
+    """Lines of eight characters or more with up to three edits are linked; shorter ones are compared as a whole."""
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), threshold=3, min_chars=8, short_copies=True)
 
 
@@ -110,7 +105,7 @@ def pipeline(spark, sf_dir):
 OPERATORS = (
     op1_pii_skip_chain_crf, op2_minmax_near_dedup, op3_raked_mixture, op4_bottomk_fingerprint, op5_stratified_shards,
     op6_subword_toxicity, op7_revisit_resolution, op8_pairwise_quality, op9_winnowing_decontamination, op10_segment_line_dedup,
-    op10_segment_line_dedup_near, op11_merkle_manifest, op12_cholesky_whitening, op13_cuckoo_exact_dedup)
+    op11_merkle_manifest, op12_cholesky_whitening, op13_cuckoo_exact_dedup)
 
 
 def llm_queries():

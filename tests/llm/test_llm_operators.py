@@ -139,6 +139,57 @@ def test_repeats_in_any_form_are_joined():
     assert ("555-6503", "499555-6503") in skips("call (499) 555-6503 or 499555-6503 now")
 
 
+def planted_texts(rng, n):
+    """Texts with numbers that patterns match, the same numbers in forms that none matches (wanted), and numbers that are neither."""
+    out = []
+    for _ in range(n):
+        area, line = rng.randint(200, 999), rng.randint(1000, 9999)
+        digits = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        card = next(digits + c for c in "0123456789" if privacy.luhn(digits + c))
+        fours = [card[i:i + 4] for i in range(0, 16, 4)]
+        wrong = [*fours[:3], f"{int(fours[3]) // 10:03}{(int(fours[3][3]) + 1) % 10}"]
+        parts = [(None, f"+1 (499) {area}-{line}"), (3, rng.choice([f"499{area}-{line}", f"499.{area}.{line}", f"499{area}{line}"])),
+                 (None, " ".join(fours)), (2, "/".join(fours)), (None, rng.choice([" ".join(wrong), "-".join(wrong)])),
+                 (None, f"300.{rng.randint(0, 255)}.1.{rng.randint(256, 999)}"), (None, str(rng.randint(10 ** 7, 10 ** 10))),
+                 (None, str(rng.randint(1900, 2030))), (None, f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}")]
+        text, want = "", set()
+        for kind, part in parts:
+            text += " ".join(rng.choice("or when the order of that part then came later".split()) for _ in range(rng.randint(1, 4))) + " "
+            if kind is not None:
+                want.add((kind, len(text), len(text) + len(part)))
+            text += part + " "
+        out.append((text, want))
+    return out
+
+
+def test_added_spans_have_precision_and_recall():
+    rng = random.Random(3)
+    model = privacy.train([text for text, _ in planted_texts(rng, 300)])
+    right = added = wanted = 0
+    for text, want in planted_texts(rng, 200):
+        g = privacy.Graph(text, base := privacy.base_spans(text))
+        got = set(privacy.added_spans(g, privacy.marginals([g], model)[0], base))
+        right, added, wanted = right + len(got & want), added + len(got), wanted + len(want)
+    assert right / added > 0.95 and right / wanted > 0.6, (right, added, wanted)
+    broken = "or 4111 1111 1111 1112 or"
+    g = privacy.Graph(broken, [])
+    assert privacy.added_spans(g, privacy.marginals([g], model)[0], []) == []
+
+
+def test_graphs_that_swing_settle_without_their_circles():
+    rng = np.random.default_rng(0)
+    text = " and ".join(["12 34 12 34 12 56 34", "34 78 56", "78 12 90 12"] * 3)
+    g, calm = privacy.Graph(text, []), privacy.Graph("12 34", [])
+    skip = rng.normal(size=(5, 5)) - 5 * np.eye(5)
+    model = rng.normal(size=(privacy.N_FEATURES, 5)), 6 * rng.normal(size=(5, 5)), skip + skip.T
+    got, begin = privacy.marginals([calm, g], model, patience=64)
+    assert calm.settled and not g.settled
+    tree = privacy.Graph(text, [])
+    tree.skip = privacy._forest(tree)
+    assert 0 < len(tree.skip) < len(g.skip)
+    assert np.abs(got[begin[1]:] - plain_marginals(tree, model)).max() < 1e-3
+
+
 def words_of(text):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w]
 
@@ -201,6 +252,22 @@ def test_mixture_meets_its_margins(spark):
     assert abs(kept["n"].sum() / expected.sum() - 1) < 0.1
 
 
+def test_raking_goes_on_until_the_margins_are_met(spark):
+    slow = spark.createDataFrame([("+a", "+x", 1000), ("+a", "+y", 1), ("+b", "+x", 2), ("+b", "+y", 900)], "s string, l string, t long")
+    goals = {"s": {"a": 0.3, "b": 0.7}, "l": {"x": 0.4, "y": 0.6}}
+    cells, gap = mixing.rake(slow, goals)
+    w = {(r.s, r.l): r.w for r in cells.collect()}
+    total = sum(w.values())
+    assert gap <= mixing.TOLERANCE and abs((w["+a", "+x"] + w["+a", "+y"]) / total - 0.3) < 1e-9
+    assert abs((w["+a", "+x"] + w["+b", "+x"]) / total - 0.4) < 1e-9 and mixing.rake(slow, goals, sweeps=2)[1] > 1e-4
+    apart = spark.createDataFrame([(1, "a", "x", 10), (2, "b", "y", 10)], "doc_id long, s string, l string, n long")
+    against = {"s": {"a": 0.3, "b": 0.7}, "l": {"x": 0.6, "y": 0.4}}
+    rows = mixing.mix(apart, against, size="n").collect()
+    assert len(rows) == 2 and all(r.margin_gap > 0.1 for r in rows)
+    with pytest.raises(ValueError, match="cannot be met"):
+        mixing.mix(apart, against, size="n", strict=True)
+
+
 def test_edit_distance(spark):
     rng = random.Random(5)
     rows = []
@@ -273,12 +340,12 @@ def test_lines_with_three_edits_are_linked(spark, tmp_path):
                 near[at:at + 1] = rng.choice([[], ["x"], [near[at], "y"]])
             lines.append("".join(near))
     lines += [f"line number {i:04} of a table" for i in range(0, 2000, 13)] + [f"line number {i} of a table" for i in range(70)]
-    assert line_query(spark, tmp_path, "op10_segment_line_dedup_near", lines) == nearest_classes(lines, 3, 8)
+    assert line_query(spark, tmp_path, "op10_segment_line_dedup", lines) == nearest_classes(lines, 3, 8)
 
 
 def test_short_lines_have_classes_of_copies(spark, tmp_path):
     lines = ["ab", "ac", "ab", "", "", "x", "x", "seven 7", "seven 8", "seven 7", "eight 88", "eight 89", "字字", "字字", " "]
-    got = line_query(spark, tmp_path, "op10_segment_line_dedup_near", lines)
+    got = line_query(spark, tmp_path, "op10_segment_line_dedup", lines)
     assert [got[i] for i in range(len(lines))] == [0, 1, 0, None, None, 5, 5, 7, 8, 7, 10, 10, 12, 12, 14]
 
 
