@@ -214,21 +214,26 @@ def dedup_lines(docs, threshold=1, min_chars=10, short_copies=False):
         F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("n").alias("n"),
         F.min(F.when(F.col("n") >= min_chars, F.col("line"))).alias("line")).withColumn("round", compared), "round")
 
-    probes = _probes(F.col("line"), F.col("n"), lambda delta: F.col("n") - delta, parts, [])
-    roles, shapes = [], []
-    for delta, where, shift in _places(threshold):
-        start, size = _segment(F.col("n") - delta, where, parts)
-        roles.append(0 if delta == 0 and shift == 0 else 1)
-        shapes.append(F.struct(F.lit(roles[-1]).alias("role"), (F.col("n") - delta).cast("int").alias("base"),
+    places = [(0 if delta == 0 and shift == 0 else 1, slot, delta, i, shift)
+              for slot, (delta, i, shift) in enumerate(_places(threshold))]
+    shapes = []
+    for role, _, delta, i, shift in places:
+        start, size = _segment(F.col("n") - delta, i, parts)
+        shapes.append(F.struct(F.lit(role).alias("role"), (F.col("n") - delta).cast("int").alias("base"),
                                (start + shift).cast("int").alias("start"), size.cast("int").alias("size")))
 
     def keyed(role, turn):
         """Rows (k1, n, slot, key) of one role and one round; texts come later, to the few lines whose keys meet."""
-        slots = [F.when((F.floor((F.col("n") - delta) / F.lit(width)) % ROUNDS == turn) & (F.col("n") - delta >= min_chars),
-                        F.struct(F.lit(i).cast("short").alias("slot"), s["key"].alias("key")))
-                 for i, (delta, s) in enumerate(probes) if roles[i] == role]
+        wanted = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(p[1:], ("slot", "delta", "i", "shift"))])
+                           for p in places if p[0] == role])
         held = distinct.where(F.col("round").isin([turn] if role == 0 else [turn, (turn + 1) % ROUNDS]))
-        return held.select("k1", "n", F.inline(F.filter(F.array(*slots), lambda s: s["key"].isNotNull())))
+        rows = held.select("k1", "n", "line", F.inline(wanted)).withColumn("base", F.col("n") - F.col("delta"))
+        start, size = _segment(F.col("base"), F.col("i"), parts)
+        start = start + F.col("shift")
+        rows = rows.where((F.floor(F.col("base") / F.lit(width)) % ROUNDS == turn) & (F.col("base") >= min_chars)
+                          & (start >= 0) & (start + size <= F.col("n")))
+        return rows.select("k1", "n", F.col("slot").cast("short").alias("slot"),
+                           F.xxhash64("i", "base", F.substring("line", start + 1, size)).alias("key"))
     found = [staged(_meeting(keyed(0, turn), keyed(1, turn))) for turn in range(ROUNDS)]
     met = reduce(lambda x, y: x.unionByName(y), found)
     sizes = met.groupBy("key").agg(F.count("*").alias("m"))
