@@ -255,10 +255,6 @@ ELSE '' END, ''), nullif(manual_sentiment, ''))) AS tag FROM ({JOINED})) WHERE {
     # Sinks that keep rows
     o["export_tagged"] = f"""SELECT id, text, username, reply_length, coalesce(manual_sentiment, '') AS manual_sentiment,
 CASE WHEN manual_sentiment IS NULL THEN 'no' ELSE 'yes' END AS is_tagged FROM ({JOINED})"""
-    o["extend_analysis"] = f"""SELECT d.id, d.username, a.ml_sentiment AS roberta_social_sentiment,
-{r('a.ml_confidence')} AS roberta_social_confidence, 'neural_pretrained' AS roberta_social_model_type,
-b.ml_sentiment AS gradient_boosting_sentiment, {r('b.ml_confidence')} AS gradient_boosting_confidence,
-'traditional' AS gradient_boosting_model_type FROM ({DOCS}) d JOIN ({PRED_A}) a USING (id) JOIN ({PRED_B}) b USING (id)"""
     o["write_table"] = f"SELECT id, text, username, timestamp, reply_length FROM ({COMMENTS})"
     o["write_per_model"] = f"""SELECT id, model_type, ml_sentiment, {r('ml_confidence', 9)} AS ml_confidence, manual_sentiment,
 text_length, {r('p_positive', 9)} AS ml_prob_positive, {r('p_negative', 9)} AS ml_prob_negative,
@@ -547,28 +543,41 @@ v AS (SELECT id, label, round(sum(w), 9) AS votes FROM w GROUP BY 1, 2)
 SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY votes DESC, label) AS rn FROM v) WHERE rn = 1"""
 
     # Reports
-    stats_sql = f"""SELECT model_name, count(*) AS total_predictions, count_if(text_length > 0) AS samples_with_text,
-count(manual_sentiment) AS samples_with_manual_tags, {r('avg(text_length)')} AS average_text_length,
-count_if(ml_sentiment IS NULL) AS missing_predictions, count_if(ml_sentiment = 'negative') AS negative,
-{r("count_if(ml_sentiment = 'negative') * 100.0 / count(*)")} AS negative_percent, {r('avg(ml_confidence)')} AS confidence_mean,
-{r('stddev_samp(ml_confidence)')} AS confidence_std, count_if(ml_confidence > 0.8) AS high_confidence FROM ({PREDS}) GROUP BY 1"""
-    figures = summary(EVALUABLE, f"""SELECT summ.model_name, {r('accuracy')} AS accuracy, {r('f1_weighted')} AS f1_weighted,
-{r('f1_macro')} AS f1_macro, {r('cls.f1')} AS positive_f1 FROM summ JOIN cls ON cls.model_name = summ.model_name
-AND cls.label = 'positive'""")
-    o["model_summary"] = f"""WITH st AS ({stats_sql}), sm AS ({figures}),
-ce AS (SELECT model_name, CAST(count(DISTINCT manual_sentiment || '/' || ml_sentiment) AS INTEGER) AS cells FROM ({EVALUABLE}) GROUP BY 1),
-cv AS ({o['cv_summary']})
-SELECT st.*, accuracy, f1_weighted, f1_macro, positive_f1, cells, cv_mean FROM st JOIN sm USING (model_name)
-JOIN ce USING (model_name) JOIN cv USING (model_name)"""
-    o["master_report"] = f"""WITH m AS ({rec}) SELECT count(*) AS total_models_evaluated,
-max(CASE WHEN trad THEN model_name END) AS traditional, {r('max(CASE WHEN trad THEN f1_weighted END)')} AS traditional_f1,
-max(CASE WHEN NOT trad THEN model_name END) AS neural,
-string_agg(model_name, ',' ORDER BY f1_weighted DESC, {MODEL_ORDER}) AS by_f1_weighted,
-string_agg(model_name, ',' ORDER BY accuracy DESC, {MODEL_ORDER}) AS by_accuracy,
-max(CASE WHEN rank = 1 THEN 'Best overall model: ' || model_name || {score} END) AS first_recommendation FROM m"""
+    per_label = "".join(f", max(CASE WHEN label = '{c}' THEN {v} END) AS {c}{name}" for c in ("negative", "neutral", "positive")
+                        for v, name in (("n", ""), ("percent", "_percent")))
+    per_class = "".join(f", max(CASE WHEN label = '{c}' THEN {m} END) AS {c}_{m}" for c in ("negative", "neutral", "positive")
+                        for m in ("precision", "recall", "f1", "support"))
+    report = f"""SELECT q.model_name, q.total_samples AS total_predictions, q.* EXCLUDE (model_name), d.* EXCLUDE (model_name),
+c.* EXCLUDE (model_name), s.mean AS confidence_mean, s.std AS confidence_std, s.min AS confidence_min, s.max AS confidence_max,
+s.high_confidence, s.high_confidence_percent, m.* EXCLUDE (model_name), x.confusion_matrix
+FROM ({o['data_quality_summary']}) q JOIN (SELECT model_name{per_label} FROM ({o['prediction_distribution']}) GROUP BY 1) d USING (model_name)
+JOIN (SELECT model_name{per_class} FROM ({o['class_metrics']}) GROUP BY 1) c USING (model_name)
+JOIN ({o['confidence_stats']}) s USING (model_name) JOIN ({o['summary_metrics']}) m USING (model_name)
+JOIN (SELECT model_name, string_agg(truth || ':' || pred || ':' || n, ',' ORDER BY truth, pred) AS confusion_matrix
+FROM ({o['confusion_matrix']}) WHERE n > 0 GROUP BY 1) x USING (model_name)"""
+    o["model_summary"] = f"SELECT * FROM ({report}) JOIN ({o['cv_summary']}) USING (model_name)"
+    o["write_reports"] = report
+    figures = ("support", "accuracy", "precision_macro", "precision_weighted", "recall_macro", "recall_weighted", "f1_macro", "f1_weighted")
+    family = "".join(f", string_agg(CASE WHEN {cond} THEN model_name END, ',') AS {name}"
+                     + "".join(f", sum(CASE WHEN {cond} THEN {f} ELSE 0 END)::DOUBLE AS {name}_{f}" for f in figures)
+                     for name, cond in (("traditional", "model_name = 'gradient_boosting'"), ("neural", "model_name <> 'gradient_boosting'")))
+    ranked = "".join(f", (SELECT string_agg(model_name, ',' ORDER BY rank) FROM ({o['rank_models']}) WHERE metric = '{m}') AS by_{m}"
+                     for m in ("f1_weighted", "accuracy", "f1_macro"))
+    o["master_report"] = f"""SELECT count(*) AS total_models_evaluated{family}{ranked},
+(SELECT string_agg(recommendation, '|' ORDER BY list_position(['best_overall', 'best_traditional', 'best_neural', 'excellent', 'good'], kind))
+FROM ({o['recommendations']})) AS recommendations FROM ({o['summary_metrics']})"""
+    o["write_master_report"] = o["master_report"]
+    wide = ", ".join(f"{t}.ml_sentiment AS {m}_sentiment, {r(f'{t}.ml_confidence')} AS {m}_confidence, {t}.model_type AS {m}_model_type, "
+                     f"{t}.model_name AS {m}_algorithm, {r(f'{t}.p_positive')} AS {m}_prob_positive, {r(f'{t}.p_negative')} AS {m}_prob_negative, "
+                     f"{r(f'{t}.p_neutral')} AS {m}_prob_neutral, {t}.accuracy AS {m}_test_accuracy, {t}.mean AS {m}_avg_confidence"
+                     for t, m in (("a", "roberta_social"), ("b", "gradient_boosting")))
+    o["extend_analysis"] = f"""WITH p AS (SELECT * FROM ({PREDS}) JOIN (SELECT model_name, accuracy FROM ({o['summary_metrics']})) USING (model_name)
+JOIN (SELECT model_name, mean FROM ({o['confidence_stats']})) USING (model_name))
+SELECT d.id, d.username, {wide} FROM ({DOCS}) d JOIN (SELECT * FROM p WHERE model_name = 'roberta_social') a ON a.id = d.id
+JOIN (SELECT * FROM p WHERE model_name = 'gradient_boosting') b ON b.id = d.id"""
+    o["write_ensemble_performance"] = o["evaluate_ensembles"]
     o["results_summary"] = f"""WITH s AS ({summary(EVALUABLE, 'SELECT * FROM summ')}), c AS ({o['cv_summary']})
 SELECT CAST(row_number() OVER (ORDER BY accuracy DESC, {MODEL_ORDER}) AS INTEGER) AS rank, model_name, cv_mean, cv_std,
 {r('accuracy')} AS test_accuracy, {r('precision_macro')} AS precision_macro, {r('recall_macro')} AS recall_macro,
 {r('f1_macro')} AS f1_macro FROM s JOIN c USING (model_name)"""
-    o["write_reports"] = f"SELECT model_name, count(*) AS total_predictions FROM ({PREDS}) GROUP BY 1"
     return o

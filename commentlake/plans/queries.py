@@ -8,6 +8,7 @@ from commentlake.operators import (
     clean as C, ensemble as E, features as FE, lexicon as LX, merge as J, metrics as M, models as ML, neighbors as N,
     quality as Q, ranking as R)
 from commentlake.operators.features import stratified_folds, stratified_split
+from commentlake.operators.scale import join_checked
 from commentlake.plans import fixtures as FX, reports as RP, scorer
 from commentlake.session import materialize, scratch_path
 from commentlake.sources import comments as SC, pages as SP, writers as K
@@ -149,15 +150,22 @@ def _write_per_model(spark, sf):
     return rounded(spark.read.parquet(path), 9)
 
 
-def _write_ensemble(spark, sf):
-    df = _ensembled(spark, sf)
-    path = _written(spark, "ensemble", lambda p: K.write_ensemble(df, E.evaluate_ensembles(df), p))
-    return rounded(spark.read.parquet(f"{path}/rows"))
+def _write_ensemble(part):
+    """The rows or the performance table, as the files hold them."""
+    def run(spark, sf):
+        df = _ensembled(spark, sf)
+        path = _written(spark, "ensemble", lambda p: K.write_ensemble(df, E.evaluate_ensembles(df), p))
+        return rounded(spark.read.parquet(f"{path}/{part}"))
+    return run
 
 
 def _extend(spark, sf):
-    p = FX.predictions(spark, sf).select("id", "model_name", "model_type", "ml_sentiment", "ml_confidence")
-    return rounded(J.extend_analysis(FX.documents(spark, sf).select("id", "username"), p, MODELS))
+    """An earlier analysis extended by all nine columns of both models."""
+    p = FX.predictions(spark, sf)
+    figures = M.summary_metrics(M.evaluable(p)).select("model_name", F.col("accuracy").alias("test_accuracy")).join(
+        Q.confidence_stats(p).select("model_name", F.col("mean").alias("avg_training_confidence")), "model_name", "left")
+    wide = join_checked(K.per_model_columns(p), figures, "model_name")
+    return rounded(J.extend_analysis(FX.documents(spark, sf).select("id", "username"), wide, MODELS))
 
 
 def _tokens(tokenizer, sep):
@@ -385,37 +393,52 @@ def _knn(find):
     return run
 
 
+def _model_report(r):
+    """Every field of the model reports as a column."""
+    q, a, p = "data_quality", "prediction_analysis", "performance_metrics"
+    cells = F.transform(f"{p}.confusion_matrix", lambda c: F.concat_ws(":", c["truth"], c["pred"], c["n"]))
+    labels = []
+    for c in ("negative", "neutral", "positive"):
+        labels += [F.col(f"{a}.sentiment_distribution")[c].alias(c), F.col(f"{a}.sentiment_percentages")[c].alias(f"{c}_percent")]
+        labels += [F.col(f"{p}.per_class_metrics")[c][m].alias(f"{c}_{m}") for m in ("precision", "recall", "f1", "support")]
+    return r.select(
+        "model_name", "total_predictions", f"{q}.*", *labels,
+        *[F.col(f"{a}.confidence_stats.{c}").alias(f"confidence_{c}") for c in ("mean", "std", "min", "max")],
+        f"{a}.confidence_stats.high_confidence", f"{a}.confidence_stats.high_confidence_percent", f"{p}.metrics.*",
+        F.array_join(cells, ",").alias("confusion_matrix"), *([f"{p}.cross_validation.*"] if "cross_validation" in str(r.schema) else []))
+
+
 def _summary_report(spark, sf):
-    r = RP.model_summary(FX.predictions(spark, sf), M.cv_summary(_fold_scores(spark, sf)))
-    q, c, p = "data_quality", "prediction_analysis.confidence_stats", "performance_metrics"
-    return rounded(r.select(
-        "model_name", "total_predictions", f"{q}.samples_with_text", f"{q}.samples_with_manual_tags",
-        f"{q}.average_text_length", f"{q}.missing_predictions",
-        F.col("prediction_analysis.sentiment_distribution")["negative"].alias("negative"),
-        F.col("prediction_analysis.sentiment_percentages")["negative"].alias("negative_percent"),
-        F.col(f"{c}.mean").alias("confidence_mean"), F.col(f"{c}.std").alias("confidence_std"),
-        F.col(f"{c}.high_confidence").alias("high_confidence"), f"{p}.metrics.accuracy", f"{p}.metrics.f1_weighted",
-        f"{p}.metrics.f1_macro", F.col(f"{p}.per_class_metrics")["positive"]["f1"].alias("positive_f1"),
-        F.size(f"{p}.confusion_matrix").alias("cells"), f"{p}.cross_validation.cv_mean"))
+    return rounded(_model_report(RP.model_summary(FX.predictions(spark, sf), M.cv_summary(_fold_scores(spark, sf)))))
 
 
-def _master_report(spark, sf):
-    r = RP.master_report(FX.predictions(spark, sf), MODELS)
+def _master_columns(r):
+    """Every field of the master report as a column; the figures of each family's models one after the other."""
     s = "performance_summary"
-    return rounded(r.select(
-        f"{s}.total_models_evaluated", F.col(f"{s}.traditional_models")[0]["model_name"].alias("traditional"),
-        F.col(f"{s}.traditional_models")[0]["f1_weighted"].alias("traditional_f1"),
-        F.col(f"{s}.neural_models")[0]["model_name"].alias("neural"),
-        F.array_join(F.col("model_rankings")["by_f1_weighted"], ",").alias("by_f1_weighted"),
-        F.array_join(F.col("model_rankings")["by_accuracy"], ",").alias("by_accuracy"),
-        F.col("recommendations")[0].alias("first_recommendation")))
+    figures = ("support", "accuracy", "precision_macro", "precision_weighted", "recall_macro", "recall_weighted", "f1_macro", "f1_weighted")
+
+    def family(name):
+        models = F.col(f"{s}.{name}_models")
+        return [F.array_join(models["model_name"], ",").alias(name), *[F.aggregate(
+            models[f].cast("array<double>"), F.lit(0.0), lambda x, y: x + y).alias(f"{name}_{f}") for f in figures]]
+    ranked = [F.array_join(F.col("model_rankings")[f"by_{m}"], ",").alias(f"by_{m}") for m in ("f1_weighted", "accuracy", "f1_macro")]
+    return rounded(r.select(f"{s}.total_models_evaluated", *family("traditional"), *family("neural"), *ranked,
+                            F.array_join("recommendations", "|").alias("recommendations")))
 
 
-def _write_reports(spark, sf):
-    path = scratch_path(spark, "reports")
-    K.write_reports(RP.master_report(FX.predictions(spark, sf), MODELS, ML.SETTINGS), f"{path}/master")
-    K.write_reports(RP.model_summary(FX.predictions(spark, sf)), f"{path}/models")
-    return spark.read.json(f"{path}/models").select("model_name", "total_predictions")
+def _master_report(spark, sf):
+    return _master_columns(RP.master_report(FX.predictions(spark, sf), MODELS))
+
+
+def _write_reports(document):
+    """The report as the JSON file holds it."""
+    def run(spark, sf):
+        p, path = FX.predictions(spark, sf), scratch_path(spark, "reports")
+        K.write_reports(RP.master_report(p, MODELS, ML.SETTINGS), f"{path}/master")
+        K.write_reports(RP.model_summary(p), f"{path}/models")
+        read = spark.read.json(f"{path}/{document}")
+        return rounded(_model_report(read)) if document == "models" else _master_columns(read)
+    return run
 
 
 def trained_queries():
@@ -452,7 +475,8 @@ def trained_queries():
         "master_report": _master_report,
         "results_summary": lambda s, d: rounded(RP.results_summary(
             _summary(s, d), M.cv_summary(_fold_scores(s, d)).drop("folds"), MODELS)),
-        "write_reports": _write_reports,
+        "write_reports": _write_reports("models"),
+        "write_master_report": _write_reports("master"),
     }
 
 
@@ -473,7 +497,8 @@ def sql_queries():
         "write_per_model": _write_per_model,
         "export_tagged": lambda s, d: J.export_tagged(docs(s, d), FX.tags(s, d)),
         "extend_analysis": _extend,
-        "write_ensemble": _write_ensemble,
+        "write_ensemble": _write_ensemble("rows"),
+        "write_ensemble_performance": _write_ensemble("performance"),
         # Projections, filters, coercions
         "fill_defaults": _fill,
         "coerce_booleans": _booleans,
