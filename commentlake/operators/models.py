@@ -5,7 +5,7 @@ probability column to the row, and the long form is unfolded from the row at the
 """
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -68,6 +68,7 @@ class Fitted:
     classes: list
     score: Callable[[DataFrame, str], DataFrame]
     family: str = "traditional"
+    converged: bool | None = None  # whether iterative training ended by its tolerance; null where nothing is iterated
 
 
 def _one_pass(name, classes, model):
@@ -98,6 +99,12 @@ def _own_probability(df, i):
     return df.withColumn(f"_p{i}", F.get(vector_to_array(f"_prob{i}"), 1))
 
 
+def _settled(models, max_iter):
+    """Whether every one of the models stopped by its tolerance and not by its number of iterations."""
+    runs = [m.summary() if callable(m.summary) else m.summary for m in models]
+    return all(r.totalIterations < max_iter for r in runs)
+
+
 def _weighted(train, balanced):
     return (class_weights(train, "label"), {"weightCol": "weight"}) if balanced else (train, {})
 
@@ -113,8 +120,10 @@ def train_logistic(train, classes, name="logistic_regression", max_iter=1000, C=
     base = MLC.LogisticRegression(maxIter=max_iter, regParam=1.0 / (C * max(train.count(), 1)), elasticNetParam=0.0,
                                   standardization=False, tol=LINEAR_TOL, **({} if one_vs_rest else weight))
     if not one_vs_rest:
-        return _one_pass(name, classes, base.setFamily("multinomial").fit(train))
-    return _per_class(name, classes, _one_vs_rest(base, train, weight), _own_probability)
+        model = base.setFamily("multinomial").fit(train)
+        return replace(_one_pass(name, classes, model), converged=_settled([model], max_iter))
+    models = _one_vs_rest(base, train, weight)
+    return replace(_per_class(name, classes, models, _own_probability), converged=_settled(models, max_iter))
 
 
 def train_random_forest(train, classes, name="random_forest", trees=100, depth=30, min_leaf=1, balanced=False):
@@ -148,7 +157,8 @@ def train_mlp(train, classes, name="neural_network", hidden=(100, 50), max_iter=
     width = feature_width(train)
     net = MLC.MultilayerPerceptronClassifier(layers=[width, *hidden, len(classes)], maxIter=max_iter, seed=SEED,
                                              tol=LINEAR_TOL)
-    return _one_pass(name, classes, net.fit(train))
+    model = net.fit(train)
+    return replace(_one_pass(name, classes, model), converged=_settled([model], max_iter))
 
 
 def rbf_gamma(train):
@@ -191,10 +201,11 @@ def random_fourier_features(df, width, gamma, size, seed=SEED, out="rff"):
     return df.withColumn(out, array_to_vector(cosines(stored["indices"], stored["values"])))
 
 
-def train_svm(train, classes, name="svm", C=1.0, balanced=False, size=256, gamma=None, max_iter=100):
+def train_svm(train, classes, name="svm", C=1.0, balanced=False, size=256, gamma=None, max_iter=100, curve_iter=50):
     """RBF support vector machine: linear machines per class on random Fourier features.
 
     `gamma` is taken from the rows if it is not given. Probabilities come from a logistic curve fitted to each machine's margin.
+    The model's `converged` says whether all machines and curves ended within `max_iter` and `curve_iter` iterations.
     """
     width = feature_width(train)
     gamma = rbf_gamma(train) if gamma is None else gamma
@@ -209,17 +220,18 @@ def train_svm(train, classes, name="svm", C=1.0, balanced=False, size=256, gamma
 
     def margin(df, i):
         return df.withColumn(f"_margin{i}", array_to_vector(F.array(F.get(vector_to_array(f"_raw{i}"), 1))))
-    curves = []
+    curves, converged = [], _settled(models, max_iter)
     for i, m in enumerate(models):
         m.setRawPredictionCol(f"_raw{i}").setPredictionCol(f"_pred{i}")
         target = margin(m.transform(fitted), i).withColumn("_is", (F.col("label") == i).cast("double"))
-        curve = MLC.LogisticRegression(featuresCol=f"_margin{i}", labelCol="_is", maxIter=50, tol=LINEAR_TOL).fit(target)
+        curve = MLC.LogisticRegression(featuresCol=f"_margin{i}", labelCol="_is", maxIter=curve_iter, tol=LINEAR_TOL).fit(target)
+        converged = converged and _settled([curve], curve_iter)
         curves.append(curve.setProbabilityCol(f"_prob{i}").setRawPredictionCol(f"_r{i}").setPredictionCol(f"_c{i}"))
 
     def calibrated(df, i):
         return _own_probability(curves[i].transform(margin(df, i)), i).drop(f"_margin{i}", f"_r{i}", f"_c{i}")
     per_class = _per_class(name, classes, models, calibrated)
-    return Fitted(name, classes, lambda df, out: per_class.score(mapped(df), out).drop("rff"))
+    return Fitted(name, classes, lambda df, out: per_class.score(mapped(df), out).drop("rff"), converged=converged)
 
 
 def train_knn(train, classes, name="knn", k=5, key="id"):
@@ -303,7 +315,7 @@ class TableInput:
     def through(self, model):
         """The model over rows that hold the table's blocks instead of its view."""
         return Fitted(model.name, model.classes, lambda df, out: model.score(self.seen_by(model.name, df), out).drop("features"),
-                      model.family)
+                      model.family, model.converged)
 
 
 @dataclass
@@ -319,7 +331,8 @@ class Comparison:
 
     def metrics(self):
         """One row per model: summary metrics on test rows, train and test accuracy, ROC AUC on test rows, mean confidence and
-        share of confidences above 0.8 over all rows, and mean and deviation of the fold accuracies (null without folds)."""
+        share of confidences above 0.8 over all rows, whether iterative training converged (null where nothing is iterated), and
+        mean and deviation of the fold accuracies (null without folds)."""
         from commentlake.operators.ranking import split_accuracy
 
         test = M.evaluable(self.predictions).filter("is_test")
@@ -328,6 +341,8 @@ class Comparison:
             M.ratio(F.count_if(F.col("ml_confidence") > HIGH_CONFIDENCE), F.count("*")).alias("high_confidence"))
         out = M.summary_metrics(test).join(split_accuracy(self.predictions), M.MODEL).join(
             M.auc_ovr_weighted(test), M.MODEL, "left").join(sure, M.MODEL)
+        pairs = [F.lit(x) for m in self.models for x in (m.name, m.converged)]
+        out = out.withColumn("converged", F.create_map(*pairs)[F.col(M.MODEL)].cast("boolean"))
         if self.folds is None:
             return out.withColumns({c: F.lit(None).cast("double") for c in ("cv_mean", "cv_std")})
         return out.join(M.cv_summary(self.folds).drop("folds"), M.MODEL, "left")

@@ -93,6 +93,7 @@ def recommendations(metrics, models):
     per_kind = ranked.select(F.explode(kinds).alias("kind"), MODEL, "f1", registration_order(models).alias("_o")) \
         .groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("_o", MODEL))).alias("m"), F.max("f1").alias("f1"))
     names = F.array_join(F.transform("m", lambda x: x[MODEL]), ", ")
+    # The wording of the report's sentences.
     score = F.format_string(" (F1: %.3f)", "f1")
     text = (
         F.when(F.col("kind") == "best_overall", F.concat(F.lit("Best overall model: "), names, score))

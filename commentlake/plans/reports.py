@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from commentlake.functions.labels import is_tagged
-from commentlake.operators import metrics as M, quality as Q, ranking as R
+from commentlake.operators import metrics as M, models as ML, quality as Q, ranking as R
 from commentlake.session import materialize
 
 MODEL = M.MODEL
@@ -80,3 +80,13 @@ def results_summary(metrics, cv, models):
     return ranked.join(cv, MODEL, "left").select(
         "rank", MODEL, "cv_mean", "cv_std", F.col("accuracy").alias("test_accuracy"), "precision_macro",
         "recall_macro", "f1_macro")
+
+
+def trained_predictions(comparison, df, key="id", text="text"):
+    """Every row of `df` predicted by the models of a comparison in one pass, with the tag of the rows that were held out.
+
+    Rows that trained the models have no tag here, so reports over the result evaluate on held-out rows only.
+    """
+    rows = comparison.inputs.transform(df.withColumn("text_length", F.length(text)))
+    held = comparison.predictions.filter(F.col("is_test") & (F.col(MODEL) == comparison.models[0].name)).select(key, M.TRUTH)
+    return ML.predict_all(comparison.models, rows, (key, "text_length")).join(held, key, "left")

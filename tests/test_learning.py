@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from commentlake.operators import bayes as B, features as FE, models as ML, neighbors as N
+from commentlake.plans import reports as RP
 from commentlake.plans.queries import all_queries
 
 
@@ -257,3 +258,23 @@ def test_random_features_approximate_the_kernel(spark):
     exact = np.exp(-0.3 * ((x[:, None] - x[None]) ** 2).sum(2))
     assert z.shape == (300, 4000) and np.abs(z @ z.T - exact).max() < 0.1
     assert ML.random_fourier_features(rows.limit(0), 5, 0.3, 8).count() == 0
+
+
+def test_models_say_whether_they_converged(spark, tagged):
+    few = ML.compare_models(tagged, "letters", {"svm": dict(size=16, max_iter=1), "naive_bayes": dict(alpha=1.0)})
+    assert not few.errors
+    assert {r.model_name: r.converged for r in few.metrics().collect()} == {"svm": False, "naive_bayes": None}
+    rows, _, classes = ML.training_rows(tagged, "letters")
+    assert ML.train_logistic(rows, classes, max_iter=1000).converged
+    assert not ML.train_logistic(rows, classes, max_iter=1, one_vs_rest=True).converged
+
+
+def test_trained_reports_evaluate_held_out_rows_only(spark, tagged):
+    c = ML.compare_models(tagged, "letters", {"naive_bayes": dict(alpha=1.0)})
+    asked = tagged.select("id", "text")
+    got = RP.trained_predictions(c, asked).collect()
+    test = {r.id: r.manual_sentiment for r in c.predictions.collect() if r.is_test}
+    assert sorted(r.id for r in got) == sorted(r.id for r in asked.collect())
+    assert {r.id: r.manual_sentiment for r in got if r.manual_sentiment is not None} == test
+    report = RP.model_summary(RP.trained_predictions(c, asked)).first()
+    assert report.performance_metrics.metrics.support == len(test) and report.total_predictions == len(got)
