@@ -14,6 +14,8 @@ K = 128
 WIDTH = 9
 _TABLE = _BYTE[FOLD]
 MAX_BUCKETS = 100_000
+LAST_ID = 2 ** 63 - 1
+HASH_BITS = 31
 
 
 def shingle_hashes(data, width=WIDTH):
@@ -157,35 +159,40 @@ def _ordered(docs, n):
     """Rows with `_b`, dealt so that ascending ids lie in ascending buckets, and a copy of each bucket's first row as the tail
     of the bucket before (of the last one for the first).
 
-    The cut points, at most MAX_BUCKETS longs, are the only thing the driver sees.
+    An id that holds several buckets' share of the rows is several of the cut points; its rows are dealt over as many buckets by
+    the hash of their text. The cut points, at most MAX_BUCKETS longs, are the only thing the driver sees.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)),
+                             "_h": F.shiftrightunsigned(F.xxhash64("text"), 64 - HASH_BITS)})
     wanted = max(1, min(MAX_BUCKETS, max(parts, n // 20_000)))
     shares = [i / wanted for i in range(1, wanted)]
-    cuts = docs.agg(F.percentile_approx("doc_id", shares, 20 * wanted)).first()[0] if shares else []
-    cuts = sorted(set(cuts or []))
+    cuts = sorted(rows.agg(F.percentile_approx("_k", shares, 20 * wanted)).first()[0] or []) if shares else []
     if cuts:
         steps = F.array(*[F.lit(1 << s) for s in reversed(range(len(cuts).bit_length()))])
         table = F.array(*[F.lit(int(c)).cast("long") for c in cuts])
 
-        def step(at, s):
-            return F.when((at + s <= len(cuts)) & (F.get(table, at + s - 1) <= F.col("doc_id")), at + s).otherwise(at)
-        bucket = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(F.aggregate(steps, F.lit(0), step))
+        def cuts_that(lie):
+            return F.aggregate(steps, F.lit(0), lambda at, s: F.when(
+                (at + s <= len(cuts)) & lie(F.get(table, at + s - 1)), at + s).otherwise(at))
+        rows = rows.withColumns({"_to": cuts_that(lambda c: c <= F.col("_k")), "_from": cuts_that(lambda c: c < F.col("_k"))})
+        own = F.shiftright(F.col("_h") * (F.col("_to") - F.col("_from")), HASH_BITS)  # among the buckets of the id
+        bucket = F.when(F.col("_to") > F.col("_from"), F.col("_from") + 1 + own).otherwise(F.col("_to"))
     else:
         bucket = F.lit(0)
-    rows = docs.withColumn("_b", bucket.cast("int"))
-    heads = materialize(rows.groupBy("_b").agg(F.min("doc_id").alias("_head")).where("_head is not null"))
+    rows = rows.select(bucket.cast("int").alias("_b"), "_k", "_h", "doc_id", "text")
+    heads = materialize(rows.groupBy("_b").agg(F.min(F.struct("_k", "_h")).alias("_head")))
     before = F.lag("_b").over(Window.orderBy("_b"))
     last = heads.agg(F.max("_b")).scalar()
-    heads = heads.select(F.col("_head"), F.coalesce(before, last).alias("_before"))
-    rows = rows.join(F.broadcast(heads), F.col("doc_id") == F.col("_head"), "left")
+    heads = heads.select(F.col("_head._k").alias("_k"), F.col("_head._h").alias("_h"), F.coalesce(before, last).alias("_before"))
+    rows = rows.join(F.broadcast(heads), ["_k", "_h"], "left")
     own = F.struct(F.col("_b").alias("b"), F.lit(0).alias("tail"))
     tail = F.struct(F.col("_before").alias("b"), F.lit(1).alias("tail"))
-    rows = rows.withColumn("_at", F.explode(F.when(F.col("_head").isNull(), F.array(own)).otherwise(F.array(own, tail))))
-    order = ["_b", "_tail", F.col("doc_id").asc_nulls_last(), "text"]
-    return rows.select(F.col("_at.b").alias("_b"), F.col("_at.tail").alias("_tail"), "doc_id", "text") \
-        .repartition(max(parts, len(cuts) + 1), "_b").sortWithinPartitions(*order)
+    rows = rows.withColumn("_at", F.explode(F.when(F.col("_before").isNull(), F.array(own)).otherwise(F.array(own, tail))))
+    return rows.select(F.col("_at.b").alias("_b"), F.col("_at.tail").alias("_tail"), "_k", "_h", "doc_id", "text") \
+        .repartition(max(parts, len(cuts) + 1), "_b").sortWithinPartitions("_b", "_tail", "_k", "_h", "text") \
+        .select("_b", "_tail", "doc_id", "text")
 
 
 def fingerprint_neighbours(docs, k=K):
@@ -194,9 +201,12 @@ def fingerprint_neighbours(docs, k=K):
     The edited text has its last floor(n_chars / 2) code points replaced by the beginning of the next document's text, by
     ascending doc_id, the first after the last. Shingles are WIDTH bytes with A-Z lowered; a shorter text is one shingle.
 
-    Null texts are empty; an empty text has an empty fingerprint and is like another empty text only. Rows with a null doc_id
-    come last; equal ids are ordered by text; a single row is its own next one; no rows give no rows. Other columns are not
-    read. Texts are shuffled once.
+    Null texts are empty; an empty text has an empty fingerprint and is like another empty text only. A null doc_id counts as the
+    largest long; equal ids are ordered by the hash of their text, then by the text; a single row is its own next one; no rows
+    give no rows. Other columns are not read.
+
+    Scale: texts are shuffled once, in ranges of ids; the rows of an often repeated id are dealt over several tasks by their text.
+    Copies of one row, id and text, lie in one range.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return _ordered(docs, docs.count()).mapInArrow(

@@ -239,6 +239,37 @@ def test_fingerprints(spark):
     assert abs(bottomk.distinct_count(x) / n - 1) < 0.4 and bottomk.containment(x, bottomk.merge(x, y)) > 0.9
 
 
+def test_fingerprint_likeness_against_exact_resemblance(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    ids = sorted(rows)
+
+    def exact(x, y):
+        x, y = ({t[i:i + 9] for i in range(max(1, len(t) - 8))} if t else set() for t in (x.lower().encode(), y.lower().encode()))
+        return len(x & y) / len(x | y) if x | y else 1.0
+    gaps = []
+    for r in bottomk.fingerprint_neighbours(docs).collect():
+        text, following = rows[r.doc_id], rows[ids[(ids.index(r.doc_id) + 1) % len(ids)]]
+        edited = text[:len(text) - len(text) // 2] + following[:len(text) // 2]
+        gaps += [abs(r.near_edited - exact(text, edited)), abs(r.near_next - exact(text, following))]
+    assert max(gaps) < 0.25 and sum(gaps) / len(gaps) < 0.03
+
+
+def test_fingerprints_of_hot_and_null_ids(spark):
+    rows = [(7, f"text {i} of the same id " * (1 + i % 3)) for i in range(600)] + [(None, f"no id {i}") for i in range(300)]
+    rows += [(i, f"document {i}") for i in range(8, 308)] + [(3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("h", F.xxhash64("t")).collect()
+    order = sorted(order, key=lambda r: (r.doc_id is None, r.doc_id or 0, (r.h % 2 ** 64) >> 33, r.t))
+    want = []
+    for r, following in zip(order, order[1:] + order[:1]):
+        half = len(r.t) // 2
+        want.append((r.doc_id, hashlib.sha256((r.t[:len(r.t) - half] + following.t[:half]).encode()).hexdigest()))
+    got = [(r.doc_id, r.edited_sha256) for r in bottomk.fingerprint_neighbours(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert bottomk._ordered(docs, len(rows)).where("_tail = 0").groupBy("_b").count().agg(F.max("count")).first()[0] < 400
+
+
 def test_mixture_meets_its_margins(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice("ab"), rng.choice(["p", "q", None]), rng.randint(1, 9)) for i in range(3000)]
