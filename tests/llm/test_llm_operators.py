@@ -532,3 +532,19 @@ def test_columns_with_internal_names_pass_through(spark):
     mixed = mixing.mix(docs.withColumn("n", mixing.tokens(F.col("text"))), {"source": 0.5}, size="n", sweeps=2).collect()
     assert len(mixed) == len(EDGES) and all(r["_mix_0"] == r["_MIX_W"] == "u" for r in mixed)
     assert all(r["_h"] == r["_n"] == "u" for r in minhash.keep_one(docs).collect())
+
+
+def test_private_counts_are_by_kind(spark, tmp_path):
+    """The digest columns of the query against the patterns taken literally; kinds stand at any place among the spans."""
+    texts = ["mail a@b.cd and c@d.ef or g@h.ij", "1.2.3.4 4111 1111 1111 1111 +1 (499) 555-6503", "+1 (499) 555-6503 call 9.9.9.9, x@y.zz",
+             "1.1.1.1 2.2.2.2 3.3.3.3 256.1.1.1", "none", "", None]
+    rows = [(i, t, "en", "a", 1, 1, "x") for i, t in enumerate(texts)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in llm_queries()["op1_pii_skip_chain_crf"](spark, str(tmp_path)).collect()}
+    assert len(found) == len(texts)
+    for i, text in enumerate(texts):
+        spans = plain_spans(text or "")
+        listed = ",".join(f"{privacy.KINDS[k]}:{a}:{b}" for k, a, b in spans)
+        r = found[i]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in spans) for k in range(4)], text
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
