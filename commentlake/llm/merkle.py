@@ -1,8 +1,7 @@
 """Merkle manifest of a table: a leaf per row, a tree of eights per group, a tree of eights over the groups, a proof per row.
 
-The rows of a group are numbered first. Siblings then come from lag and lead at fixed offsets: the nodes of level l stand on
-every 8^l-th row, so a node's neighbours in its run are j * 8^l rows away, and its slot and the run's length say which of these
-columns hold siblings. The first child of each run hashes the parent.
+The rows of a group are numbered first. Blocks of 4,096 consecutive nodes are then gathered as arrays: every eight elements of a
+level's array are hashed to one of the next, and a node's siblings are the other elements of its run.
 """
 
 from functools import reduce
@@ -13,7 +12,7 @@ from commentlake.llm.staging import staged
 from commentlake.operators.scale import join_checked
 
 FAN = 8
-DEPTH = 4  # levels climbed in one window
+DEPTH = 4  # levels climbed in one block
 BLOCK = FAN ** DEPTH
 STEPS = "array<struct<before:string,after:string>>"
 
@@ -57,50 +56,52 @@ def _numbered(rows, order):
     return out.drop("_mk_part", "_mk_s", "_mk_o")
 
 
-def _climb(nodes):
-    """Adds _mk_d1 to _mk_d4, the node that stands on a row at each level, and _mk_path, the row's steps inside its block.
-
-    A window holds one block of 4,096 nodes of a group, never a whole group.
-    """
-    out = nodes.withColumn("_mk_b", F.shiftright("_mk_p", 3 * DEPTH)).withColumnRenamed("_mk_d", "_mk_d0")
-    window = Window.partitionBy("_mk_g", "_mk_b").orderBy("_mk_p")
-    above = window.rowsBetween(Window.unboundedPreceding, 0)
-    steps = []
+def _blocks(nodes):
+    """A row per block of 4,096 nodes of a group (_mk_g, _mk_b): its nodes in order as _mk_rows, and the digests of each level as
+    _mk_a0 to _mk_a4, an array an eighth as long as the one before. Nothing larger than a block is ever gathered."""
+    held = F.struct(*[F.col(f"`{c}`") for c in nodes.columns if c != "_mk_g"])
+    out = nodes.groupBy("_mk_g", F.shiftright("_mk_p", 3 * DEPTH).alias("_mk_b")).agg(F.collect_list(held).alias("_mk_rows"))
+    # Each array is a column that later ones use, so it is computed once a block.
+    out = out.withColumn("_mk_rows", F.array_sort("_mk_rows", lambda x, y: F.signum(x["_mk_p"] - y["_mk_p"]).cast("int")))
+    out = out.withColumn("_mk_n", F.get("_mk_rows", 0)["_mk_n"]).withColumn("_mk_a0", F.transform("_mk_rows", lambda r: r["_mk_d"]))
     for level in range(DEPTH):
-        stride, d = FAN ** level, F.col(f"_mk_d{level}")
-        count = F.shiftright(F.col("_mk_n") + (stride - 1), 3 * level)
-        place = F.shiftright("_mk_p", 3 * level)
+        below = f"_mk_a{level}"
+        runs = F.sequence(F.lit(0), F.floor((F.size(below) - 1) / FAN).cast("int"))
+        parents = F.transform(runs, lambda i: _h(F.array_join(F.slice(below, i * FAN + 1, FAN), "")))
+        out = out.withColumn(f"_mk_a{level + 1}", F.when(_nodes(level) > 1, parents).otherwise(F.col(below)))
+    return out
+
+
+def _unfolded(blocks, names, *others):
+    """The named columns of the nodes and `others` of their blocks, and _mk_path, each node's steps inside its block."""
+    def step(level, i):
+        place = F.shiftright(i, 3 * level)
         slot = place % FAN
-        run = F.least(F.lit(FAN), count - place + slot)
-        node = (F.col("_mk_p") % stride == 0) & (count > 1)
-        out = out.withColumns({f"_mk_lag{j}": F.lag(d, j * stride).over(window) for j in range(1, FAN)}
-                              | {f"_mk_lead{j}": F.lead(d, j * stride).over(window) for j in range(1, FAN)})
-
-        def held(where, name):
-            return F.when(where, F.col(name)).otherwise("")
-        before = [held(slot >= j, f"_mk_lag{j}") for j in range(FAN - 1, 0, -1)]
-        after = [held(slot + j < run, f"_mk_lead{j}") for j in range(1, FAN)]
-        step = F.when(node, F.struct(F.concat(*before).alias("before"), F.concat(*after).alias("after")))
-        parent = F.when(count > 1, F.when(node & (slot == 0), _h(d, *after))).otherwise(d)
-        out = out.withColumns({f"_mk_d{level + 1}": parent, f"_mk_step{level}": step})
-        out = out.drop(*[f"_mk_{side}{j}" for side in ("lag", "lead") for j in range(1, FAN)])
-        if level:  # a node's step belongs to all rows under it
-            out = out.withColumn(f"_mk_step{level}", F.last(f"_mk_step{level}", ignorenulls=True).over(above))
-        steps.append(F.col(f"_mk_step{level}"))
-    return out.withColumn("_mk_path", F.filter(F.array(*steps), lambda s: s.isNotNull())).drop(*[f"_mk_step{k}" for k in range(DEPTH)])
+        around = [(place - slot + 1, slot), (place + 2, FAN - 1 - slot)]
+        sides = [F.array_join(F.slice(f"_mk_a{level}", at, many), "") for at, many in around]
+        return F.when(_nodes(level) > 1, F.struct(sides[0].alias("before"), sides[1].alias("after")))
+
+    def row(r, i):
+        path = F.filter(F.array(*[step(level, i) for level in range(DEPTH)]), lambda s: s.isNotNull())
+        return F.struct(*[r[c].alias(c) for c in names], path.alias("_mk_path"))
+    return blocks.select("_mk_g", *others, F.inline(F.transform("_mk_rows", row)))
+
+
+def _nodes(level):
+    """Nodes of a whole group at a level."""
+    return F.shiftright(F.col("_mk_n") + (FAN ** level - 1), 3 * level)
 
 
 def _roots_of_blocks(nodes):
-    top = _climb(nodes).where(F.col("_mk_p") % BLOCK == 0)
-    return top.select("_mk_g", F.col("_mk_b").alias("_mk_p"), F.shiftright(F.col("_mk_n") + (BLOCK - 1), 3 * DEPTH).alias("_mk_n"),
-                      F.col(f"_mk_d{DEPTH}").alias("_mk_d"))
+    return _blocks(nodes).select("_mk_g", F.col("_mk_b").alias("_mk_p"), _nodes(DEPTH).alias("_mk_n"),
+                                 F.get(f"_mk_a{DEPTH}", 0).alias("_mk_d"))
 
 
 def _paths(nodes, finish):
     """The nodes with their paths; `finish` turns one row per group (its root as _mk_d) into _mk_g, _mk_p, up (path) and further columns.
 
     The table of block roots is 4,096 times smaller than the one below it, and each is written once. Paths are handed down by
-    joins on (group, block), so no join key has more than 4,096 rows on the lower side.
+    joins on (group, block), one row a block on either side.
     """
     most = nodes.agg(F.max("_mk_n")).first()[0] or 0
     tables = [nodes]
@@ -110,10 +111,10 @@ def _paths(nodes, finish):
     upper = finish(tables[-1])
     for level, below in enumerate(reversed(tables[:-1]), 1):
         extra = [c for c in upper.columns if c not in ("_mk_g", "_mk_p", "up")]
-        joined = _climb(below).join(upper.withColumnRenamed("_mk_p", "_mk_b"), ["_mk_g", "_mk_b"])
+        joined = _blocks(below).join(upper.withColumnRenamed("_mk_p", "_mk_b"), ["_mk_g", "_mk_b"])
         kept = below.columns if level == len(tables) - 1 else ["_mk_g", "_mk_p"]
-        upper = joined.select(*[F.col("_mk_d0").alias(c) if c == "_mk_d" else F.col(c) for c in kept],
-                              F.concat("_mk_path", "up").alias("up"), *extra)
+        upper = _unfolded(joined, [c for c in kept if c != "_mk_g"], "up", *extra).select(
+            *kept, F.concat("_mk_path", "up").alias("up"), *extra)
         if level < len(tables) - 1:
             upper = staged(upper)
     return upper

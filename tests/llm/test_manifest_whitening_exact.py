@@ -211,3 +211,10 @@ def test_index_takes_inserts_and_deletes(spark, monkeypatch):
     want[hashlib.sha256(b"t8").digest()] = (3000, 3)
     assert {bytes(k): v for k, v in held(more).items()} == want and more.select("shards").distinct().first()[0] > 8
     assert held(cuckoo.update(more, deleted=d([(0, f"t{k}") for k in range(300)]))) != {} and cuckoo.update(None, d([])).count() == 0
+
+
+def test_manifest_climbs_without_windows(spark):
+    """A window a level, each holding a block's rows with 14 digests more, took more memory than an executor has."""
+    rows = spark.createDataFrame([(i, "en", h(str(i))) for i in range(20)], "doc_id long, lang string, leaf string")
+    plan = merkle.manifest(rows, "leaf", "lang")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(" not in plan and "lead(" not in plan
