@@ -279,7 +279,8 @@ def _numeric_block(spark, sf):
 
 def _scaled(spark, sf):
     cols = list(FE.NUMERIC_FEATURES)
-    return rounded(FE.standard_scale(_numeric_block(spark, sf), cols).select("id", *cols))
+    block = materialize(_numeric_block(spark, sf).select("id", *cols))  # read twice; the texts are analysed once
+    return rounded(FE.standard_scale(block, cols).select("id", *cols))
 
 
 def _absolute(spark, sf):
