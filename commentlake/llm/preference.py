@@ -1,10 +1,14 @@
-"""Quality scores by Bradley-Terry ranking: preference pairs, logistic loss on feature differences, a score quantile as cut."""
+"""Quality scores by Bradley-Terry ranking: preference pairs, logistic loss on feature differences, a score quantile as cut.
+
+Pairs, sums and quantile are taken over all labelled rows."""
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from commentlake.llm.hashing import NOT_SPACE, hash_words, runs, text_buffer
+from commentlake.llm.staging import staged
+from commentlake.operators.scale import running_before
 
 FEATURES = ("log_bytes", "upper", "digit", "blank", "line", "punctuation", "symbol", "other", "word_length", "distinct_words",
             "top_repeat", "same_neighbour", "distinct_pairs", "exclaim", "pipe")
@@ -50,73 +54,142 @@ def expand(x):
     return np.concatenate((x, x * x), 1)
 
 
-def fit_pairs(x, labels, pairs=60_000, penalty=1e-3, steps=30, seed=9):
-    """(centre, scale, weights) of the Bradley-Terry model: P(i beats j) = sigmoid(w . (x_i - x_j)).
+def _worth(x, model):
+    centre, scale, w = model
+    return expand(np.clip((x - centre) / scale, -8, 8)) @ w
+
+
+def _matrix(column):
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _feature_batches(batches):
+    """Arrow batches (doc_id, text) to (doc_id, x), x being the features."""
+    for batch in batches:
+        x = features(*text_buffer(batch.column(1)))
+        ends = pa.array(np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], ["doc_id", "x"])
+
+
+def labelled_features(docs, labels):
+    """(doc_id, label, x) of every document with a label 0 or 1; an id with several labels has the largest, rows without an id have
+    none. Only features leave the tasks, no texts."""
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    return docs.select("doc_id", "text").mapInArrow(_feature_batches, "doc_id long, x array<double>").join(known, "doc_id") \
+        .select("doc_id", "label", "x")
+
+
+TURNS, PAIRS = 4, 60_000  # pairs of each row of the larger class, and at least how many pairs a small table has in all
+
 
-    Pairs are drawn with a fixed seed, a good and a bad row each; Newton steps minimise the logistic loss with a ridge.
+def preference_pairs(rows, sizes, seed=9):
+    """(good, bad): features of a row of label 1 and one of label 0.
+
+    Both classes are numbered in the order of a hash of the id. In every turn each row of the larger class meets one of the smaller,
+    taken round and round and shifted from turn to turn, so every row of both is in pairs and the pairs grow with the rows.
+    """
+    small = min(sizes, key=lambda k: (sizes[k], k))
+    few, many = sizes[small], sizes[1 - small]
+    turns = min(few, max(TURNS, -(-PAIRS // many)))
+    placed = running_before(rows.withColumns({"_h": F.xxhash64("doc_id", F.lit(seed)), "_one": F.lit(1)}), ["label"],
+                            ["_h", "doc_id", "x"], "_one", "place")
+    met = F.transform(F.sequence(F.lit(0), F.lit(turns - 1)), lambda t: F.pmod(F.col("place") + t * (few // turns), F.lit(few)))
+    left = placed.where(F.col("label") != small).select(F.col("x").alias("_many"), F.explode(met).alias("_p"))
+    right = placed.where(F.col("label") == small).select(F.col("x").alias("_few"), F.col("place").alias("_p"))
+    good, bad = ("_few", "_many") if small else ("_many", "_few")
+    return left.join(right, "_p").select(F.col(good).alias("good"), F.col(bad).alias("bad"))
+
+
+def fit_pairs(pairs, centre, scale, penalty=1e-3, steps=30):
+    """The weights of the Bradley-Terry model: P(i beats j) = sigmoid(w . (x_i - x_j)).
+
+    Newton steps minimise the logistic loss of all pairs with a ridge; a task sends its sums of gradient and Hessian only.
     """
-    x = np.asarray(x, float)
-    centre = x.mean(0) if len(x) else np.zeros(len(FEATURES))
-    scale = x.std(0) + 1e-6 if len(x) else np.ones(len(FEATURES))
-    z = expand(np.clip((x - centre) / scale, -8, 8)) if len(x) else np.zeros((0, 2 * len(FEATURES)))
-    good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
-    w = np.zeros(2 * len(FEATURES))
-    if len(good) == 0 or len(bad) == 0:
-        return centre, scale, w
-    rng = np.random.default_rng(seed)
-    d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
+    width = 2 * len(FEATURES)
+
+    def sums(w):
+        def run(batches):
+            total = np.zeros((width + 2, width))
+            for batch in batches:
+                z = [expand(np.clip((_matrix(c) - centre) / scale, -8, 8)) for c in batch.columns]
+                d = z[0] - z[1]
+                p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+                total[0] -= p @ d
+                total[1, 0] += len(d)
+                total[2:] += (d * (p * (1 - p))[:, None]).T @ d
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+        found = pairs.mapInArrow(run, "sums binary").collect()
+        return sum(np.frombuffer(r["sums"], np.float64).reshape(width + 2, width) for r in found)
+    w = np.zeros(width)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        gradient = -(d * p[:, None]).mean(0) + penalty * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / pairs + penalty * np.eye(len(w))
-        move = np.linalg.solve(hessian, gradient)
+        total = sums(w)
+        n = total[1, 0]
+        move = np.linalg.solve(total[2:] / n + penalty * np.eye(width), total[0] / n + penalty * w)
         w = w - move
         if np.abs(move).max() < 1e-6:
             break
-    return centre, scale, w
-
-
-def _worth(x, model):
-    centre, scale, w = model
-    return expand(np.clip((x - centre) / scale, -8, 8)) @ w
+    return w
 
 
-def _feature_batches():
-    names = ["doc_id", "label", *FEATURES]
-
+def _scored(rows, model):
+    """(label, s): the Bradley-Terry score of every row."""
     def run(batches):
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
-            x = features(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c) for c in x.T]], names)
-    return run
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_worth(_matrix(batch.column(1)), model))], ["label", "s"])
+    return rows.select("label", "x").mapInArrow(run, "label int, s double")
+
 
+BINS = 1024
 
-def fit(docs, labels, rows_per_class=5000, max_bytes=1 << 20):
-    """(model, threshold, slope) learned from a bounded sample of labelled rows.
 
-    The threshold is the quantile of the sample's scores, each class weighted by its share among all labels, below which the
+def threshold_of(scored, sizes, counts):
+    """The exact quantile of all scores, each class weighted by its share among all labels, below which the share of label 0 lies.
+
+    The scores are counted in BINS bins, then those of the bin that the quantile falls into, until a bin has one value.
+    """
+    share = {k: counts[k] / sum(counts.values()) for k in (0, 1)}
+    weight = {k: share[k] / sizes[k] for k in (0, 1)}
+    low, high = scored.agg(F.min("s"), F.max("s")).first()
+    below, mass = 0.0, 1.0
+    while low < high and (high - low) / BINS > 0:
+        place = F.least(F.floor((F.col("s") - low) / ((high - low) / BINS)), F.lit(BINS - 1))
+        bins = scored.where(F.col("s").between(low, high)).groupBy(place.alias("b")).agg(
+            F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"),
+            F.min("s").alias("low"), F.max("s").alias("high")).orderBy("b").collect()
+        for r in bins:
+            mass = r["n0"] * weight[0] + r["n1"] * weight[1]
+            if below + mass >= share[0] - 1e-12:
+                break
+            below += mass
+        low, high = r["low"], r["high"]
+    after = scored.where(F.col("s") > low).agg(F.min("s")).first()[0]
+    inside = below + mass - share[0] > 0.5 * min(weight.values())  # rows of the same score lie on either side
+    return low if after is None or inside else (low + after) / 2
+
+
+def fit(docs, labels):
+    """(model, threshold, slope) learned from every labelled document, in DataFrames; the driver gets sums and counts only.
+
+    The threshold is the quantile of the labelled rows' scores, each class weighted by its share among all labels, below which the
     share of label 0 lies: as many rows fall below it as there are bad ones. Without rows of both classes every score is equal.
     """
-    from commentlake.llm.toxicity import labelled_sample
-
-    sample = labelled_sample(docs, labels, "quality", rows_per_class, max_bytes, seed=29)
-    table = sample.mapInArrow(_feature_batches(), "doc_id long, label int, " + ", ".join(f"{f} double" for f in FEATURES)) \
-        .toPandas().sort_values("doc_id")
-    y = table["label"].to_numpy(np.int64)
-    model = fit_pairs(table[list(FEATURES)].to_numpy(), y)
+    rows = staged(labelled_features(docs, labels))
+    x = [F.get("x", k) for k in range(len(FEATURES))]
+    held = {r["label"]: r for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(held) < 2:
+        return (np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(2 * len(FEATURES))), 0.0, 1.0
+    sizes = {k: r["n"] for k, r in held.items()}
+    stats = rows.agg(F.array(*[F.avg(c) for c in x]), F.array(*[F.stddev_pop(c) for c in x])).first()
+    # Sums depend on the order of their parts in the last digits; the rounded figures do not.
+    centre, scale = np.round(np.array(stats[0]), 9), np.round(np.array(stats[1]), 9) + 1e-6
+    w = np.round(fit_pairs(staged(preference_pairs(rows, sizes)), centre, scale), 9)
+    model = centre, scale, w
+    scored = staged(_scored(rows, model))
     counts = {r["q"]: r["n"] for r in labels.where("quality in (0, 1)").groupBy(F.col("quality").cast("int").alias("q")).agg(
         F.count("*").alias("n")).collect()}
-    if len(set(y.tolist())) < 2:
-        return model, 0.0, 1.0
-    s = _worth(table[list(FEATURES)].to_numpy(), model)
-    share = np.array([counts.get(0, 0), counts.get(1, 0)], float) / sum(counts.values())
-    weight = (share / np.bincount(y, minlength=2))[y]
-    order = np.argsort(s)
-    below = np.cumsum(weight[order])
-    at = min(len(s) - 2, int(np.searchsorted(below, share[0] - 1e-12)))
-    threshold = float(s[order][at:at + 2].mean())
-    return model, threshold, float(4 / (s.std() + 1e-9))
+    spread = round(scored.agg(F.stddev_pop("s")).first()[0], 9)
+    return model, threshold_of(scored, sizes, counts), float(4 / (spread + 1e-9))
 
 
 def score(docs, fitted, cut=0.3):
@@ -136,7 +209,7 @@ def score(docs, fitted, cut=0.3):
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
-def keep_good(docs, labels, cut=0.3, **options):
+def keep_good(docs, labels, cut=0.3):
     """The documents at or above the threshold."""
-    scored = score(docs, fit(docs, labels, **options), cut).where(F.col("score") >= cut)
+    scored = score(docs, fit(docs, labels), cut).where(F.col("score") >= cut)
     return docs.join(scored.select("doc_id").distinct(), "doc_id", "left_semi")

@@ -548,3 +548,35 @@ def test_private_counts_are_by_kind(spark, tmp_path):
         r = found[i]
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in spans) for k in range(4)], text
         assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """All rows of both classes are in pairs, and the threshold is the quantile of all scores."""
+    docs = frame(spark, [(i, f"w{i} " * (i % 7 + 1), "en", "a", 1, 1, "x") for i in range(300)])
+    labels = spark.createDataFrame([(i, int(i >= 240), 0) for i in range(290)], "doc_id long, quality int, toxic int")
+    rows = preference.labelled_features(docs, labels)
+    seen = preference.preference_pairs(rows, {0: 240, 1: 50})
+    for name, label in (("good", 1), ("bad", 0)):
+        assert {tuple(r[name]) for r in seen.collect()} == {tuple(r.x) for r in rows.where(F.col("label") == label).collect()}
+    assert seen.count() >= preference.TURNS * 240
+    rng = np.random.default_rng(2)
+    s, y = rng.normal(size=20_000), np.arange(20_000) % 4 // 3
+    for values in (s, np.round(s, 1), np.zeros(20_000)):
+        scored = spark.createDataFrame(list(zip(y.tolist(), values.tolist())), "label int, s double")
+        at = np.sort(values)[14_999:15_001]
+        assert preference.threshold_of(scored, {0: 15_000, 1: 5_000}, {0: 15_000, 1: 5_000}) == at.mean()
+
+
+def test_quality_uses_rows_beyond_a_sample(spark, monkeypatch):
+    """Rows beyond 5,000 of a class move the threshold."""
+    docs = frame(spark, [(i, "bad " * (1 + i % 5) if i % 8 else f"Good text number {i}, longer.", "en", "a", 1, 1, "x") for i in range(8000)])
+    labels = spark.createDataFrame([(i, int(i % 8 == 0), 0) for i in range(8000)], "doc_id long, quality int, toxic int")
+    learned = []
+    scored = preference._scored
+
+    def record(rows, model):
+        learned.append(rows.count())
+        return scored(rows, model)
+    monkeypatch.setattr(preference, "_scored", record)
+    found = preference.score(docs, preference.fit(docs, labels)).where("score >= 0.3").count()
+    assert learned == [8000] and found == 1000
