@@ -278,3 +278,15 @@ def test_trained_reports_evaluate_held_out_rows_only(spark, tagged):
     assert {r.id: r.manual_sentiment for r in got if r.manual_sentiment is not None} == test
     report = RP.model_summary(RP.trained_predictions(c, asked)).first()
     assert report.performance_metrics.metrics.support == len(test) and report.total_predictions == len(got)
+
+
+def test_scaling_analyses_the_texts_once(spark):
+    plan = all_queries()["standard_scale"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan  # both the figures and the scaled columns come from the written block
+
+
+def test_training_partitions_grow_with_the_rows(spark, monkeypatch):
+    rows = spark.range(1000)
+    assert ML.laid_out(rows).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(ML, "PARTITION_ROWS", 100)
+    assert ML.laid_out(rows).rdd.getNumPartitions() == 10 and ML.laid_out(rows, 3).rdd.getNumPartitions() == 3
