@@ -137,6 +137,45 @@ def test_neighbours_of_clustered_points(spark):
     assert len(got) == 3000 and sum(work) < 0.1 * 2001 * 2004
 
 
+def test_neighbours_meet_where_partitions_are_not_merged(spark):
+    points = [(i, [float(i % 37), float(i // 37)], "ab"[i % 2]) for i in range(150)]
+    train = spark.createDataFrame(points, "id long, embedding array<double>, label string")
+    merged = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        near = N.knn_candidates(train.select("id", "embedding"), train, 3, pivots=6, block=40)
+        got = {}
+        for r in near.orderBy("id", F.round("distance", 9), "neighbour").collect():
+            got.setdefault(r["id"], []).append(r["neighbour"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+    assert got == brute(points, [(i, p) for i, p, _ in points], 3, False)
+
+
+def test_second_search_sends_a_query_once_to_a_shelf(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    spots = np.concatenate([rng.normal(size=(600, 40)), np.repeat(rng.normal(size=(1, 40)), 100, 0)])  # no clusters: no cell is ruled out
+    train = spark.createDataFrame([(i, p.tolist(), "ab"[i % 2]) for i, p in enumerate(spots)], "id long, embedding array<double>, label string")
+    sent, rounds, search = [], [], N._search
+
+    def counting(asked, points, pieces, *rest):
+        asked = asked.localCheckpoint()
+        sent.append(asked.count()), rounds.append(int((np.asarray(pieces) > 0).sum()))
+        return search(asked, points, pieces, *rest)
+    monkeypatch.setattr(N, "_search", counting)
+    monkeypatch.setattr(N, "ROUND_BYTES", 0)
+    near = N.knn_candidates(train.select("id", "embedding"), train, 4, True, pivots=60, block=150)
+    got = {}
+    for r in near.orderBy("id", F.round("distance", 9), "neighbour").collect():
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    for i in [*range(0, 600, 41), 600, 699]:
+        d = np.sqrt(((spots - spots[i]) ** 2).sum(1)).round(9)
+        assert got[i] == [j for j in np.lexsort((np.arange(700), d)) if j != i][:4]
+    # 601 distinct vectors over at least five shelves of 60 cells: a row per cell would be some 30,000 rows.
+    assert len(got) == 700 and sum(sent) <= 601 * (1 + sum(rounds[1:])) < 601 * 12
+    assert len(rounds) > 2 and max(sent) <= 2 * 601 + 150
+
+
 def test_unfolded_rows_without_a_shuffle(spark, tagged):
     long = FE.tfidf_sql(tagged, preset="social")
     assert "Exchange" not in long._jdf.queryExecution().executedPlan().toString()
