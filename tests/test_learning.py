@@ -1,3 +1,5 @@
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -329,3 +331,48 @@ def test_training_partitions_grow_with_the_rows(spark, monkeypatch):
     assert ML.laid_out(rows).rdd.getNumPartitions() == 4
     monkeypatch.setattr(ML, "PARTITION_ROWS", 100)
     assert ML.laid_out(rows).rdd.getNumPartitions() == 10 and ML.laid_out(rows, 3).rdd.getNumPartitions() == 3
+
+
+def test_feature_table_analyses_and_vectorizes_a_row_once(spark, tagged, monkeypatch):
+    made, vectorized, transform = spark.sparkContext.accumulator(0), [], FE.TextVectorizer.transform
+
+    def label(text):
+        made.add(1)
+        return {"lov": "positive", "hat": "negative"}.get(text[:3], "neutral")
+
+    def counted(self, df):
+        vectorized.append(df)
+        return transform(self, df)
+    monkeypatch.setattr(FE.TextVectorizer, "transform", counted)
+    analysed = tagged.select("id", "text", F.udf(label)("text").alias("final_sentiment"))
+    rows, pipeline, classes = ML.table_rows(analysed, min_df=1, max_df=1.0)
+    assert {(r.id, r.target) for r in rows.collect()} == {(r.id, r.manual_sentiment) for r in tagged.collect()}
+    assert made.value == 45 and len(vectorized) == 1 and classes == ["negative", "neutral", "positive"]
+    alone = FE.FeaturePipeline("features", min_df=1, max_df=1.0).fit(rows.filter("not is_test").drop("tfidf"))
+    assert pipeline.means == pytest.approx(alone.means) and pipeline.term_deviations == pytest.approx(alone.term_deviations)
+
+
+def test_metrics_score_a_row_once(spark, tagged):
+    rows, _, classes = ML.training_rows(tagged, "letters")
+    model, scored = ML.train_naive_bayes(rows.filter("not is_test"), classes), spark.sparkContext.accumulator(0)
+
+    def seen(p):
+        scored.add(1)
+        return p
+    counted = F.udf(seen, "array<double>").asNondeterministic()
+    again = ML.Fitted(model.name, classes, lambda df, out: model.score(df, out).withColumn(out, counted(out)))
+    c = ML.Comparison(None, classes, [again], predictions=ML.predict_all([again], rows, ("id", "manual_sentiment", "is_test")))
+    assert c.metrics().first()["test_accuracy"] == 1.0 and c.scored().count() == 45 and scored.value == 45
+
+
+def test_models_train_side_by_side_without_the_texts(spark, tagged, monkeypatch):
+    meet = threading.Barrier(2)
+
+    def train(rows, classes, name):
+        meet.wait(60)
+        if "text" in rows.columns:
+            raise ValueError("texts are read in every step")
+        return ML.train_naive_bayes(rows, classes, name)
+    monkeypatch.setattr(ML, "TRAINERS", {n: lambda r, c, n=n: train(r, c, n) for n in ("one", "two")})
+    c = ML.compare_models(tagged, "letters", {"one": {}, "two": {}}, partitions=2)
+    assert not c.errors and [m.name for m in c.models] == ["one", "two"] and c.predictions.count() == 90
