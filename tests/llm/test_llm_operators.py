@@ -336,6 +336,17 @@ def test_line_classes_with_split_buckets(spark):
         assert got == {i: find(i) for i in range(len(rows))}, np.unique(list(got.values()))
 
 
+def test_split_buckets_are_compiled(spark):
+    """Plans that exceed what Spark compiles ran interpreted, and their generated code took the driver's memory."""
+    lines = [f"the common beginning of line {i:03} and a long common end" for i in range(120)]
+    docs = frame(spark, [(i, line, "en", "a", 1, 1, "x") for i, line in enumerate(lines)])
+    spark.conf.set("spark.sql.codegen.fallback", "false")  # an expression that is not compiled fails
+    try:
+        assert {r.class_doc for r in line_dedup.dedup_lines(docs, 3).collect()} == {0}
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
 def line_query(spark, tmp_path, name, lines):
     """{doc_id: class_doc} of the registered query over documents of one line each."""
     frame(spark, [(i, line, "en", "a", 1, 1, "x") for i, line in enumerate(lines)]).write.parquet(f"{tmp_path}/documents.parquet")
