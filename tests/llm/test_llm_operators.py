@@ -591,3 +591,58 @@ def test_quality_uses_rows_beyond_a_sample(spark, monkeypatch):
     monkeypatch.setattr(preference, "_scored", record)
     found = preference.score(docs, preference.fit(docs, labels)).where("score >= 0.3").count()
     assert learned == [8000] and found == 1000
+
+
+def linked_classes(spark, lines, threshold):
+    """{number: first number of the class} by Spark's own distance of all pairs."""
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
+    near = df.join(df.toDF("j", "other"), F.col("i") < F.col("j")).where(F.levenshtein("line", "other") <= threshold)
+    low = list(range(len(lines)))
+    for i, j in near.select("i", "j").collect():
+        x, y = sorted((low[i], low[j]))
+        low = [x if k == y else k for k in low]
+    return dict(enumerate(low))
+
+
+def test_near_copies_are_not_multiplied(spark):
+    """A large group of near copies was cut again and again, and came to many rows a line."""
+    rng = random.Random(8)
+    base = [rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(80)]
+    lines = []
+    for _ in range(100):
+        line = list(base)
+        for _ in range(rng.randint(1, 3)):
+            line.insert(rng.randrange(len(line)), "".join(rng.choice("klmn") for _ in range(rng.choice([1, 4]))))
+        lines.append("".join(line))
+    seen, real = [], line_dedup.staged
+    line_dedup.staged = lambda df, *by: seen.append(real(df, *by)) or seen[-1]
+    try:
+        rows = frame(spark, [(i, line, "en", "a", 1, 1, "x") for i, line in enumerate(lines)])
+        got = {r.doc_id: r.class_doc for r in line_dedup.dedup_lines(rows, 3, 8).collect()}
+    finally:
+        line_dedup.staged = real
+    assert got == linked_classes(spark, lines, 3)
+    assert max(x.count() for x in seen) <= 26 * len(lines)
+
+
+def test_buckets_that_are_split_find_the_same_links(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BUCKET", 6)
+    rng = random.Random(9)
+    lines = [f"row {rng.randrange(20):02} of {rng.choice(['one', 'two', 'é'])}" for _ in range(16)]
+    got = {r.doc_id: r.class_doc for r in line_dedup.dedup_lines(
+        frame(spark, [(i, line, "en", "a", 1, 1, "x") for i, line in enumerate(lines)]), 1, 8).collect()}
+    assert got == linked_classes(spark, lines, 1)
+
+
+def test_cut_off_ends_keep_the_distance(spark):
+    rng = random.Random(10)
+    rows = []
+    for _ in range(400):
+        a = [rng.choice("abé😀") for _ in range(rng.randint(0, 40))]
+        b = [c for c in a if rng.random() > 0.05] + [rng.choice("ab")] * rng.randint(0, 2)
+        rows.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(rows, "a string, b string").withColumn("d", F.levenshtein("a", "b"))
+    for t in (1, 3):
+        assert df.where(line_dedup.trimmed_distance(F.col("a"), F.col("b"), t) != F.least("d", F.lit(t + 1))).isEmpty()
+    alike = line_dedup.alike(F.col("a"), F.col("b"), line_dedup.bag(F.col("a")), line_dedup.bag(F.col("b")), 3)
+    assert df.where("d <= 3").where(~alike).isEmpty() and not df.where(~alike).isEmpty()
